@@ -172,24 +172,33 @@ def binary_frame_metrics(
     return slim.mapInPandas(compute, schema)
 
 
-def summarize_frame_metrics(df: DataFrame, keys: Sequence[str] = (), digits: int = 6) -> DataFrame:
-    """Count, mean MAE/RMSE/SSIM, mean of the finite PSNR (infinite if none is finite) and largest error.
-
-    Groups without frames give no row.
-    """
+def _metric_summary(grouped, *extra: Column, digits: int = 6) -> DataFrame:
     infinite = F.lit(float("inf"))
     finite = F.avg(F.when((F.col("psnr") < infinite) & (F.col("psnr") > -infinite), F.col("psnr")))
-    out = df.groupBy(*keys).agg(
+    return grouped.agg(
         F.count(F.lit(1)).alias("frame_count"),
         F.round(F.avg("mean_absolute_error"), digits).alias("average_mean_absolute_error"),
         F.round(F.avg("root_mean_squared_error"), digits).alias("average_root_mean_squared_error"),
         F.coalesce(F.round(finite, digits), infinite).alias("average_psnr"),
         F.round(F.avg("ssim"), digits).alias("average_ssim"),
         F.max("max_absolute_error").alias("max_absolute_error"),
+        *extra,
     )
+
+
+def summarize_frame_metrics(df: DataFrame, keys: Sequence[str] = (), digits: int = 6) -> DataFrame:
+    """Count, mean MAE/RMSE/SSIM, mean of the finite PSNR (infinite if none is finite) and largest error.
+
+    Groups without frames give no row.
+    """
+    out = _metric_summary(df.groupBy(*keys), digits=digits)
     return out if keys else out.where(F.col("frame_count") > 0)
 
 
+def _with_master(pairs: DataFrame, master: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    return pairs.join(master.select(*keys, F.col(value).alias("master")), list(keys), "left")
+
+
 def triple_with_master(
     pairs: DataFrame, master: DataFrame, keys: Sequence[str] = ("source_id", "frame_index"), value: str = "pixels"
 ) -> DataFrame:
@@ -198,34 +207,48 @@ def triple_with_master(
     The guard is an aggregate with one row per source, so a source's frames are never gathered.
     """
     clip = [k for k in keys if k != "frame_index"]
-    joined = pairs.join(master.select(*keys, F.col(value).alias("master")), list(keys), "left")
-    complete = joined.groupBy(*clip).agg(F.every(F.col("master").isNotNull()).alias("_all")).where("_all")
-    return joined.join(complete.select(*clip), clip, "left_semi")
+    joined = _with_master(pairs, master, keys, value)
+    gaps = joined.where(F.col("master").isNull()).select(*clip).distinct()
+    return joined.join(gaps, clip, "left_anti")
 
 
 def compare_quality(
     pairs: DataFrame,
     master: DataFrame,
     keys: Sequence[str] = ("source_id", "frame_index"),
+    value: str = "pixels",
     peak: float = 255.0,
     channels: int = 1,
 ) -> DataFrame:
     """Per source: candidate against reference, and each against the master when all masters exist.
 
-    One pass over the pairs: every pair fans out to its comparisons and a single partial aggregation sums them up.
+    Every pair fans out to its comparisons in one pass; whether a source has all its masters comes out of the same
+    partial aggregation that sums up the metrics.
     """
     clip = [k for k in keys if k != "frame_index"]
-    triples = triple_with_master(pairs, master, keys)
 
-    def labelled(df: DataFrame, label: str, a: str, b: str) -> DataFrame:
-        return df.select(*clip, F.lit(label).alias("comparison"), F.col(a).alias("reference"), F.col(b).alias("candidate"))
+    def labelled(label: str, a: str, b: str) -> Column:
+        return F.struct(F.lit(label).alias("comparison"), F.col(a).alias("reference"), F.col(b).alias("candidate"))
 
     fanned = (
-        labelled(pairs, "candidateVsReference", "reference", "candidate")
-        .unionByName(labelled(triples, "referenceVsMaster", "master", "reference"))
-        .unionByName(labelled(triples, "candidateVsMaster", "master", "candidate"))
+        _with_master(pairs, master, keys, value)
+        .withColumn("_complete", F.col("master").isNotNull())
+        .withColumn(
+            "_each",
+            F.explode(
+                F.array(
+                    labelled("candidateVsReference", "reference", "candidate"),
+                    labelled("referenceVsMaster", "master", "reference"),
+                    labelled("candidateVsMaster", "master", "candidate"),
+                )
+            ),
+        )
+        .select(*clip, "_complete", "_each.*")
     )
-    return summarize_frame_metrics(frame_metrics(fanned, peak=peak, channels=channels), [*clip, "comparison"])
+    measured = frame_metrics(fanned, peak=peak, channels=channels)
+    by = [*clip, "comparison"]
+    summary = _metric_summary(measured.groupBy(*by), F.every("_complete").alias("_complete"))
+    return summary.where(F.col("_complete") | (F.col("comparison") == "candidateVsReference")).drop("_complete")
 
 
 def mask_coverage(masks: DataFrame, keys: Sequence[str] = ("source_id",), mask: str = "mask", pixels: str | None = None) -> DataFrame:
