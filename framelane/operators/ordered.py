@@ -196,9 +196,12 @@ def global_row_number(
     name: str = "position",
     rows_per_block: int = 2_000_000,
     max_blocks: int = 1_000,
+    reverse: bool = False,
 ) -> DataFrame:
     """1-based position in a total order over the whole table, without a single-task window.
 
+    ``order`` is ascending; ``reverse`` counts from the other end.
+
     Above ``rows_per_block`` rows, a bounded sample of sort keys becomes literal block edges, so that a recomputed
     task always lands in the same block.
     """
@@ -216,4 +219,5 @@ def global_row_number(
                 *[F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(order, e)]) for e in edges]
             )
             block = _bisect(key, literal, len(edges))
-    return blocked_row_number(df, [], order, block, name)
+    placed = blocked_row_number(df, [], order, block, name)
+    return placed.withColumn(name, F.lit(total + 1).cast("bigint") - F.col(name)) if reverse else placed
