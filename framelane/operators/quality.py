@@ -65,6 +65,10 @@ def _moments(zipped: Column) -> Column:
     return F.aggregate(zipped, F.struct(*[zero.alias(n) for n in names]), step)
 
 
+def _in_channel(k: int, channels: int):
+    return lambda _, i: F.pmod(i, F.lit(channels)) == k
+
+
 def _channel_ssim(m: Column, peak: Column) -> Column:
     """Global SSIM of one channel on the 0..1 scale, population variance."""
     n = m["n"]
@@ -94,9 +98,7 @@ def frame_metrics(
     if channels == 1:
         moments = F.array(_moments(zipped))
     else:
-        moments = F.array(
-            *[_moments(F.filter(zipped, lambda _, i, k=k: F.pmod(i, F.lit(channels)) == k)) for k in range(channels)]
-        )
+        moments = F.array(*[_moments(F.filter(zipped, _in_channel(k, channels))) for k in range(channels)])
 
     def total(field: str) -> Column:
         return F.aggregate("_m", F.lit(0.0), lambda acc, m: acc + m[field])
