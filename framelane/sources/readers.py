@@ -24,7 +24,10 @@ def _json(spark: SparkSession, path, schema: str, **options) -> DataFrame:
 
 
 def _readable(df: DataFrame) -> DataFrame:
-    return df.where(F.col(schemas.CORRUPT).isNull()).drop(schemas.CORRUPT)
+    """Drop documents that do not parse; one with a mistyped field keeps its other fields."""
+    fields = [c for c in df.columns if c != schemas.CORRUPT]
+    parsed = F.exists(F.array(*[F.col(c).isNotNull() for c in fields]), lambda found: found)
+    return df.where(F.col(schemas.CORRUPT).isNull() | parsed).drop(schemas.CORRUPT)
 
 
 def _image_rows(spark: SparkSession, path, pattern: str, role: str, source_id: Column | str | None) -> DataFrame:

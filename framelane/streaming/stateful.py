@@ -1,7 +1,8 @@
 """Keyed streaming operators with explicit state.
 
 One state row per job or media; snapshots that are older than the last one seen are dropped, because files do not
-arrive in order. State expires after ``ttl_seconds`` without input (processing time).
+arrive in order. State expires after ``ttl_seconds`` without input (processing time). Expiry keeps a query polling, so
+pass ``ttl_seconds=None`` for a run that should end when its input does (the ``availableNow`` trigger).
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ def use_rocksdb(spark) -> None:
     spark.conf.set(*STATE_STORE)
 
 
+def _time_mode(ttl_seconds: int | None) -> str:
+    return "None" if ttl_seconds is None else "ProcessingTime"
+
+
 def _seconds(ts: str):
     return F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
 
@@ -38,8 +43,8 @@ class _Keyed(StatefulProcessor):
 
     schema = ""
 
-    def __init__(self, ttl_seconds: int):
-        self.ttl_ms = ttl_seconds * 1000
+    def __init__(self, ttl_seconds: int | None):
+        self.ttl_ms = None if ttl_seconds is None else ttl_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", self.schema, self.ttl_ms)
@@ -69,7 +74,7 @@ def _plain(value):
 class _Throughput(_Keyed):
     schema = "started double, sampled double, frames bigint, last double, rolling double, rss bigint, gpu bigint"
 
-    def __init__(self, ttl_seconds: int, min_gap: float):
+    def __init__(self, ttl_seconds: int | None, min_gap: float):
         super().__init__(ttl_seconds)
         self.min_gap = min_gap
 
@@ -106,7 +111,7 @@ THROUGHPUT = (
 )
 
 
-def stream_throughput(progress: DataFrame, ts: str = "ts", min_gap: float = 1.0, ttl_seconds: int = 86_400) -> DataFrame:
+def stream_throughput(progress: DataFrame, ts: str = "ts", min_gap: float = 1.0, ttl_seconds: int | None = 86_400) -> DataFrame:
     """Average and rolling rate, remaining time and peaks of each job as its snapshots arrive.
 
     The rolling rate is renewed only when ``min_gap`` seconds have passed since the last renewal.
@@ -117,14 +122,14 @@ def stream_throughput(progress: DataFrame, ts: str = "ts", min_gap: float = 1.0,
         *[F.col(c).cast("bigint").alias(c) for c in ("processed_frames", "total_frames", "process_rss_bytes", "gpu_memory_used_bytes")],
     )
     return rows.groupBy("job_id").transformWithStateInPandas(
-        _Throughput(ttl_seconds, min_gap), THROUGHPUT, "append", "ProcessingTime"
+        _Throughput(ttl_seconds, min_gap), THROUGHPUT, "append", _time_mode(ttl_seconds)
     )
 
 
 class _Dedupe(_Keyed):
     schema = "signature string, seconds double"
 
-    def __init__(self, ttl_seconds: int, heartbeat: float):
+    def __init__(self, ttl_seconds: int | None, heartbeat: float):
         super().__init__(ttl_seconds)
         self.heartbeat = heartbeat
 
@@ -150,7 +155,7 @@ def stream_dedupe_progress(
     signature: tuple[str, ...] = ("phase", "percent", "processed_frames", "message"),
     ts: str = "ts",
     heartbeat: float = 5.0,
-    ttl_seconds: int = 86_400,
+    ttl_seconds: int | None = 86_400,
 ) -> DataFrame:
     """Snapshots that change the signature, and one every ``heartbeat`` seconds while nothing changes."""
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in progress.schema)
@@ -158,7 +163,7 @@ def stream_dedupe_progress(
         "*", _seconds(ts).alias("sort_seconds"), F.to_json(F.struct(*signature)).alias("sort_signature")
     )
     return rows.groupBy("job_id").transformWithStateInPandas(
-        _Dedupe(ttl_seconds, heartbeat), out, "append", "ProcessingTime"
+        _Dedupe(ttl_seconds, heartbeat), out, "append", _time_mode(ttl_seconds)
     )
 
 
@@ -190,17 +195,17 @@ class _JobState(_Keyed):
 JOB_STATE = "job_id string, seconds double, state string, previous string, valid boolean, error string"
 
 
-def stream_job_state(changes: DataFrame, ts: str = "ts", ttl_seconds: int = 7 * 86_400) -> DataFrame:
+def stream_job_state(changes: DataFrame, ts: str = "ts", ttl_seconds: int | None = 7 * 86_400) -> DataFrame:
     """State changes of each job. ``valid`` rows moved the job; the others say why they were refused. A terminal state
     is never left."""
     rows = changes.select(F.col("job_id").cast("string").alias("job_id"), _seconds(ts).alias("seconds"), "state")
-    return rows.groupBy("job_id").transformWithStateInPandas(_JobState(ttl_seconds), JOB_STATE, "append", "ProcessingTime")
+    return rows.groupBy("job_id").transformWithStateInPandas(_JobState(ttl_seconds), JOB_STATE, "append", _time_mode(ttl_seconds))
 
 
 class _Edges(_Keyed):
     schema = "active boolean, position bigint"
 
-    def __init__(self, ttl_seconds: int, threshold: float):
+    def __init__(self, ttl_seconds: int | None, threshold: float):
         super().__init__(ttl_seconds)
         self.threshold = threshold
 
@@ -220,7 +225,7 @@ class _Edges(_Keyed):
 
 
 def stream_edges(
-    signal: DataFrame, threshold: float, position: str = "frame_index", value: str = "mean_luma", ttl_seconds: int = 86_400
+    signal: DataFrame, threshold: float, position: str = "frame_index", value: str = "mean_luma", ttl_seconds: int | None = 86_400
 ) -> DataFrame:
     """Rising edges of an unbounded signal, per media in order of ``position``; a repeated or older position is ignored."""
     rows = signal.select(
@@ -229,5 +234,5 @@ def stream_edges(
         F.col(value).cast("double").alias("value"),
     )
     return rows.groupBy("media_id").transformWithStateInPandas(
-        _Edges(ttl_seconds, threshold), "media_id string, position bigint, value double", "append", "ProcessingTime"
+        _Edges(ttl_seconds, threshold), "media_id string, position bigint, value double", "append", _time_mode(ttl_seconds)
     )

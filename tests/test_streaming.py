@@ -28,8 +28,8 @@ def replay(spark, tmp_path):
         writer = build(source).writeStream.format("memory").queryName(name).outputMode(mode)
         query = writer.option("checkpointLocation", str(tmp_path / f"cp{next(counter)}")).trigger(availableNow=True).start()
         try:
-            query.awaitTermination(240)
-            assert query.exception() is None
+            query.awaitTermination(60)
+            assert query.exception() is None and not query.isActive
         finally:
             query.stop()
         return spark.table(name).collect()
@@ -47,7 +47,7 @@ def snapshot(second, frames, job="j", phase="upscaling", **more):
 
 def test_throughput(replay):
     files = [[snapshot(0, 0)], [snapshot(10, 50, processRssBytes=9)], [snapshot(10.5, 60)], [snapshot(12, 70, processRssBytes=4)]]
-    got = {r.seconds % 60: r for r in replay(stateful.stream_throughput, files, per_trigger=4)}
+    got = {r.seconds % 60: r for r in replay(lambda s: stateful.stream_throughput(s, ttl_seconds=None), files, per_trigger=4)}
     last = got[12]
     assert last.average_fps == pytest.approx(70 / 12)
     assert last.rolling_fps == pytest.approx(10.0)  # since second 10; second 10.5 was too close
@@ -57,7 +57,7 @@ def test_throughput(replay):
 
 def test_dedupe_progress(replay):
     files = [[snapshot(0, 1)], [snapshot(1, 1)], [snapshot(2, 2)], [snapshot(3, 2)], [snapshot(8, 2)], [snapshot(1, 7, job="k")]]
-    got = replay(stateful.stream_dedupe_progress, files, per_trigger=6)
+    got = replay(lambda s: stateful.stream_dedupe_progress(s, ttl_seconds=None), files, per_trigger=6)
     assert sorted((r.job_id, r.ts.second) for r in got) == [("j", 0), ("j", 2), ("j", 8), ("k", 1)]
 
 
@@ -70,7 +70,7 @@ def test_job_state(replay):
     schema = "job_id string, ts timestamp, state string"
     moves = ["queued", "running", "paused", "running", "succeeded", "running"]
     files = [[{"job_id": "j", "ts": f"2024-01-01T00:00:0{i}Z", "state": s}] for i, s in enumerate(moves)]
-    got = sorted(replay(stateful.stream_job_state, files, schema, per_trigger=6), key=lambda r: r.seconds)
+    got = sorted(replay(lambda s: stateful.stream_job_state(s, ttl_seconds=None), files, schema, per_trigger=6), key=lambda r: r.seconds)
     assert [(r.state, r.valid) for r in got] == [
         ("queued", True), ("running", True), ("paused", True), ("running", True), ("succeeded", True), ("running", False),
     ]
@@ -96,7 +96,7 @@ def test_edges_match_batch(spark, replay):
     schema = "media_id string, frame_index bigint, mean_luma double"
     rows = [("m", i, 200.0 if i % 7 in (2, 3) else 10.0) for i in range(40)]
     files = [[dict(media_id=m, frame_index=i, mean_luma=v) for m, i, v in rows[k : k + 10]] for k in range(0, 40, 10)]
-    streamed = {r.position for r in replay(lambda s: stateful.stream_edges(s, 100.0), files, schema, per_trigger=4)}
+    streamed = {r.position for r in replay(lambda s: stateful.stream_edges(s, 100.0, ttl_seconds=None), files, schema, per_trigger=4)}
     batch = {r.frame_index for r in telemetry.rising_edges(spark.createDataFrame(rows, schema), 100.0).collect()}
     assert streamed == batch == {i for i in range(40) if i % 7 == 2}
 
