@@ -242,14 +242,14 @@ def window_rollup(
 ) -> DataFrame:
     """Tumbling or sliding roll-up: samples, mean fps and peak memory per window (batch or stream)."""
     return (
-        samples.groupBy(*keys, F.window(F.col(ts).cast("timestamp"), size, slide).alias("_w"))
+        samples.groupBy(*keys, F.window(F.col(ts), size, slide).alias("_w"))
         .agg(
             F.count(F.lit(1)).alias("samples"), F.avg(fps).alias("average_fps"), F.max(memory).alias("peak_memory")
         )
         .select(
             *keys,
-            F.unix_seconds("_w.start").alias("window_start"),
-            F.unix_seconds("_w.end").alias("window_end"),
+            F.unix_seconds(F.col("_w.start").cast("timestamp")).alias("window_start"),
+            F.unix_seconds(F.col("_w.end").cast("timestamp")).alias("window_end"),
             "samples",
             "average_fps",
             "peak_memory",
