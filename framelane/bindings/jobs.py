@@ -83,10 +83,10 @@ def job_kind_label(spark, sf):
 @query(
     "job_search",
     f"""WITH {JOB_SQL} SELECT job_id FROM j WHERE contains(lower(concat_ws(chr(10), label, coalesce(state, ''), phase, message,
-    coalesce(model_id, ''), coalesce(source_path, ''), coalesce(scratch_path, ''), coalesce(output_path, ''))), 'clip_42')""",
+    coalesce(model_id, ''), coalesce(source_path, ''), coalesce(scratch_path, ''), coalesce(output_path, ''))), 'clip_1')""",
 )
 def job_search(spark, sf):
-    return jobs.search_jobs(job_table(spark, sf), "  Clip_42 ").select("job_id")
+    return jobs.search_jobs(job_table(spark, sf), "  Clip_1 ").select("job_id")
 
 
 @query(
@@ -656,16 +656,16 @@ def frame_differences(spark, sf):
 
 @query(
     "remaining_segments",
-    """WITH p AS (SELECT DISTINCT l_suppkey AS source_id, CAST(l_orderkey // 240 AS BIGINT) AS segment_index FROM lineitem),
-    d AS (SELECT l_suppkey AS source_id, CAST(l_orderkey // 240 AS BIGINT) AS segment_index, l_quantity - 10 AS size_bytes, CASE WHEN l_tax < 0.06 THEN l_tax < 0.04 END AS seams_ok FROM lineitem WHERE l_linestatus = 'F')
+    """WITH p AS (SELECT DISTINCT l_suppkey AS source_id, CAST(l_orderkey // 24 AS BIGINT) AS segment_index FROM lineitem),
+    d AS (SELECT l_suppkey AS source_id, CAST(l_orderkey // 24 AS BIGINT) AS segment_index, l_quantity - 45 AS size_bytes, CASE WHEN l_tax < 0.06 THEN l_tax < 0.04 END AS seams_ok FROM lineitem WHERE l_linestatus = 'F')
     SELECT * FROM p WHERE (source_id, segment_index) NOT IN (SELECT (source_id, segment_index) FROM d WHERE size_bytes > 0 AND coalesce(seams_ok, TRUE))""",
 )
 def remaining_segments(spark, sf):
     lines = table(spark, sf, "lineitem").withColumns(
-        {"source_id": F.col("l_suppkey"), "segment_index": F.floor(F.col("l_orderkey") / 240).cast("bigint")}
+        {"source_id": F.col("l_suppkey"), "segment_index": F.floor(F.col("l_orderkey") / 24).cast("bigint")}
     )
     done = lines.where("l_linestatus = 'F'").selectExpr(
-        "source_id", "segment_index", "l_quantity - 10 AS size_bytes", "CASE WHEN l_tax < 0.06 THEN l_tax < 0.04 END AS seams_ok"
+        "source_id", "segment_index", "l_quantity - 45 AS size_bytes", "CASE WHEN l_tax < 0.06 THEN l_tax < 0.04 END AS seams_ok"
     )
     return completeness.remaining_segments(lines.select("source_id", "segment_index").distinct(), done)
 

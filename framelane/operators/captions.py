@@ -71,6 +71,21 @@ def _in_band(anchors: DataFrame, lines: DataFrame, keys: Sequence[str]) -> DataF
     return anchors.join(placed, [*keys, "_bucket"]).where(F.abs(F.col("_line") - F.col("_cy")) <= F.col("_tol"))
 
 
+def _covered(lines: DataFrame, bands: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Lines that lie inside at least one band: a sweep down the frame that counts the bands open at each line."""
+    edge = F.explode(
+        F.array(
+            F.struct((F.col("_cy") - F.col("_tol")).alias("_y"), F.lit(0).alias("_step"), F.lit(1).alias("_open")),
+            F.struct((F.col("_cy") + F.col("_tol")).alias("_y"), F.lit(2).alias("_step"), F.lit(-1).alias("_open")),
+        )
+    )
+    edges = bands.select(*keys, edge.alias("_e")).select(*keys, "_e.*")
+    stops = lines.select(*keys, F.col("_line").alias("_y"), F.lit(1).alias("_step"), F.lit(0).alias("_open"))
+    down = Window.partitionBy(*keys).orderBy("_y", "_step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = edges.unionByName(stops).withColumn("_opened", F.sum("_open").over(down))
+    return swept.where((F.col("_step") == 1) & (F.col("_opened") > 0)).select(*keys, F.col("_y").alias("_line"))
+
+
 def filter_text_components(components: DataFrame, keys: Sequence[str] = FRAME_KEYS) -> DataFrame:
     """Components that pass the size gate and either are caption-wide or lie in a row of at least three."""
     sized = size_gate(components)
@@ -94,11 +109,9 @@ def filter_text_components(components: DataFrame, keys: Sequence[str] = FRAME_KE
         (F.col("_n") >= 3)
         & (F.col("_width") >= _at_least(32, _whole(F.col("_rw") * 0.045)))
         & (F.col("_area") <= F.col("_rh") * F.col("_rw") * 0.08)
-    ).select(*keys, "_cy", "_tol")
-    kept = (
-        _in_band(anchors.join(passing, [*keys, "_cy", "_tol"], "left_semi"), lines, keys)
-        .select(*keys, F.col("_line").alias("center_y"), F.lit(True).alias("_row"))
-        .distinct()
+    )
+    kept = _covered(lines, passing, keys).select(
+        *keys, F.col("_line").alias("center_y"), F.lit(True).alias("_row")
     )
     alone = (
         _wide()

@@ -434,29 +434,45 @@ def local_seam_scores(df: DataFrame, profile: str = "profile") -> DataFrame:
     """Explode an edge profile into ``position, edge, local_median, ratio``.
 
     The median is over the values within 8 positions, leaving out 2 on each side; the ratio's denominator is at
-    least 1.
+    least 1. Medians of sliding windows run as numpy over Arrow batches, which is several times faster here than sorting
+    a small array per position with higher-order functions.
     """
-    n = F.size(profile)
-
-    def around(i: Column) -> Column:
-        low, high = F.greatest(F.lit(0), i - SEAM_REACH), F.least(n, i + SEAM_REACH + 1)
-        before = F.slice(profile, low + 1, F.greatest(F.lit(0), i - SEAM_GUARD - low))
-        after = F.slice(profile, i + SEAM_GUARD + 2, F.greatest(F.lit(0), high - (i + SEAM_GUARD + 1)))
-        both = F.concat(before, after)
-        return F.array_sort(F.when(F.size(both) > 0, both).otherwise(F.slice(profile, low + 1, high - low)))
-
-    exploded = df.withColumn("_around", F.transform(profile, lambda v, i: F.struct(v.alias("edge"), around(i).alias("near"))))
-    rows = exploded.select(
-        *[c for c in df.columns if c != profile], F.posexplode("_around").alias("position", "_p")
-    )
-    near = F.col("_p.near")
-    size = F.size(near)
-    middle = (F.get(near, F.floor((size - 1) / 2).cast("int")) + F.get(near, F.floor(size / 2).cast("int"))) / 2
-    return (
-        rows.withColumns({"edge": F.col("_p.edge"), "local_median": F.coalesce(middle, F.lit(0.0))})
-        .withColumn("ratio", F.col("edge") / F.greatest(F.lit(1.0), F.col("local_median")))
-        .drop("_p")
-    )
+    kept = [c for c in df.columns if c != profile]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema)
+    schema += ", position int, edge double, local_median double, ratio double"
+
+    def score(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            profiles = [np.asarray(p, dtype=float) for p in pdf[profile]]
+            sizes = np.array([p.size for p in profiles], dtype=int)
+            out = pdf[kept].loc[pdf.index.repeat(sizes)].reset_index(drop=True)
+            edges = np.concatenate([*profiles, np.empty(0)])
+            near = np.concatenate([*[_near_medians(p) for p in profiles], np.empty(0)])
+            position = np.concatenate([*[np.arange(n) for n in sizes], np.empty(0, dtype=int)])
+            scores = {"position": position, "edge": edges, "local_median": near, "ratio": edges / np.maximum(1.0, near)}
+            yield pd.concat([out, pd.DataFrame(scores)], axis=1)
+
+    return df.select(*kept, profile).mapInPandas(score, schema)
+
+
+def _near_medians(values):
+    """Median of the values 3 to 8 positions away, per position; of all values in reach where those are missing."""
+    import numpy as np
+
+    n = values.size
+    if n == 0:
+        return values
+    offsets = np.r_[-SEAM_REACH:-SEAM_GUARD, SEAM_GUARD + 1 : SEAM_REACH + 1]
+    at = np.arange(n)[:, None] + offsets[None, :]
+    near = np.where((at >= 0) & (at < n), values[np.clip(at, 0, n - 1)], np.nan)
+    bare = np.isnan(near).all(axis=1)
+    if bare.any():
+        whole = [np.median(values[max(0, i - SEAM_REACH) : i + SEAM_REACH + 1]) for i in np.flatnonzero(bare)]
+        near[bare, 0] = whole
+    return np.nanmedian(near, axis=1)
 
 
 def find_tile_seams(profiles: DataFrame, keys: Sequence[str] = ("source_id", "frame_index")) -> DataFrame:
@@ -500,10 +516,7 @@ def _seam_peaks(values) -> list[tuple[int, float]]:
     index = np.arange(SEAM_REACH, max(SEAM_REACH, n - SEAM_REACH))
     if index.size == 0:
         return []
-    offsets = np.r_[-SEAM_REACH : -SEAM_GUARD, SEAM_GUARD + 1 : SEAM_REACH + 1]
-    at = index[:, None] + offsets[None, :]
-    near = np.where(at < n, values[np.minimum(at, n - 1)], np.nan)
-    median = np.nanmedian(near, axis=1)
+    median = _near_medians(values)[index]
     edge = values[index]
     ratio = edge / np.maximum(1.0, median)
     peak = (edge >= values[index - 1]) & (edge >= values[np.minimum(index + 1, n - 1)])
