@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framelane.bindings.registry import query, result, stand_in, table
-from framelane.operators import captions, quality
+from framelane.operators import apply, captions, quality
 from framelane.operators.ordered import blocked_row_number, index_block
 
 EMB = """e AS (SELECT label AS source_id, vec_id, embedding,
@@ -431,3 +431,145 @@ def caption_companions(spark, sf):
     return result(
         captions.absorb_companions(found, boxes, PAD), "clip_id", "frame_index", "component_id", *[f"{c}:i" for c in names]
     )
+
+
+# --- model functions ------------------------------------------------------------------------------------------------
+
+PIXELS = "CAST(floor((CAST(v AS DOUBLE) + 0.7) * 180) AS BIGINT)"
+BYTES_SQL = f"""{EMB.replace('e AS', 'e0 AS', 1)}, e AS (SELECT source_id, i, unnest(range(64)) AS p, unnest(embedding) AS v FROM e0),
+  b AS (SELECT source_id, i, p, greatest(0, least(255, {PIXELS})) AS v FROM e)"""
+
+
+def byte_frames(spark, sf):
+    """The clips as 8-bit single-channel images."""
+    frames = clip_frames(spark, sf)
+    level = F.transform(
+        "pixels", lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((v + 0.7) * 180))).cast("bigint")
+    )
+    text = F.array_join(F.transform(level, lambda v: F.lpad(F.hex(v), 2, "0")), "")
+    one = F.lit(8).cast("int")
+    return frames.select(
+        "source_id",
+        F.col("frame_index").cast("int").alias("frame_index"),
+        one.alias("width"),
+        one.alias("height"),
+        F.lit(1).cast("int").alias("channels"),
+        F.unhex(text).alias("pixels"),
+    )
+
+
+def _sums(df, weight):
+    """Plain and position-weighted sum of the pixels of each frame."""
+    size = F.octet_length("pixels").cast("int")
+    values = F.transform(
+        F.sequence(F.lit(0), size - 1), lambda i: F.conv(F.substring(F.hex("pixels"), i * 2 + 1, F.lit(2)), 16, 10).cast("bigint")
+    )
+    zero = F.lit(0).cast("bigint")
+    return df.select(
+        "source_id",
+        F.col("frame_index").cast("bigint").alias("frame_index"),
+        F.aggregate(values, zero, lambda acc, v: acc + v).alias("total"),
+        F.aggregate(F.transform(values, lambda v, i: v * (i % weight)), zero, lambda acc, v: acc + v).alias("weighted"),
+    )
+
+
+def _invert(frames):
+    return [255 - f for f in frames]
+
+
+@query(
+    "model_framewise",
+    f"""WITH {BYTES_SQL} SELECT source_id, CAST(i AS BIGINT) AS frame_index, CAST(sum(255 - v) AS BIGINT) AS total,
+    CAST(sum((255 - v) * (p % 7)) AS BIGINT) AS weighted FROM b GROUP BY 1, 2""",
+)
+def model_framewise(spark, sf):
+    return _sums(apply.apply_framewise(byte_frames(spark, sf), _invert), 7)
+
+
+def _mean_of_five(frames):
+    import numpy as np
+
+    stack = np.stack([f.astype(float) for f in frames])
+    ends = [(max(0, i - 2), i + 3) for i in range(len(frames))]
+    return [np.rint(stack[a:b].mean(axis=0)).astype(np.uint8) for a, b in ends]
+
+
+@query(
+    "model_temporal",
+    f"""WITH {BYTES_SQL}, m AS (SELECT source_id, i, p, CAST(round_even(avg(v) OVER (PARTITION BY source_id, p ORDER BY i
+      RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING), 0) AS BIGINT) AS v FROM b)
+    SELECT source_id, CAST(i AS BIGINT) AS frame_index, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * (p % 7)) AS BIGINT) AS weighted FROM m GROUP BY 1, 2""",
+)
+def model_temporal(spark, sf):
+    # radius 2 of context makes the chunked result equal to one pass over the whole clip
+    return _sums(apply.apply_temporal(byte_frames(spark, sf), _mean_of_five, chunk=16, minimum=1), 7)
+
+
+def _double(tiles):
+    return [t.repeat(2, axis=0).repeat(2, axis=1) for t in tiles]
+
+
+TILED_SQL = f"""WITH {BYTES_SQL} SELECT source_id, CAST(i AS BIGINT) AS frame_index, CAST(sum(v) * 4 AS BIGINT) AS total,
+    CAST(sum(v * ((2 * (p // 8) * 16 + 2 * (p % 8)) % 5 + (2 * (p // 8) * 16 + 2 * (p % 8) + 1) % 5
+      + ((2 * (p // 8) + 1) * 16 + 2 * (p % 8)) % 5 + ((2 * (p // 8) + 1) * 16 + 2 * (p % 8) + 1) % 5)) AS BIGINT) AS weighted FROM b GROUP BY 1, 2"""
+
+
+@query("model_tiled_crop", TILED_SQL)
+def model_tiled_crop(spark, sf):
+    return _sums(apply.apply_tiled(byte_frames(spark, sf), _double, 3, scale=2), 5)
+
+
+@query("model_tiled_average", TILED_SQL)
+def model_tiled_average(spark, sf):
+    return _sums(apply.apply_tiled(byte_frames(spark, sf), _double, 5, 2, "average", scale=2, spread=True), 5)
+
+
+@query(
+    "model_stages",
+    f"""WITH {BYTES_SQL}, c AS (SELECT source_id, count(DISTINCT i) AS n FROM b GROUP BY 1), s AS (SELECT unnest(['denoise', 'upscale']) AS stage)
+    SELECT stage, source_id, CAST(n AS BIGINT) AS input_frames, CAST(n AS BIGINT) AS output_frames, n > 0 AS complete FROM c, s""",
+)
+def model_stages(spark, sf):
+    _, reports = apply.run_stages(
+        byte_frames(spark, sf),
+        [
+            ("denoise", lambda df: apply.apply_temporal(df, _mean_of_five, chunk=16)),
+            ("colorize", None),
+            ("upscale", lambda df: apply.apply_framewise(df, _double)),
+        ],
+    )
+    out = None
+    for stage, report in reports.items():
+        part = report.select(F.lit(stage).alias("stage"), "source_id", "input_frames", "output_frames", "complete")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    "frame_profiles",
+    f"""WITH {BYTES_SQL}, d AS (SELECT a.source_id, a.i, avg(a.v) AS luma, avg(abs(r.v - a.v)) AS down, avg(abs(c.v - a.v)) AS across FROM b a
+      LEFT JOIN b r ON r.source_id = a.source_id AND r.i = a.i AND r.p = a.p + 8
+      LEFT JOIN b c ON c.source_id = a.source_id AND c.i = a.i AND c.p = a.p + 1 AND a.p % 8 < 7 GROUP BY 1, 2)
+    SELECT source_id, CAST(i AS BIGINT) AS frame_index, round(luma, 6) AS mean_luma, round(down, 6) AS row_step, round(across, 6) AS col_step FROM d""",
+)
+def frame_profiles(spark, sf):
+    profiles = apply.frame_profile(byte_frames(spark, sf))
+
+    def mean(name):
+        return F.aggregate(name, F.lit(0.0), lambda acc, v: acc + v) / F.size(name)
+
+    return result(
+        profiles.withColumns({"row_step": mean("row_profile"), "col_step": mean("col_profile")}),
+        "source_id",
+        "frame_index:i",
+        "mean_luma:d",
+        "row_step:d",
+        "col_step:d",
+    )
+
+
+@query("caption_components")
+def caption_components(spark, sf):
+    frames = byte_frames(spark, sf)
+    found = apply.detect_caption_components(frames, ("source_id", "frame_index"), light_threshold=150)
+    return found.select("source_id", "frame_index", "component_id", "x", "y", "width", "height", "area", "center_y")

@@ -536,9 +536,9 @@ def model_ratings(spark, sf):
 def pick_tally(spark, sf):
     best = F.max_by("l_suppkey", F.struct("l_extendedprice", -F.col("l_linenumber"), "l_suppkey"))
     lines = table(spark, sf, "lineitem")
-    # candidates of one comparison are a set of models: collected per comparison, bounded by the number of models
-    picks = lines.groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("candidates"), best.alias("winner"))
-    return library.pick_tally(picks)
+    winners = lines.groupBy("l_orderkey").agg(best.alias("model_id"))
+    candidates = lines.select(F.col("l_orderkey").alias("record_id"), F.col("l_suppkey").alias("model_id"))
+    return library.candidate_tally(candidates, winners)
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from framelane.functions.text import file_extension, file_stem, sanitize_name
 from framelane.operators.ordered import blocked_row_number, blocked_running, index_block
+from framelane.session import ensure_checkpoint_dir
 
 MATCH_SLACK_MS = 1000
 OFFSET_TOLERANCE = 0.25
@@ -83,9 +84,11 @@ def destination_names(existing: DataFrame, fresh: DataFrame) -> DataFrame:
 def dedupe_import(library: DataFrame, incoming: DataFrame, content: str = "content") -> DataFrame:
     """Files an import adds: new content only, first arrival wins, with collision-free names.
 
-    ``library``: ``library_id, name, content_hash``.
+    ``library``: ``library_id, name, content_hash``. The new files (ids and hashes only) are checkpointed, so that the
+    contents are hashed and shuffled once although naming reads the list several times.
     """
-    return destination_names(library, first_imports(library, incoming, content))
+    ensure_checkpoint_dir(incoming.sparkSession)
+    return destination_names(library, first_imports(library, incoming, content).checkpoint())
 
 
 def model_ratings(events: DataFrame, key: str = "model_id", order: Sequence[str] = ("updated_at",)) -> DataFrame:
@@ -102,6 +105,14 @@ def pick_tally(picks: DataFrame, candidates: str = "candidates", winner: str = "
     )
 
 
+def candidate_tally(candidates: DataFrame, winners: DataFrame, key: str = "record_id") -> DataFrame:
+    """:func:`pick_tally` for comparisons kept in long form: ``candidates(record_id, model_id)`` and
+    ``winners(record_id, model_id)``. Both sides are counted on their own, so a record of any size is never gathered."""
+    appeared = candidates.select(key, "model_id").distinct().groupBy("model_id").agg(F.count(F.lit(1)).alias("appearances"))
+    won = winners.groupBy("model_id").agg(F.count(F.lit(1)).alias("wins"))
+    return appeared.join(won, "model_id", "left").select("model_id", "appearances", F.coalesce("wins", F.lit(0)).alias("wins"))
+
+
 def picks_logged(picks: DataFrame, keys: Sequence[str] = ("source_path",)) -> DataFrame:
     return picks.groupBy(*keys).agg(F.count(F.lit(1)).alias("picks"))
 

@@ -150,9 +150,12 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "me
         F.percentile_approx("_v", [0.5 - half_width, 0.5 + half_width], accuracy).alias("_b"),
         F.count(F.lit(1)).alias("_n"),
     )
-    placed = (
-        rows.join(brackets, list(keys)) if keys else rows.join(brackets, F.lit(True))
-    ).select(
+    if keys:
+        bracketed = rows.join(brackets, list(keys))
+    else:
+        whole = rows.withColumn("_all", brackets.select(F.struct("_b", "_n")).scalar())
+        bracketed = whole.select("_v", "_all._b", "_all._n")
+    placed = bracketed.select(
         *keys,
         "_n",
         # everything below the bracket collapses into one row per task before the shuffle

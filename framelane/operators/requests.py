@@ -165,19 +165,28 @@ def distinct_sorted(df: DataFrame, column: str, name: str = "values") -> DataFra
     """Sorted distinct integers of a comma list; ``error`` is set for a bad item or an empty list."""
     items = F.filter(F.transform(F.split(column, ","), lambda t: F.trim(t)), lambda t: t != "")
     numbers = F.transform(items, lambda t: t.try_cast("int"))
-    bad = F.exists(numbers, lambda n: n.isNull())
-    error = F.when(bad, F.lit("not an integer")).when(F.size(items) == 0, F.lit("at least one value is required"))
-    return df.withColumns(
-        {name: F.when(error.isNull(), F.array_sort(F.array_distinct(numbers))), "error": error}
+    # parsed once in a column of its own: higher-order functions are not shared between expressions
+    parsed = df.withColumn("_numbers", F.array_sort(F.array_distinct(numbers)))
+    bad = F.array_size(F.array_compact("_numbers")) < F.size("_numbers")
+    error = F.when(bad, F.lit("not an integer")).when(
+        F.size("_numbers") == 0, F.lit("at least one value is required")
     )
+    return parsed.withColumn("error", error).withColumn(
+        name, F.when(F.col("error").isNull(), F.col("_numbers"))
+    ).drop("_numbers")
 
 
 def distinct_in_order(df: DataFrame, column: str, allowed: Sequence[str], name: str = "values") -> DataFrame:
     """Distinct lower-cased items of a comma list in first-seen order; ``error`` for an unknown item or none."""
     items = F.filter(F.transform(F.split(column, ","), lambda t: F.lower(F.trim(t))), lambda t: t != "")
-    unknown = F.exists(items, lambda t: ~t.isin(*allowed))
-    error = F.when(unknown, F.lit("unsupported value")).when(F.size(items) == 0, F.lit("at least one value is required"))
-    return df.withColumns({name: F.when(error.isNull(), F.array_distinct(items)), "error": error})
+    parsed = df.withColumn("_items", F.array_distinct(items))
+    unknown = F.size(F.array_except("_items", F.array(*[F.lit(a) for a in allowed]))) > 0
+    error = F.when(unknown, F.lit("unsupported value")).when(
+        F.size("_items") == 0, F.lit("at least one value is required")
+    )
+    return parsed.withColumn("error", error).withColumn(
+        name, F.when(F.col("error").isNull(), F.col("_items"))
+    ).drop("_items")
 
 
 def same_candidate_set(left: Column | str, right: Column | str) -> Column:

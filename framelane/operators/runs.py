@@ -99,17 +99,18 @@ def summarize_runs(runs: DataFrame, keys: Sequence[str] = ("execution_path",)) -
 def select_execution_path(runs: DataFrame, path: str | None = None, ordinal: str = "path_ordinal") -> DataFrame:
     """Completed runs of the first result, in file order, that has one (and is named ``path`` if given).
 
-    The choice is a one-row aggregate; the query fails when there is no such result.
+    The choice is a scalar subquery; the query fails when there is no such result.
     """
     eligible = runs.where(F.col("status") == "completed")
     if path is not None:
         eligible = eligible.where(F.col("execution_path") == path)
     message = "no completed benchmark runs were found" + (f" for execution path {path!r}" if path else "")
     first = F.min(ordinal)
-    chosen = eligible.agg(
-        F.when(first.isNull(), F.raise_error(F.lit(message)).cast("bigint")).otherwise(first).alias(ordinal)
-    )
-    return eligible.join(F.broadcast(chosen), ordinal)
+    kind = dict(runs.dtypes)[ordinal]
+    chosen = eligible.agg(F.when(first.isNull(), F.raise_error(F.lit(message)).cast(kind)).otherwise(first))
+    # the comparison must run for every run, so that a missing choice fails even when no row is left to compare
+    picked = runs.where(F.coalesce(F.col(ordinal) == chosen.scalar(), F.lit(False)) & (F.col("status") == "completed"))
+    return picked if path is None else picked.where(F.col("execution_path") == path)
 
 
 def compare_runs(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -171,11 +172,11 @@ def overhead_summary(samples: DataFrame, name: str = "name", seconds: str = "sec
 
 def launch_overhead(summary: DataFrame, baseline: str, name: str = "name") -> DataFrame:
     """Per scenario: share of the launch baseline in percent and seconds above it."""
-    launch = summary.where(F.col(name) == baseline).agg(F.max("median_seconds").alias("_launch"))
+    launch = summary.where(F.col(name) == baseline).agg(F.max("median_seconds")).scalar()
     share = F.when(F.col("median_seconds") > 0, F.round(F.col("_launch") / F.col("median_seconds") * 100.0, 2))
     return (
         summary.where(F.col(name) != baseline)
-        .join(F.broadcast(launch), F.lit(True))
+        .withColumn("_launch", launch)
         .select(
             name,
             F.coalesce(share, F.lit(0.0)).alias("launch_share_percent"),
