@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from framelane.operators.completeness import output_completeness
 from framelane.plans.segments import TEMPORAL_MIN_FRAMES, TEMPORAL_RADIUS
-from framelane.plans.tiles import plan_tiles
+from framelane.plans.tiles import tile_plan
 
 FRAME_COLUMNS = ("width", "height", "channels", "pixels")
 
@@ -125,16 +125,10 @@ def apply_tiled(
     """Cut frames into tiles, apply ``fn(tiles)`` (results ``scale`` times larger) and put the frames together again.
 
     ``crop`` keeps the inner part of each tile, ``average`` divides the sum of overlapping results by their coverage.
-    The tile plan is made once per frame size. ``spread`` sends the tiles of a frame to different tasks.
+    The tile plan is a column of the frame's own row, so planning needs no join. ``spread`` sends the tiles of a frame to different tasks.
     """
-    sizes = frames.select("width", "height").distinct()
     spots = ("top", "left", "bottom", "right", "crop_top", "crop_left", "crop_bottom", "crop_right")
-    plans = (
-        plan_tiles(sizes, tile, overlap, mode, multiple)
-        .groupBy("width", "height")
-        .agg(F.array_sort(F.collect_list(F.struct("tile_row", "tile_col", *spots))).alias("_plan"))
-    )
-    planned = frames.select(*keys, *FRAME_COLUMNS).join(plans, ["width", "height"])
+    plan = tile_plan(F.col("width"), F.col("height"), tile, overlap, mode, multiple)
     tile_columns = ("tile_index", "frame_width", "frame_height", *spots)
     key_schema = _schema(frames, keys)
     tile_schema = f"{key_schema}, " + ", ".join(f"{c} int" for c in tile_columns) + (
@@ -160,7 +154,7 @@ def apply_tiled(
                     rows.append((*[getattr(r, k) for k in keys], *place, *_encode(part)))
             yield pd.DataFrame(rows, columns=[*keys, *tile_columns, *FRAME_COLUMNS])
 
-    tiles = planned.select(*keys, *FRAME_COLUMNS, F.col("_plan").alias("plan")).mapInPandas(scatter, tile_schema)
+    tiles = frames.select(*keys, *FRAME_COLUMNS, plan.alias("plan")).mapInPandas(scatter, tile_schema)
     if spread:
         tiles = tiles.repartition(*keys, "tile_index")
     done = apply_framewise(tiles, fn, [*keys, *tile_columns], batch)

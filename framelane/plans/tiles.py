@@ -17,6 +17,67 @@ def tile_halo(tile: int) -> int:
     return min(TILE_HALO_MAX, max(TILE_HALO_MIN, tile // 4))
 
 
+def tile_plan(
+    width: Column, height: Column, tile: int, overlap: int = 0, mode: str = "crop", multiple: int = 1
+) -> Column:
+    """The tiles of a frame as an array of structs, in row order.
+
+    ``tile_row, tile_col``; ``top, left, bottom, right`` is what the model reads and ``crop_*`` the part of the frame
+    the tile contributes. ``crop``: disjoint cores with a halo that is cut away afterwards. ``average``: overlapping
+    tiles, the last one flush with the edge, summed and divided by the coverage; the frame is first padded to
+    ``multiple``.
+    """
+    w, h = width.cast("bigint"), height.cast("bigint")
+    if mode not in ("crop", "average"):
+        raise ValueError(f"unknown tile mode {mode!r}")
+    whole_spot = F.array(_long(0))
+    if mode == "crop":
+        whole = F.lit(tile <= 0) | ((w <= tile) & (h <= tile))
+        halo = tile_halo(tile)
+
+        def starts(size: Column) -> Column:
+            return F.when(whole, whole_spot).otherwise(F.sequence(_long(0), size - 1, _long(max(1, tile))))
+
+        def span(start: Column, size: Column) -> tuple[Column, ...]:
+            end = F.when(whole, size).otherwise(F.least(size, start + tile))
+            return F.greatest(_long(0), start - halo), F.least(size, end + halo), start, end
+
+        rows, cols = starts(h), starts(w)
+    else:
+        m = max(1, multiple)
+
+        def padded(size: Column) -> Column:
+            return size + F.pmod(_long(m) - F.pmod(size, _long(m)), _long(m))
+
+        pw, ph = padded(w), padded(h)
+        whole = F.lit(tile <= 0) | ((ph <= tile) & (pw <= tile))
+        small = F.least(_long(tile), ph, pw)
+        side = F.greatest(_long(m), small - F.pmod(small, _long(m)))
+        step = F.greatest(_long(m), side - F.least(_long(max(0, overlap)), F.greatest(_long(0), side - m)))
+
+        def starts(size: Column) -> Column:
+            regular = F.sequence(_long(0), F.greatest(_long(1), size - side) - 1, step)
+            flush = F.array(F.greatest(_long(0), size - side))
+            return F.when(whole, whole_spot).otherwise(F.array_sort(F.array_distinct(F.concat(regular, flush))))
+
+        def span(start: Column, size: Column) -> tuple[Column, ...]:
+            end = F.when(whole, padded(size)).otherwise(start + side)
+            return start, end, F.least(size, start), F.least(size, end)
+
+        rows, cols = starts(ph), starts(pw)
+
+    def spot(top: Column, row: Column, left: Column, col: Column) -> Column:
+        y, x = span(top, h), span(left, w)
+        values = {
+            "tile_row": row, "tile_col": col,
+            "top": y[0], "left": x[0], "bottom": y[1], "right": x[1],
+            "crop_top": y[2], "crop_left": x[2], "crop_bottom": y[3], "crop_right": x[3],
+        }
+        return F.struct(*[v.alias(n) for n, v in values.items()])
+
+    return F.flatten(F.transform(rows, lambda top, row: F.transform(cols, lambda left, col: spot(top, row, left, col))))
+
+
 def plan_tiles(
     df: DataFrame,
     tile: int,
@@ -26,72 +87,6 @@ def plan_tiles(
     width: str = "width",
     height: str = "height",
 ) -> DataFrame:
-    """One row per tile: ``tile_row, tile_col, top, left, bottom, right`` is what the model reads,
-    ``crop_*`` is the part of the frame the tile contributes.
-
-    ``crop``: disjoint cores with a halo that is cut away afterwards. ``average``: overlapping tiles, the last one
-    flush with the edge, summed and divided by the coverage; the frame is first padded to ``multiple``.
-    """
-    w, h = F.col(width).cast("bigint"), F.col(height).cast("bigint")
-    if mode == "crop":
-        whole = F.lit(tile <= 0) | ((w <= tile) & (h <= tile))
-        step = _long(max(1, tile))
-        halo = tile_halo(tile)
-        tops = F.when(whole, F.array(_long(0))).otherwise(F.sequence(_long(0), h - 1, step))
-        lefts = F.when(whole, F.array(_long(0))).otherwise(F.sequence(_long(0), w - 1, step))
-        placed = (
-            df.withColumn("_whole", whole)
-            .select("*", F.posexplode(tops).alias("tile_row", "crop_top"))
-            .select("*", F.posexplode(lefts).alias("tile_col", "crop_left"))
-        )
-        bottom = F.when(F.col("_whole"), h).otherwise(F.least(h, F.col("crop_top") + tile))
-        right = F.when(F.col("_whole"), w).otherwise(F.least(w, F.col("crop_left") + tile))
-        placed = placed.withColumns({"crop_bottom": bottom, "crop_right": right})
-        return placed.withColumns(
-            {
-                "top": F.greatest(_long(0), F.col("crop_top") - halo),
-                "left": F.greatest(_long(0), F.col("crop_left") - halo),
-                "bottom": F.least(h, F.col("crop_bottom") + halo),
-                "right": F.least(w, F.col("crop_right") + halo),
-            }
-        ).drop("_whole")
-    if mode != "average":
-        raise ValueError(f"unknown tile mode {mode!r}")
-    m = max(1, multiple)
-
-    def padded(size: Column) -> Column:
-        return size + F.pmod(_long(m) - F.pmod(size, _long(m)), _long(m))
-
-    staged = df.withColumns({"_pw": padded(w), "_ph": padded(h)})
-    pw, ph = F.col("_pw"), F.col("_ph")
-    small = F.least(_long(tile), ph, pw)
-    side = F.greatest(_long(m), small - F.pmod(small, _long(m)))
-    staged = staged.withColumns({"_whole": F.lit(tile <= 0) | ((ph <= tile) & (pw <= tile)), "_tile": side})
-    inner = F.least(_long(max(0, overlap)), F.greatest(_long(0), F.col("_tile") - m))
-    staged = staged.withColumn("_step", F.greatest(_long(m), F.col("_tile") - inner))
-
-    def starts(size: Column) -> Column:
-        end = F.greatest(_long(0), size - F.col("_tile"))
-        span = F.greatest(_long(1), size - F.col("_tile"))
-        regular = F.sequence(_long(0), span - 1, F.col("_step"))
-        return F.when(F.col("_whole"), F.array(_long(0))).otherwise(
-            F.array_sort(F.array_distinct(F.concat(regular, F.array(end))))
-        )
-
-    placed = staged.select("*", F.posexplode(starts(ph)).alias("tile_row", "top")).select(
-        "*", F.posexplode(starts(pw)).alias("tile_col", "left")
-    )
-    placed = placed.withColumns(
-        {
-            "bottom": F.when(F.col("_whole"), ph).otherwise(F.col("top") + F.col("_tile")),
-            "right": F.when(F.col("_whole"), pw).otherwise(F.col("left") + F.col("_tile")),
-        }
-    )
-    return placed.withColumns(
-        {
-            "crop_top": F.least(h, F.col("top")),
-            "crop_left": F.least(w, F.col("left")),
-            "crop_bottom": F.least(h, F.col("bottom")),
-            "crop_right": F.least(w, F.col("right")),
-        }
-    ).drop("_pw", "_ph", "_whole", "_tile", "_step")
+    """One row per tile of :func:`tile_plan`."""
+    plan = tile_plan(F.col(width), F.col(height), tile, overlap, mode, multiple)
+    return df.select("*", F.explode(plan).alias("_tile")).select(*df.columns, "_tile.*")
