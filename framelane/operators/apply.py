@@ -110,6 +110,44 @@ def apply_temporal(
     return spread.groupBy(*keys, "_chunk").applyInPandas(run, _frame_schema(frames, by))
 
 
+SPOT = ("top", "left", "bottom", "right", "crop_top", "crop_left", "crop_bottom", "crop_right")
+
+
+def _spots(plan) -> list[tuple[int, ...]]:
+    """A plan column value as tuples in the order of ``SPOT``."""
+    return [tuple(int(s[c]) for c in SPOT) for s in plan]
+
+
+def _cut(frame, spots):
+    """The tiles of a frame; a frame smaller than its padded plan is mirrored at the far edges."""
+    import numpy as np
+
+    down = max(0, max(s[2] for s in spots) - frame.shape[0])
+    across = max(0, max(s[3] for s in spots) - frame.shape[1])
+    if down or across:
+        frame = np.pad(frame, ((0, down), (0, across), (0, 0)), mode="reflect")
+    return [frame[top:bottom, left:right] for top, left, bottom, right, *_ in spots]
+
+
+def _assemble(parts, spots, height: int, width: int, mode: str, scale: int):
+    """Put processed tiles together: inner parts side by side, or the mean where tiles overlap."""
+    import numpy as np
+
+    channels = parts[0].shape[2]
+    placed = [tuple(v * scale for v in s) for s in spots]
+    if mode == "crop":
+        out = np.zeros((height * scale, width * scale, channels), dtype=np.uint8)
+        for part, (top, left, _, _, ct, cl, cb, cr) in zip(parts, placed):
+            out[ct:cb, cl:cr] = part[ct - top : cb - top, cl - left : cr - left]
+        return out
+    extent = (max(s[2] for s in placed), max(s[3] for s in placed))
+    total, cover = np.zeros((*extent, channels)), np.zeros((*extent, 1))
+    for part, (top, left, bottom, right, *_) in zip(parts, placed):
+        total[top:bottom, left:right] += part
+        cover[top:bottom, left:right] += 1
+    return np.clip(np.rint(total / cover), 0, 255).astype(np.uint8)[: height * scale, : width * scale]
+
+
 def apply_tiled(
     frames: DataFrame,
     fn: Callable,
@@ -125,65 +163,67 @@ def apply_tiled(
     """Cut frames into tiles, apply ``fn(tiles)`` (results ``scale`` times larger) and put the frames together again.
 
     ``crop`` keeps the inner part of each tile, ``average`` divides the sum of overlapping results by their coverage.
-    The tile plan is a column of the frame's own row, so planning needs no join. ``spread`` sends the tiles of a frame to different tasks.
+    The tile plan is a column of the frame's own row, so planning needs no join. Normally a frame is cut, processed and
+    assembled in its own task without a shuffle; ``spread`` sends the tiles of a frame to different tasks, for few but
+    large frames.
     """
-    spots = ("top", "left", "bottom", "right", "crop_top", "crop_left", "crop_bottom", "crop_right")
-    plan = tile_plan(F.col("width"), F.col("height"), tile, overlap, mode, multiple)
-    tile_columns = ("tile_index", "frame_width", "frame_height", *spots)
-    key_schema = _schema(frames, keys)
-    tile_schema = f"{key_schema}, " + ", ".join(f"{c} int" for c in tile_columns) + (
+    planned = frames.select(
+        *keys, *FRAME_COLUMNS, tile_plan(F.col("width"), F.col("height"), tile, overlap, mode, multiple).alias("plan")
+    )
+    result_schema = _frame_schema(frames, keys)
+    if not spread:
+
+        def whole(batches: Iterator):
+            for pdf in batches:
+                for n, r in enumerate(pdf.itertuples(index=False)):
+                    spots = _spots(r.plan)
+                    parts = _cut(_decode(r), spots)
+                    done = []
+                    for start in range(0, len(parts), batch):
+                        done.extend(fn(parts[start : start + batch]))
+                    yield _attach(
+                        pdf.iloc[n : n + 1], keys, [_assemble(done, spots, int(r.height), int(r.width), mode, scale)]
+                    )
+
+        return planned.mapInPandas(whole, result_schema)
+
+    places = ("tile_index", "frame_width", "frame_height", *SPOT)
+    tile_schema = f"{_schema(frames, keys)}, " + ", ".join(f"{c} int" for c in places) + (
         ", width int, height int, channels int, pixels binary"
     )
 
     def scatter(batches: Iterator):
-        import numpy as np
         import pandas as pd
 
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                frame = _decode(r)
-                plan = [s if isinstance(s, dict) else s.asDict() for s in r.plan]
-                down = max(int(s["bottom"]) for s in plan) - frame.shape[0]
-                across = max(int(s["right"]) for s in plan) - frame.shape[1]
-                if down > 0 or across > 0:
-                    frame = np.pad(frame, ((0, max(0, down)), (0, max(0, across)), (0, 0)), mode="reflect")
-                for n, s in enumerate(plan):
-                    part = frame[int(s["top"]) : int(s["bottom"]), int(s["left"]) : int(s["right"])]
-                    place = (n, int(r.width), int(r.height), *[int(s[c]) for c in spots])
-                    rows.append((*[getattr(r, k) for k in keys], *place, *_encode(part)))
-            yield pd.DataFrame(rows, columns=[*keys, *tile_columns, *FRAME_COLUMNS])
-
-    tiles = frames.select(*keys, *FRAME_COLUMNS, plan.alias("plan")).mapInPandas(scatter, tile_schema)
-    if spread:
-        tiles = tiles.repartition(*keys, "tile_index")
-    done = apply_framewise(tiles, fn, [*keys, *tile_columns], batch)
-
-    def gather(key, pdf):
+                spots = _spots(r.plan)
+                base = tuple(getattr(r, k) for k in keys)
+                for n, (spot, part) in enumerate(zip(spots, _cut(_decode(r), spots))):
+                    rows.append((*base, n, int(r.width), int(r.height), *spot, *_encode(part)))
+            yield pd.DataFrame(rows, columns=[*keys, *places, *FRAME_COLUMNS])
+
+    tiles = planned.mapInPandas(scatter, tile_schema).repartition(*keys, "tile_index")
+    done = apply_framewise(tiles, fn, [*keys, *places], batch)
+    # one row per frame; its list is as long as the frame has tiles
+    collected = done.groupBy(*keys, "frame_width", "frame_height").agg(
+        F.collect_list(F.struct(*SPOT, *FRAME_COLUMNS)).alias("parts")
+    )
+
+    def gather(batches: Iterator):
         import numpy as np
 
-        first = pdf.iloc[0]
-        h, w, c = int(first["frame_height"]) * scale, int(first["frame_width"]) * scale, int(first["channels"])
-        if mode == "crop":
-            out = np.zeros((h, w, c), dtype=np.uint8)
-            for r in pdf.itertuples(index=False):
-                part = _decode(r)
-                y, x = (r.crop_top - r.top) * scale, (r.crop_left - r.left) * scale
-                dy, dx = (r.crop_bottom - r.crop_top) * scale, (r.crop_right - r.crop_left) * scale
-                out[r.crop_top * scale : r.crop_top * scale + dy, r.crop_left * scale : r.crop_left * scale + dx] = part[
-                    y : y + dy, x : x + dx
+        for pdf in batches:
+            for n, r in enumerate(pdf.itertuples(index=False)):
+                parts = [
+                    np.frombuffer(p["pixels"], dtype=np.uint8).reshape(p["height"], p["width"], p["channels"])
+                    for p in r.parts
                 ]
-        else:
-            height, width = int(pdf["bottom"].max()) * scale, int(pdf["right"].max()) * scale
-            total, cover = np.zeros((height, width, c)), np.zeros((height, width, 1))
-            for r in pdf.itertuples(index=False):
-                area = np.s_[r.top * scale : r.bottom * scale, r.left * scale : r.right * scale]
-                total[area] += _decode(r)
-                cover[area] += 1
-            out = np.clip(np.rint(total / cover), 0, 255).astype(np.uint8)[:h, :w]
-        return _attach(pdf.iloc[:1], keys, [out])
+                frame = _assemble(parts, _spots(r.parts), int(r.frame_height), int(r.frame_width), mode, scale)
+                yield _attach(pdf.iloc[n : n + 1], keys, [frame])
 
-    return done.groupBy(*keys).applyInPandas(gather, _frame_schema(frames, keys))
+    return collected.mapInPandas(gather, result_schema)
 
 
 def run_stages(
