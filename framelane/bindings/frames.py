@@ -283,7 +283,24 @@ def seam_scores(spark, sf):
     )
 
 
-@query("tile_seams")
+SEAM_SQL = """v AS (SELECT label AS source_id, vec_id AS frame_index, 'row' AS axis, CAST(unnest(range(64)) AS INT) AS i, abs(CAST(unnest(embedding) AS DOUBLE)) * 100 AS x FROM embeddings
+    UNION ALL SELECT label, vec_id, 'col', CAST(unnest(range(64)) AS INT), abs(CAST(unnest(list_reverse(embedding)) AS DOUBLE)) * 100 FROM embeddings),
+  md AS (SELECT a.source_id, a.frame_index, a.axis, a.i, median(b.x) AS m FROM v a JOIN v b ON b.frame_index = a.frame_index AND b.axis = a.axis
+    AND abs(b.i - a.i) BETWEEN 3 AND 8 WHERE a.i BETWEEN 8 AND 55 GROUP BY ALL),
+  nb AS (SELECT *, lag(x) OVER w AS bf, lead(x) OVER w AS af FROM v WINDOW w AS (PARTITION BY frame_index, axis ORDER BY i)),
+  ca AS (SELECT nb.*, x / greatest(1.0, m) AS r FROM nb JOIN md USING (source_id, frame_index, axis, i)
+    WHERE x >= bf AND x >= af AND x >= 8 AND x / greatest(1.0, m) >= 2.8 AND x - m >= 6),
+  pk AS (SELECT source_id, frame_index, axis, list_reduce(list([i] ORDER BY x DESC, i DESC), lambda a, n: CASE WHEN len(a) < 4
+    AND len(list_filter(a, lambda k: abs(k - n[1]) < 12)) = 0 THEN list_concat(a, n) ELSE a END) AS ks FROM ca GROUP BY 1, 2, 3),
+  pe AS (SELECT ca.*, printf('%.1f', r) AS t FROM ca JOIN pk USING (source_id, frame_index, axis) WHERE list_contains(ks, i)),
+  fr AS (SELECT source_id, frame_index, count(*) FILTER (WHERE axis = 'row') AS nr, count(*) FILTER (WHERE axis = 'col') AS nc,
+    max(CAST(t AS DOUBLE)) FILTER (WHERE axis = 'col') AS mc, string_agg(axis || (i + 1) || ':' || t || 'x', ',' ORDER BY axis DESC, i) AS labels FROM pe GROUP BY 1, 2)"""
+
+
+@query(
+    "tile_seams",
+    f"WITH {SEAM_SQL} SELECT source_id, frame_index, labels FROM fr WHERE nr >= 2 OR (nc >= 3 AND mc >= 6.0)",
+)
 def tile_seams(spark, sf):
     profiles = table(spark, sf, "embeddings").select(
         F.col("label").alias("source_id"),
@@ -568,8 +585,18 @@ def frame_profiles(spark, sf):
     )
 
 
-@query("caption_components")
+@query(
+    "caption_components",
+    f"""WITH RECURSIVE {BYTES_SQL}, l AS (SELECT source_id, i, p, p // 8 - 5 AS y, p % 8 AS x FROM b WHERE v >= 150 AND p // 8 >= 5),
+    re AS (SELECT source_id, i, p, p AS q FROM l UNION SELECT re.source_id, re.i, re.p, n.p FROM re JOIN l f ON f.source_id = re.source_id AND f.i = re.i AND f.p = re.q
+      JOIN l n ON n.source_id = re.source_id AND n.i = re.i AND abs(n.y - f.y) <= 1 AND abs(n.x - f.x) <= 1),
+    ro AS (SELECT source_id, i, p, min(q) AS root FROM re GROUP BY 1, 2, 3),
+    co AS (SELECT source_id, i, root, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) AS n, avg(y) AS cy FROM ro JOIN l USING (source_id, i, p) GROUP BY 1, 2, 3)
+    SELECT source_id, CAST(i AS BIGINT) AS frame_index, CAST(row_number() OVER (PARTITION BY source_id, i ORDER BY root) AS BIGINT) AS component_id, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y,
+      CAST(w AS BIGINT) AS width, CAST(h AS BIGINT) AS height, CAST(n AS BIGINT) AS area, round(cy, 6) AS center_y FROM co""",
+)
 def caption_components(spark, sf):
     frames = byte_frames(spark, sf)
     found = apply.detect_caption_components(frames, ("source_id", "frame_index"), light_threshold=150)
-    return found.select("source_id", "frame_index", "component_id", "x", "y", "width", "height", "area", "center_y")
+    whole = ("frame_index", "component_id", "x", "y", "width", "height", "area")
+    return result(found, "source_id", *[f"{c}:i" for c in whole], "center_y:d")

@@ -27,7 +27,9 @@ def connect(sf_dir: str):
 
 def plain(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else value
+        if math.isnan(value):
+            return "nan"
+        return "-0.0" if value == 0 and math.copysign(1.0, value) < 0 else value  # a value hash tells the zeros apart
     if isinstance(value, (list, tuple)):
         return tuple(plain(v) for v in value)
     if isinstance(value, dict):
