@@ -138,31 +138,47 @@ def blocked_running(
     return out.select(*[F.col(c) for c in df.columns], *[c.alias(n) for n, c in both.items()])
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", accuracy: int = 10_000) -> DataFrame:
+def exact_median(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    name: str = "median",
+    accuracy: int = 10_000,
+    extra: dict[str, Column] | None = None,
+) -> DataFrame:
     """Exact median per key (mean of the two middle values), one row per key that has a non-null value.
 
+    ``extra`` aggregates of the non-null rows are computed in the same pass as the sketch.
+
     A mergeable quantile sketch brackets the middle ranks; exact counts below the bracket and the few distinct values
     inside it then give the median. No task ever holds a whole group.
     """
     half_width = 3.0 / accuracy
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    brackets = rows.groupBy(*keys).agg(
+    extra = extra or {}
+    present = df.where(F.col(value).isNotNull())
+    rows = present.select(*keys, F.col(value).cast("double").alias("_v"))
+    brackets = present.withColumn("_v", F.col(value).cast("double")).groupBy(*keys).agg(
         F.percentile_approx("_v", [0.5 - half_width, 0.5 + half_width], accuracy).alias("_b"),
         F.count(F.lit(1)).alias("_n"),
+        *[c.alias(f"_x_{n}") for n, c in extra.items()],
     )
+    carried = [f"_x_{n}" for n in extra]
     if keys:
         bracketed = rows.join(brackets, list(keys))
     else:
-        whole = rows.withColumn("_all", brackets.select(F.struct("_b", "_n")).scalar())
-        bracketed = whole.select("_v", "_all._b", "_all._n")
+        whole = rows.withColumn("_all", brackets.select(F.struct("_b", "_n", *carried)).scalar())
+        bracketed = whole.select("_v", "_all.*")
     placed = bracketed.select(
         *keys,
         "_n",
+        *carried,
         # everything below the bracket collapses into one row per task before the shuffle
         F.when(F.col("_v") < F.col("_b")[0], F.lit(None).cast("double")).otherwise(F.col("_v")).alias("_v"),
         (F.col("_v") <= F.col("_b")[1]).alias("_near"),
     )
-    counted = placed.where("_near").groupBy(*keys, "_n", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counted = placed.where("_near").groupBy(*keys, "_n", "_v").agg(
+        F.count(F.lit(1)).alias("_c"), *[F.max(c).alias(c) for c in carried]
+    )
     upto = (
         Window.partitionBy(*keys)
         .orderBy(F.col("_v").asc_nulls_first())
@@ -179,7 +195,8 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "me
     return middle.groupBy(*keys).agg(
         F.when((weight == 2) & (F.count("_v") == F.count(F.lit(1))), total / 2)
         .otherwise(F.raise_error(F.lit("median bracket missed the middle rank")).cast("double"))
-        .alias(name)
+        .alias(name),
+        *[F.max(f"_x_{n}").alias(n) for n in extra],
     )
 
 

@@ -88,12 +88,13 @@ def summarize_runs(runs: DataFrame, keys: Sequence[str] = ("execution_path",)) -
     """
     long = _completed_metrics(runs, keys)
     by = [*keys, "metric"]
-    averages = long.groupBy(*by).agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg("value"), 6).alias("average"))
-    medians = exact_median(long, by, "value")
+    medians = exact_median(
+        long, by, "value", extra={"runs": F.count(F.lit(1)), "average": F.round(F.avg("value"), 6)}
+    )
     median = F.when(F.endswith("metric", F.lit("_frames")), F.floor("median").cast("double")).otherwise(
         F.round("median", 6)
     )
-    return averages.join(medians, by).select(*by, "runs", median.alias("median"), "average")
+    return medians.select(*by, "runs", median.alias("median"), "average")
 
 
 def select_execution_path(runs: DataFrame, path: str | None = None, ordinal: str = "path_ordinal") -> DataFrame:
@@ -160,14 +161,15 @@ def summarize_repeats(repeats: DataFrame, keys: Sequence[str] = ("model_id", "ti
 
 def overhead_summary(samples: DataFrame, name: str = "name", seconds: str = "seconds") -> DataFrame:
     """Min, max, exact median and mean seconds per scenario; the samples themselves stay rows of the input."""
-    stats = samples.groupBy(name).agg(
-        F.count(F.lit(1)).alias("samples"),
-        F.round(F.min(seconds), 6).alias("min_seconds"),
-        F.round(F.max(seconds), 6).alias("max_seconds"),
-        F.round(F.avg(seconds), 6).alias("average_seconds"),
+    extra = {
+        "samples": F.count(F.lit(1)),
+        "min_seconds": F.round(F.min(seconds), 6),
+        "max_seconds": F.round(F.max(seconds), 6),
+        "average_seconds": F.round(F.avg(seconds), 6),
+    }
+    return exact_median(samples, [name], seconds, "_median", extra=extra).select(
+        name, *extra, F.round("_median", 6).alias("median_seconds")
     )
-    medians = exact_median(samples, [name], seconds, "_median")
-    return stats.join(medians, name).withColumn("median_seconds", F.round("_median", 6)).drop("_median")
 
 
 def launch_overhead(summary: DataFrame, baseline: str, name: str = "name") -> DataFrame:

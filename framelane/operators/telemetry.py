@@ -219,16 +219,23 @@ def progress_percent(
         raw = F.coalesce(F.col(name), F.lit(0)).cast("bigint")
         return F.when(mode == "off", raw).otherwise(_scaled(raw, source, total)) if name in source_side else raw
 
+    # counters and weights get columns of their own, so that neither is written out twice in the final expressions
+    staged = progress.withColumns(
+        {
+            **{f"_c_{n}": counter(n) for n in weights},
+            **{f"_w_{n}": F.greatest(F.lit(0), w) for n, w in weights.items()},
+        }
+    )
     score = F.lit(0.0)
-    for name, weight in weights.items():
-        ratio = F.when(total > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), safe_div(counter(name), total)))).otherwise(0.0)
-        score = score + ratio * F.greatest(F.lit(0), weight)
-    return progress.withColumns(
+    for name in weights:
+        ratio = F.greatest(F.lit(0.0), F.least(F.lit(1.0), safe_div(f"_c_{name}", total)))
+        score = score + F.when(total > 0, ratio).otherwise(0.0) * F.col(f"_w_{name}")
+    return staged.withColumns(
         {
             "percent": F.least(F.lit(99).cast("bigint"), round_half_even(score)),
-            "processed_frames": F.greatest(*[counter(n) for n in weights]),
+            "processed_frames": F.greatest(*[F.col(f"_c_{n}") for n in weights]),
         }
-    )
+    ).drop(*[f"_{kind}_{n}" for kind in "cw" for n in weights])
 
 
 def window_rollup(
