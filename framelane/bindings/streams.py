@@ -19,7 +19,7 @@ def replay(spark, sf_dir, name, columns, build, complete=False):
     folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = (
         spark.readStream.schema(table(spark, sf_dir, name).schema)
-        .option("maxBytesPerTrigger", "256m")  # a keyed step holds its part of one micro-batch in memory
+        .option("maxBytesPerTrigger", 256 * 2**20)  # a keyed step holds its part of one micro-batch in memory
         .parquet(f"{sf_dir}/{name}.parque[t]")  # as a pattern, the table may be one file or a folder of files
     )
     rows = build(source.select(*[F.expr(c) for c in split_columns(columns)]))
