@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from framelane.llm import feistel, mixing, quality_risk, url_filter
+from framelane.llm import byte_bpe, feistel, license_index, mixing, pii_anchors, quality_risk, rp_forest, simhash_tiles, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,11 +21,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_rp_forest_dedup(spark, sf_dir):
+    return rp_forest.dedup(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op2_pii_anchors(spark, sf_dir):
+    return pii_anchors.scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_url_ngrams(spark, sf_dir):
     return url_filter.judge_pages(table(spark, sf_dir, "pages"))
 
 
+@query
+def op4_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query
+def op5_simhash_tiles(spark, sf_dir):
+    return simhash_tiles.dedup(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_mixing_tree(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -67,6 +90,11 @@ FROM b JOIN cut c ON b.source IS NOT DISTINCT FROM c.source AND b.block = c.bloc
 """
 
 
+@query
+def op9_license_positions(spark, sf_dir):
+    return license_index.scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_feistel_shards(spark, sf_dir):
     return feistel.shard_documents(table(spark, sf_dir, "documents"))
