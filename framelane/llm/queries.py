@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from framelane.llm import byte_bpe, feistel, license_index, mixing, pii_anchors, quality_risk, rp_forest, simhash_tiles, url_filter
+from framelane.llm import byte_bpe, feistel, license_index, lpf_dedup, mixing, pii_anchors, quality_risk, rp_forest, simhash_tiles, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,6 +100,11 @@ def op10_feistel_shards(spark, sf_dir):
     return feistel.shard_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_lpf_dedup(spark, sf_dir):
+    return lpf_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_quality_thresholds(spark, sf_dir):
     return quality_risk.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
