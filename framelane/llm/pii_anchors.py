@@ -240,10 +240,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def mask_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with their columns, spans in ``text_col`` masked; null stays null."""
+    """The rows of ``docs`` with their columns, spans in ``text_col`` masked; null stays null. A column ``n_chars`` follows the new text."""
 
     @F.arrow_udf("string")
     def masked(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else mask(t, find_spans(t)) for t in texts.to_pylist()], pa.string())
 
-    return docs.withColumn(text_col, masked(text_col))
+    out = docs.withColumn(text_col, masked(text_col))
+    if dict(docs.dtypes).get("n_chars") == "bigint":
+        out = out.withColumn("n_chars", F.when(F.col(text_col).isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast("long")))
+    return out

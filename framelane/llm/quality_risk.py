@@ -153,8 +153,10 @@ def judge_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", *
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **kw) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns; the texts pass twice and are not shuffled."""
-    stats = with_stats(docs.select("doc_id", "text", F.col(stratum).alias("_stratum"))).drop("text")
-    cutoffs = checkpointed(select_cutoffs(stats, labels, "_stratum", **kw))
-    packed = docs.select(F.struct("*").alias("_row"), "text", F.col(stratum).alias("_stratum"))
-    return verdicts(with_stats(packed).drop("text"), cutoffs, "_stratum").filter("kept").select("_row.*")
+    """The rows of ``docs`` that are kept, with their columns. Verdicts are found by id and a hash of the text, nulls included."""
+    doc, tie = F.coalesce("doc_id", F.lit(2**63 - 1)).cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))
+    stats = checkpointed(with_stats(docs.select("doc_id", "text", F.col(stratum).alias("_stratum"), doc.alias("_doc"), tie.alias("_tie"))).drop("text"))
+    good = verdicts(stats, select_cutoffs(stats, labels, "_stratum", **kw), "_stratum").filter("kept").select("_doc", "_tie", "_stratum")
+    packed = docs.select(F.struct("*").alias("_row"), F.col(stratum).alias("_own"), doc.alias("_id"), tie.alias("_hash"))
+    found = (F.col("_id") == F.col("_doc")) & (F.col("_hash") == F.col("_tie")) & F.col("_own").eqNullSafe(F.col("_stratum"))
+    return packed.join(good, found, "left_semi").select("_row.*")

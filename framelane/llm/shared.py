@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from framelane.session import ensure_checkpoint_dir
 
@@ -17,6 +17,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share."""
+    return ensure_checkpoint_dir(spark).rstrip("/")
+
+
 def words_of(text: Column) -> Column:
     """The words of a text (``WORD``), in order; null and blank texts have none."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
