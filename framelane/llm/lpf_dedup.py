@@ -27,11 +27,11 @@ from framelane.llm.shared import checkpointed
 
 GRAM = 32
 #: Bytes of text in a batch (one group of a task), and in a chunk (one round of array work).
-BATCH, CHUNK = 8_000_000, 1_000_000
+BATCH, CHUNK = 4_000_000, 400_000
 #: Runs of one key that may meet in a bucket.
 HOT = 2048
 #: Windows sorted at a time.
-SORTED = 400_000
+SORTED = 100_000
 
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
