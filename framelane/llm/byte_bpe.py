@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+import os
 from collections.abc import Iterable, Iterator
 from functools import cache, lru_cache
 from itertools import chain
@@ -32,7 +33,7 @@ def byte_table() -> tuple[str, ...]:
 class ByteBpe:
     """One vocabulary; ``ranks`` maps a token's bytes to its id, the lower the earlier it is merged."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 600_000):
         chars = byte_table()
         name = lambda raw: "".join([chars[b] for b in raw])
         merges = []
@@ -47,22 +48,30 @@ class ByteBpe:
         self.remembered = remembered
         self._hidden = str.maketrans({chr(b): c for b, c in enumerate(chars)})
 
-    def _learn(self, pieces: set[str]) -> None:
-        fresh = [p for p in pieces if p not in self.pieces]
-        if len(self.pieces) + len(fresh) > self.remembered:
-            self.pieces.clear()
-            fresh = list(pieces)
+    def _ids_of(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
+        """The ids of some pieces. The first ``remembered`` pieces that a worker meets, among them all common ones, stay known."""
+        own = {p: self.pieces[p] for p in pieces if p in self.pieces}
+        fresh = [p for p in pieces if p not in own]
         hidden = [p.encode().decode("latin-1").translate(self._hidden) for p in fresh]
-        for piece, got in zip(fresh, self.tokenizer.encode_batch_fast(hidden, add_special_tokens=False)):
-            self.pieces[piece] = tuple(got.ids)
+        got = {p: tuple(e.ids) for p, e in zip(fresh, self.tokenizer.encode_batch_fast(hidden, add_special_tokens=False))}
+        if len(self.pieces) + len(got) <= self.remembered:
+            self.pieces.update(got)
+        own.update(got)
+        return own
+
+    def encode_all(self, texts: list[str], at_once: int = 250_000) -> Iterator[list[int]]:
+        """The ids of each text; the pieces of some ``at_once`` characters are looked up together."""
+        low, size = 0, 0
+        for i, text in enumerate(texts):
+            size += len(text)
+            if size >= at_once or i == len(texts) - 1:
+                cut = [self.pattern.findall(t) for t in texts[low : i + 1]]
+                known = self._ids_of(set(chain.from_iterable(cut)))
+                yield from (list(chain.from_iterable(map(known.__getitem__, pieces))) for pieces in cut)
+                low, size = i + 1, 0
 
     def encode(self, text: str) -> list[int]:
-        pieces = self.pattern.findall(text)
-        try:
-            return list(chain.from_iterable(map(self.pieces.__getitem__, pieces)))
-        except KeyError:
-            self._learn(set(pieces))
-            return list(chain.from_iterable(map(self.pieces.__getitem__, pieces)))
+        return next(self.encode_all([text]))
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.raw.__getitem__, ids))
@@ -86,21 +95,29 @@ class ByteBpe:
 
 @lru_cache(maxsize=2)
 def load(path: str, pattern: str) -> ByteBpe:
-    """A rank file (base64 token and rank per line), read once per Python worker."""
+    """A rank file (base64 token and rank per line), read once per Python worker, which has one core."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     return ByteBpe(ranks, pattern)
 
 
-def encode_rows(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids array<int>`` for every row. A null text counts as empty and has no ids."""
+def token_rows(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """The columns of ``docs`` without the text, and ``ids array<int>``, ``n_tokens``, ``decoded_sha256`` (of the bytes the ids decode to).
 
-    @F.arrow_udf("array<int>")
-    def ids(texts: pa.Array) -> pa.Array:
+    A null text counts as empty and has no ids. Columns of ``docs`` with these names are replaced.
+    """
+
+    @F.arrow_udf("struct<ids: array<int>, n_tokens: int, decoded_sha256: string>")
+    def encode(texts: pa.Array) -> pa.Array:
         bpe = load(path, pattern)
-        return pa.array([bpe.encode(t or "") for t in texts.to_pylist()], pa.list_(pa.int32()))
+        ids = list(bpe.encode_all([t or "" for t in texts.to_pylist()]))
+        digests = [hashlib.sha256(bpe.decode_bytes(i)).hexdigest() for i in ids]
+        counts = pa.array([len(i) for i in ids], pa.int32())
+        return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), counts, pa.array(digests, pa.string())], ["ids", "n_tokens", "decoded_sha256"])
 
-    return docs.select(F.col(id_col), ids(text_col).alias("ids"))
+    made = docs.select(*[c for c in docs.columns if c not in (text_col, "ids", "n_tokens", "decoded_sha256")], encode(text_col).alias("_made"))
+    return made.select(*[c for c in made.columns if c != "_made"], "_made.*")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,8 +133,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         digits = {i: str(i) for i in bpe.raw}
         for batch in batches:
             counts, encoded, decoded = [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = bpe.encode(text or "")
+            for ids in bpe.encode_all([t or "" for t in batch.column("text").to_pylist()]):
                 counts.append(len(ids))
                 encoded.append(hashlib.sha256(",".join(map(digits.__getitem__, ids)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(bpe.decode_bytes(ids)).hexdigest())
