@@ -13,57 +13,90 @@ from framelane.session import ensure_checkpoint_dir
 from framelane.streaming import stateful, windows
 
 
-def replay(spark, sf_dir, name, columns, build, complete=False):
-    """Stream ``columns`` of a table through ``build`` and read back what it wrote."""
+def replay(spark, sf_dir, name, columns, build, mode="append", ts=None, key=None):
+    """Stream ``columns`` of a table through ``build`` and read back what it wrote.
+
+    With ``ts`` and ``key`` the operator holds rows until the watermark passes them: once the table is used up, a second run of the query
+    sees one row at the end of time. A dropped row is an error, since a replay must be complete. In update mode the newest row of each
+    ``key`` counts.
+    """
     stateful.use_rocksdb(spark)
     folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = (
         spark.readStream.schema(table(spark, sf_dir, name).schema)
-        .option("maxBytesPerTrigger", 256 * 2**20)  # a keyed step holds its part of one micro-batch in memory
+        .option("maxBytesPerTrigger", 256 * 2**20)
         .parquet(f"{sf_dir}/{name}.parque[t]")  # as a pattern, the table may be one file or a folder of files
+        .select(*[F.expr(c) for c in split_columns(columns)])
     )
-    rows = build(source.select(*[F.expr(c) for c in split_columns(columns)]))
-    writer = rows.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-    if complete:
-        target = f"{folder}/rows"
-        writer = writer.outputMode("complete").foreachBatch(
-            lambda batch, _: batch.write.mode("overwrite").parquet(target)
-        )
-    else:
-        writer = writer.format("parquet").option("path", f"{folder}/rows")
-    writer.start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
-
-
+    ends = mode == "append" and ts is not None
+    if ends:
+        end = stateful.end_of_stream(source, ts, key)
+        end.limit(0).write.parquet(f"{folder}/end")
+        source = source.unionByName(spark.readStream.schema(end.schema).parquet(f"{folder}/end"))
+    rows = build(source)
+    target = f"{folder}/rows"
+    for last in (False, True) if ends else (True,):
+        writer = rows.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).outputMode(mode)
+        if mode == "update":
+            writer = writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{target}/batch={n}"))
+        else:
+            writer = writer.format("parquet").option("path", target)
+        running = writer.start()
+        running.awaitTermination()
+        if stateful.dropped_rows(running):
+            raise RuntimeError("rows were dropped as too late")
+        if not last:
+            end.write.mode("append").parquet(f"{folder}/end")
+    if mode != "update":
+        return spark.read.schema(rows.schema).parquet(target)
+    found = spark.read.parquet(target)
+    newest = found.groupBy(key).agg(F.max_by(F.struct(*rows.columns), "batch").alias("r"))
+    return newest.select("r.*")
+
+
+#: How far the replayed tables may be out of order: all of their span, as files come in any order.
+ANY_ORDER = "3650 days"
 STREAM_PROGRESS = PROGRESS.replace("event_id, ts,", "event_id, CAST(ts AS TIMESTAMP) AS ts,")
 
 
 @query(
     "stream_throughput",
-    f"""WITH {PROGRESS_SQL}, l AS (SELECT *, s - min(s) OVER (PARTITION BY job_id) AS el,
-      max(process_rss_bytes) OVER w AS rss, max(gpu_memory_used_bytes) OVER w AS gpu FROM pr WINDOW w AS (PARTITION BY job_id ORDER BY ts ROWS UNBOUNDED PRECEDING)),
+    f"""WITH RECURSIVE {PROGRESS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, processed_frames) AS n FROM pr),
+    k AS (SELECT job_id, n, s AS t, processed_frames AS f, NULL::DOUBLE AS rate FROM o WHERE n = 1
+      UNION ALL SELECT k.job_id, o.n, CASE WHEN o.s - k.t >= 1 THEN o.s ELSE k.t END, CASE WHEN o.s - k.t >= 1 THEN o.processed_frames ELSE k.f END,
+        CASE WHEN o.s - k.t >= 1 THEN greatest(0, o.processed_frames - k.f) / (o.s - k.t) ELSE k.rate END FROM k JOIN o ON o.job_id = k.job_id AND o.n = k.n + 1),
+    l AS (SELECT *, s - min(s) OVER (PARTITION BY job_id) AS el,
+      max(process_rss_bytes) OVER w AS rss, max(gpu_memory_used_bytes) OVER w AS gpu FROM o WINDOW w AS (PARTITION BY job_id ORDER BY n ROWS UNBOUNDED PRECEDING)),
     a AS (SELECT *, CASE WHEN el > 0 AND processed_frames > 0 THEN processed_frames / el END AS av FROM l)
-    SELECT CAST(job_id AS VARCHAR) AS job_id, round(s, 3) AS seconds, processed_frames, round(av, 6) AS average_fps,
+    SELECT CAST(a.job_id AS VARCHAR) AS job_id, round(s, 3) AS seconds, processed_frames, round(av, 6) AS average_fps, round(rate, 6) AS rolling_fps,
       round(CASE WHEN total_frames > processed_frames THEN (total_frames - processed_frames) / av END, 3) AS remaining_seconds,
-      CAST(rss AS BIGINT) AS peak_rss_bytes, CAST(gpu AS BIGINT) AS peak_gpu_bytes FROM a""",
+      CAST(rss AS BIGINT) AS peak_rss_bytes, CAST(gpu AS BIGINT) AS peak_gpu_bytes FROM a JOIN k USING (job_id, n)""",
 )
 def stream_throughput(spark, sf):
-    out = replay(spark, sf, "events", STREAM_PROGRESS, lambda s: stateful.stream_throughput(s, ttl_seconds=None))
+    out = replay(
+        spark, sf, "events", STREAM_PROGRESS,
+        lambda s: stateful.stream_throughput(s, ttl_seconds=None, late=ANY_ORDER), ts="ts", key="job_id",
+    )
     return result(
-        out, "job_id", "seconds:d3", "processed_frames:i", "average_fps:d", "remaining_seconds:d3", "peak_rss_bytes:i", "peak_gpu_bytes:i"
+        out, "job_id", "seconds:d3", "processed_frames:i", "average_fps:d", "rolling_fps:d", "remaining_seconds:d3", "peak_rss_bytes:i", "peak_gpu_bytes:i"
     )
 
 
 @query(
     "stream_deduped_progress",
-    f"""WITH {PROGRESS_SQL}, l AS (SELECT *, lag((phase, percent, message)) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS b FROM pr)
-    SELECT job_id, event_id, phase, percent FROM l WHERE b IS DISTINCT FROM (phase, percent, message)""",
+    f"""WITH RECURSIVE {PROGRESS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS n FROM pr),
+    k AS (SELECT job_id, n, event_id, phase, percent, message, s AS t, TRUE AS kept FROM o WHERE n = 1
+      UNION ALL SELECT k.job_id, o.n, o.event_id, CASE WHEN new THEN o.phase ELSE k.phase END, CASE WHEN new THEN o.percent ELSE k.percent END,
+        CASE WHEN new THEN o.message ELSE k.message END, CASE WHEN new THEN o.s ELSE k.t END, new
+        FROM k JOIN o ON o.job_id = k.job_id AND o.n = k.n + 1,
+        LATERAL (SELECT (k.phase, k.percent, k.message) IS DISTINCT FROM (o.phase, o.percent, o.message) OR o.s - k.t >= 21600 AS new))
+    SELECT job_id, event_id, phase, percent FROM k WHERE kept""",
 )
 def stream_deduped_progress(spark, sf):
     signature = ("phase", "percent", "message")
     out = replay(
         spark, sf, "events", STREAM_PROGRESS,
-        lambda s: stateful.stream_dedupe_progress(s, signature, heartbeat=1e12, ttl_seconds=None),
+        lambda s: stateful.stream_dedupe_progress(s, signature, heartbeat=21_600.0, ttl_seconds=None, late=ANY_ORDER, tie="event_id"), ts="ts", key="job_id",
     )
     return out.select("job_id", "event_id", "phase", "percent")
 
@@ -79,9 +112,15 @@ def stream_gated_progress(spark, sf):
 
 @query(
     "stream_gpu_activity",
-    f"""WITH {SAMPLE_SQL}, r AS (SELECT run_id, sample_seq, ut, us, tt FROM t WHERE ut IS NOT NULL),
-    g AS (SELECT run_id, count(ut) AS n, count(*) FILTER (WHERE ut >= 5) AS a, max(ut) AS mu FROM r GROUP BY 1)
-    SELECT run_id, CAST(n AS BIGINT) AS sample_count, CAST(a AS BIGINT) AS active_sample_count, CAST(mu AS BIGINT) AS max_utilization_percent, mu >= 5 AS activity_detected FROM g""",
+    f"""WITH li AS (SELECT {LINES}, event_id FROM events), u AS (SELECT run_id, event_id, p, CASE WHEN len(p) >= 3 THEN floor(TRY_CAST(trim(p[1]) AS DOUBLE)) END AS ut
+      FROM (SELECT *, string_split(trim(line), ',') AS p FROM li)),
+    m AS (SELECT run_id, event_id, ut, CASE WHEN ut IS NOT NULL THEN floor(TRY_CAST(trim(p[2]) AS DOUBLE)) * 1048576 END AS mem FROM u),
+    g AS (SELECT run_id, count(ut) AS n, count(*) FILTER (WHERE ut >= 5) AS a, max(ut) AS mu,
+      arg_min(mem, event_id) FILTER (WHERE mem IS NOT NULL) AS f, max(mem) AS pk FROM m GROUP BY 1),
+    d AS (SELECT *, greatest(0, pk - f) AS delta FROM g)
+    SELECT run_id, CAST(n AS BIGINT) AS sample_count, CAST(a AS BIGINT) AS active_sample_count, CAST(mu AS BIGINT) AS max_utilization_percent,
+      CAST(f AS BIGINT) AS first_memory_bytes, CAST(pk AS BIGINT) AS peak_memory_bytes, CAST(delta AS BIGINT) AS memory_delta_bytes,
+      coalesce(mu >= 5, FALSE) OR coalesce(delta >= 268435456, FALSE) AS activity_detected FROM d""",
 )
 def stream_gpu_activity(spark, sf):
     def build(lines):
@@ -89,14 +128,12 @@ def stream_gpu_activity(spark, sf):
         parts = F.split(F.trim("line"), ",", 3)
         value = F.when(F.size(parts) == 3, F.floor(F.trim(F.get(parts, 0)).try_cast("double"))).cast("bigint")
         used = F.floor(F.trim(F.get(parts, 1)).try_cast("double")).cast("bigint") * telemetry.MIB
-        return windows.stream_gpu_activity(
-            lines.select("run_id", "sample_seq", value.alias("utilization_percent"), used.alias("memory_used_bytes"))
-        )
+        samples = lines.select("run_id", "event_id", value.alias("utilization_percent"), used.alias("memory_used_bytes"))
+        return windows.stream_gpu_activity(samples, order="event_id")
 
-    out = replay(spark, sf, "events", LINES, build, complete=True)
-    return result(
-        out, "run_id", "sample_count:i", "active_sample_count:i", "max_utilization_percent:i", "activity_detected"
-    )
+    out = replay(spark, sf, "events", LINES + ", event_id", build, mode="update", key="run_id")
+    counts = ("sample_count", "active_sample_count", "max_utilization_percent", "first_memory_bytes", "peak_memory_bytes", "memory_delta_bytes")
+    return result(out, "run_id", *[f"{c}:i" for c in counts], "activity_detected")
 
 
 STATES = """CAST(user_id AS STRING) AS job_id, {ts} AS ts, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'click' THEN 'paused'
@@ -105,7 +142,7 @@ WHEN 'purchase' THEN 'succeeded' ELSE 'running' END AS state"""
 
 @query(
     "stream_job_state",
-    f"""WITH RECURSIVE c AS (SELECT {STATES.format(ts='ts')} FROM events), e AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts) AS n FROM c),
+    f"""WITH RECURSIVE c AS (SELECT {STATES.format(ts='ts')} FROM events), e AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, state) AS n FROM c),
     r AS (SELECT job_id, n, ts, state, NULL::VARCHAR AS previous, TRUE AS valid, state AS cur FROM e WHERE n = 1
       UNION ALL SELECT e.job_id, e.n, e.ts, e.state, r.cur, ok, CASE WHEN ok THEN e.state ELSE r.cur END FROM r JOIN e ON e.job_id = r.job_id AND e.n = r.n + 1,
         LATERAL (SELECT (r.cur = 'queued' AND e.state <> 'queued') OR (r.cur = 'running' AND e.state IN ('paused', 'succeeded')) OR (r.cur = 'paused' AND e.state IN ('running', 'succeeded')) AS ok))
@@ -113,7 +150,8 @@ WHEN 'purchase' THEN 'succeeded' ELSE 'running' END AS state"""
 )
 def stream_job_state(spark, sf):
     out = replay(
-        spark, sf, "events", STATES.format(ts="CAST(ts AS TIMESTAMP)"), lambda s: stateful.stream_job_state(s, ttl_seconds=None)
+        spark, sf, "events", STATES.format(ts="CAST(ts AS TIMESTAMP)"),
+        lambda s: stateful.stream_job_state(s, ttl_seconds=None, late=ANY_ORDER), ts="ts", key="job_id",
     )
     return result(out, "job_id", "seconds:d3", "state", "previous", "valid")
 
@@ -125,8 +163,8 @@ def stream_job_state(spark, sf):
 )
 def stream_edges(spark, sf):
     out = replay(
-        spark, sf, "events", "user_id AS media_id, event_id AS frame_index, value AS mean_luma",
-        lambda s: stateful.stream_edges(s, 30.0, ttl_seconds=None),
+        spark, sf, "events", "user_id AS media_id, event_id AS frame_index, value AS mean_luma, timestamp_seconds(1700000000 + event_id) AS ts",
+        lambda s: stateful.stream_edges(s, 30.0, ttl_seconds=None, late=ANY_ORDER, ts="ts"), ts="ts", key="media_id",
     )
     return result(out, "media_id", "position:i", "value:d")
 
@@ -139,9 +177,8 @@ def stream_edges(spark, sf):
 def stream_windows(spark, sf):
     out = replay(
         spark, sf, "events", STREAM_PROGRESS,
-        lambda s: windows.stream_windows(s, "6 hours", fps="processed_frames"),
-        complete=True,
-    )
+        lambda s: windows.stream_windows(s, "6 hours", late=ANY_ORDER, fps="processed_frames"), ts="ts", key="job_id",
+    ).where("job_id IS NOT NULL")  # the end of the stream
     return result(out, "job_id", "window_start:i", "samples:i", "average_fps:d", "peak_memory:i")
 
 

@@ -1,12 +1,17 @@
-"""Keyed streaming operators with explicit state.
+"""Keyed streaming operators with explicit state, in event-time order.
 
-One state row per job or media; snapshots that are older than the last one seen are dropped, because files do not
-arrive in order. State expires after ``ttl_seconds`` without input (processing time). Expiry keeps a query polling, so
-pass ``ttl_seconds=None`` for a run that should end when its input does (the ``availableNow`` trigger).
+Rows are held in state until the watermark has passed them and are then handled in order of time, so the result is the same
+however the rows are cut into micro-batches and files. ``late`` says how far behind the newest row a row may arrive; Spark
+drops rows later than that and counts them (``numRowsDroppedByWatermark``, see ``dropped_rows``). What is held is
+bounded by the rows of ``late``. A key's state goes ``ttl_seconds`` of event time after its last row.
+
+A stream that ends leaves the rows after its last watermark in state. ``end_of_stream`` gives a row that moves the watermark
+past everything; no operator passes it on.
 """
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
@@ -23,6 +28,8 @@ MOVES = {
     "running": ("paused", *TERMINAL),
     "paused": ("running", *TERMINAL),
 }
+END_TIME = datetime.datetime(2200, 1, 1)  # within nanosecond timestamps
+EVENT_TIME = "event_time"
 
 
 def use_rocksdb(spark) -> None:
@@ -30,79 +37,110 @@ def use_rocksdb(spark) -> None:
     spark.conf.set(*STATE_STORE)
 
 
-def _time_mode(ttl_seconds: int | None) -> str:
-    return "None" if ttl_seconds is None else "ProcessingTime"
+def end_of_stream(source: DataFrame, ts: str, key: str) -> DataFrame:
+    """A batch of one row in the columns of ``source`` (the stream before the operator): the end of time under a null key."""
+    ends = {ts: F.lit(END_TIME)}
+    fields = [ends.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in source.schema.fields]
+    return source.sparkSession.range(1).select(*fields)
+
+
+def dropped_rows(query) -> int:
+    """Rows that a query's stateful operators have dropped as too late so far."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
 
 
 def _seconds(ts: str):
     return F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
 
 
-class _Keyed(StatefulProcessor):
-    """A processor with a single value state per key."""
+def _plain(value, kind: str):
+    """A pandas cell as a Python value of the column's type, missing ones as None."""
+    import pandas as pd
+
+    if value is None or pd.isna(value):
+        return None
+    return {"bigint": int, "double": float}.get(kind, str)(value)
+
+
+class _Ordered(StatefulProcessor):
+    """Holds a key's rows until the watermark passes them, then hands them to ``step`` in order."""
 
-    schema = ""
+    state_schema = ""  # of what is kept between rows
+    row_schema = ""  # of a held row; its first columns give the order, the very first the event time in seconds
+    columns: tuple[str, ...] = ()  # of a result row
 
     def __init__(self, ttl_seconds: int | None):
         self.ttl_ms = None if ttl_seconds is None else ttl_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", self.schema, self.ttl_ms)
+        self.handle = handle
+        self.held = handle.getListState("held", self.row_schema)
+        self.state = handle.getValueState("state", self.state_schema)
+        self.names, self.kinds = zip(*[c.split(" ") for c in self.row_schema.split(", ")])
 
     def close(self) -> None:
         pass
 
-    def load(self) -> list | None:
-        return list(self.state.get()) if self.state.exists() else None
-
-    @staticmethod
-    def ordered(rows: Iterator, *columns: str):
+    def start(self) -> list:
+        raise NotImplementedError
+
+    def step(self, key, held: list | None, row: tuple, out: list) -> list | None:
+        raise NotImplementedError
+
+    def _wake(self, at_ms: int) -> None:
+        timers = [t for t in self.handle.listTimers()]
+        if not timers or at_ms < min(timers):
+            for t in timers:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(at_ms)
+
+    def handleInputRows(self, key, rows: Iterator, timerValues):
+        first = None
+        for batch in rows:  # one Arrow batch after another
+            kept = batch[batch[self.names[0]] < END_TIME.replace(tzinfo=datetime.timezone.utc).timestamp()]
+            if len(kept):
+                self.held.appendList(list(zip(*[[_plain(v, c) for v in kept[n]] for n, c in zip(self.names, self.kinds)])))
+                low = float(kept[self.names[0]].min())
+                first = low if first is None else min(first, low)
+        if first is not None:
+            self._wake(max(1, int(first * 1000)))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         import pandas as pd
 
-        return pd.concat(list(rows), ignore_index=True).sort_values(list(columns), kind="stable")
-
-
-def _plain(value):
-    """A pandas cell as a Python value, missing ones as None."""
-    import pandas as pd
+        passed = timerValues.getCurrentWatermarkInMs() / 1000
+        ready, wait = [], []
+        for row in self.held.get():
+            (ready if row[0] <= passed else wait).append(tuple(row))
+        held = list(self.state.get()) if self.state.exists() else None
+        out: list[tuple] = []
+        for row in sorted(ready, key=lambda r: tuple((v is None, v if v is not None else 0) for v in r[: self.order])):
+            held = self.step(key, held, row, out)
+        if wait:
+            self.held.put(wait)
+            self.handle.registerTimer(max(1, int(min(r[0] for r in wait) * 1000)))
+        else:
+            self.held.clear()
+            if self.ttl_ms is not None and ready:
+                self.handle.registerTimer(int(max(r[0] for r in ready) * 1000) + self.ttl_ms)
+        if held is not None and (ready or wait or self.ttl_ms is None):
+            self.state.update(tuple(held))
+        elif self.ttl_ms is not None:
+            self.state.clear()
+        if out:
+            yield pd.DataFrame(out, columns=list(self.columns))
 
-    if value is None or (not isinstance(value, (list, dict)) and pd.isna(value)):
-        return None
-    return value.item() if hasattr(value, "item") else value
+    order = 1
 
 
-class _Throughput(_Keyed):
-    schema = "started double, sampled double, frames bigint, last double, rolling double, rss bigint, gpu bigint"
+def _run(rows: DataFrame, key: str, ts: str, late: str, processor: _Ordered, schema: str) -> DataFrame:
+    timed = rows.withColumn(EVENT_TIME, F.timestamp_micros((F.col("seconds") * 1e6).cast("bigint"))).withWatermark(EVENT_TIME, late)
+    return timed.groupBy(key).transformWithStateInPandas(processor, schema, "append", "EventTime")
 
-    def __init__(self, ttl_seconds: int | None, min_gap: float):
-        super().__init__(ttl_seconds)
-        self.min_gap = min_gap
 
-    def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
-
-        held, out = self.load(), []
-        for r in self.ordered(rows, "seconds", "processed_frames").itertuples(index=False):
-            now, done, total = float(r.seconds), int(_plain(r.processed_frames) or 0), int(_plain(r.total_frames) or 0)
-            rss, gpu = _plain(r.process_rss_bytes), _plain(r.gpu_memory_used_bytes)
-            if held is None:
-                held = [now, now, done, now, None, rss, gpu]
-            else:
-                if now < held[3]:
-                    continue
-                held[3] = now
-                if now - held[1] >= self.min_gap:
-                    held[4] = max(0, done - held[2]) / (now - held[1])
-                    held[1], held[2] = now, done
-                held[5] = max((v for v in (held[5], rss) if v is not None), default=None)
-                held[6] = max((v for v in (held[6], gpu) if v is not None), default=None)
-            elapsed = now - held[0]
-            average = done / elapsed if elapsed > 0 and done > 0 else None
-            left = (total - done) / average if average and total > done else None
-            out.append((key[0], now, done, elapsed, average, held[4], left, held[5], held[6]))
-        if out:
-            self.state.update(tuple(held))
-        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in THROUGHPUT.split(", ")])
+def _names(schema: str) -> tuple[str, ...]:
+    return tuple(c.split(" ")[0] for c in schema.split(", "))
 
 
 THROUGHPUT = (
@@ -111,8 +149,37 @@ THROUGHPUT = (
 )
 
 
-def stream_throughput(progress: DataFrame, ts: str = "ts", min_gap: float = 1.0, ttl_seconds: int | None = 86_400) -> DataFrame:
-    """Average and rolling rate, remaining time and peaks of each job as its snapshots arrive.
+class _Throughput(_Ordered):
+    state_schema = "started double, sampled double, frames bigint, rolling double, rss bigint, gpu bigint"
+    row_schema = "seconds double, processed_frames bigint, total_frames bigint, process_rss_bytes bigint, gpu_memory_used_bytes bigint"
+    columns = _names(THROUGHPUT)
+    order = 2
+
+    def __init__(self, ttl_seconds: int | None, min_gap: float):
+        super().__init__(ttl_seconds)
+        self.min_gap = min_gap
+
+    def step(self, key, held, row, out):
+        now, done, total, rss, gpu = float(row[0]), int(row[1] or 0), int(row[2] or 0), row[3], row[4]
+        if held is None:
+            held = [now, now, done, None, rss, gpu]
+        else:
+            if now - held[1] >= self.min_gap:
+                held[3] = max(0, done - held[2]) / (now - held[1])
+                held[1], held[2] = now, done
+            held[4] = max((v for v in (held[4], rss) if v is not None), default=None)
+            held[5] = max((v for v in (held[5], gpu) if v is not None), default=None)
+        elapsed = now - held[0]
+        average = done / elapsed if elapsed > 0 and done > 0 else None
+        left = (total - done) / average if average and total > done else None
+        out.append((key[0], now, done, elapsed, average, held[3], left, held[4], held[5]))
+        return held
+
+
+def stream_throughput(
+    progress: DataFrame, ts: str = "ts", min_gap: float = 1.0, ttl_seconds: int | None = 86_400, late: str = "10 minutes"
+) -> DataFrame:
+    """Average and rolling rate, remaining time and peaks of each job's snapshots, in order of time.
 
     The rolling rate is renewed only when ``min_gap`` seconds have passed since the last renewal.
     """
@@ -121,33 +188,25 @@ def stream_throughput(progress: DataFrame, ts: str = "ts", min_gap: float = 1.0,
         _seconds(ts).alias("seconds"),
         *[F.col(c).cast("bigint").alias(c) for c in ("processed_frames", "total_frames", "process_rss_bytes", "gpu_memory_used_bytes")],
     )
-    return rows.groupBy("job_id").transformWithStateInPandas(
-        _Throughput(ttl_seconds, min_gap), THROUGHPUT, "append", _time_mode(ttl_seconds)
-    )
+    return _run(rows, "job_id", ts, late, _Throughput(ttl_seconds, min_gap), THROUGHPUT)
 
 
-class _Dedupe(_Keyed):
-    schema = "signature string, seconds double"
+class _Dedupe(_Ordered):
+    state_schema = "signature string, seconds double"
+    row_schema = "seconds double, tie string, signature string, whole string"
+    columns = ("job_id", "whole")
+    order = 2
 
     def __init__(self, ttl_seconds: int | None, heartbeat: float):
         super().__init__(ttl_seconds)
         self.heartbeat = heartbeat
 
-    def handleInputRows(self, key, rows, timerValues):
-        emitted, keep = self.load(), []
-        pdf = self.ordered(rows, "sort_seconds")
-        last = emitted[1] if emitted else None
-        for now, signature in zip(pdf["sort_seconds"].tolist(), pdf["sort_signature"].tolist()):
-            fresh = last is None or now >= last
-            changed = emitted is None or signature != emitted[0] or now - emitted[1] >= self.heartbeat
-            keep.append(fresh and changed)
-            if fresh:
-                last = now
-            if keep[-1]:
-                emitted = [signature, now]
-        if any(keep):
-            self.state.update(tuple(emitted))
-        yield pdf[keep].drop(columns=["sort_seconds", "sort_signature"])
+    def step(self, key, held, row, out):
+        now, _, signature, whole = row
+        if held is None or signature != held[0] or now - held[1] >= self.heartbeat:
+            held = [signature, float(now)]
+            out.append((key[0], whole))
+        return held
 
 
 def stream_dedupe_progress(
@@ -156,83 +215,93 @@ def stream_dedupe_progress(
     ts: str = "ts",
     heartbeat: float = 5.0,
     ttl_seconds: int | None = 86_400,
+    late: str = "10 minutes",
+    tie: str | None = None,
 ) -> DataFrame:
-    """Snapshots that change the signature, and one every ``heartbeat`` seconds while nothing changes."""
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in progress.schema)
+    """Snapshots that change the signature, and one every ``heartbeat`` seconds while nothing changes.
+
+    Snapshots of one instant come in order of ``tie``, or of their content.
+    """
+    whole = F.to_json(F.struct(*progress.columns), {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"})
+    place = whole if tie is None else F.lpad(F.col(tie).cast("string"), 20, "0")
     rows = progress.select(
-        "*", _seconds(ts).alias("sort_seconds"), F.to_json(F.struct(*signature)).alias("sort_signature")
-    )
-    return rows.groupBy("job_id").transformWithStateInPandas(
-        _Dedupe(ttl_seconds, heartbeat), out, "append", _time_mode(ttl_seconds)
+        F.col("job_id").cast("string").alias("job_id"), _seconds(ts).alias("seconds"), place.alias("tie"),
+        F.to_json(F.struct(*signature)).alias("signature"), whole.alias("whole"),
     )
+    kept = _run(rows, "job_id", ts, late, _Dedupe(ttl_seconds, heartbeat), "job_id string, whole string")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in progress.schema)
+    return kept.select(F.from_json("whole", schema, {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}).alias("r")).select("r.*")
 
 
-class _JobState(_Keyed):
-    schema = "state string, seconds double"
-
-    def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
+JOB_STATE = "job_id string, seconds double, state string, previous string, valid boolean, error string"
 
-        held, out = self.load(), []
-        for r in self.ordered(rows, "seconds").itertuples(index=False):
-            now, state = float(r.seconds), r.state
-            before = held[0] if held else None
-            if held and now < held[1]:
-                out.append((key[0], now, state, before, False, "older than the current state"))
-                continue
-            if before == state:
-                held[1] = now
-                continue
-            valid = before is None or state in MOVES.get(before, ())
-            out.append((key[0], now, state, before, valid, None if valid else f"{before} cannot become {state}"))
-            if valid:
-                held = [state, now]
-        if held:
-            self.state.update(tuple(held))
-        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in JOB_STATE.split(", ")])
 
+class _JobState(_Ordered):
+    state_schema = "state string, seconds double"
+    row_schema = "seconds double, state string"
+    columns = _names(JOB_STATE)
+    order = 2
 
-JOB_STATE = "job_id string, seconds double, state string, previous string, valid boolean, error string"
+    def step(self, key, held, row, out):
+        now, state = float(row[0]), row[1]
+        before = held[0] if held else None
+        if before == state:
+            return [state, now]
+        valid = before is None or state in MOVES.get(before, ())
+        out.append((key[0], now, state, before, valid, None if valid else f"{before} cannot become {state}"))
+        return [state, now] if valid else held
 
 
-def stream_job_state(changes: DataFrame, ts: str = "ts", ttl_seconds: int | None = 7 * 86_400) -> DataFrame:
+def stream_job_state(changes: DataFrame, ts: str = "ts", ttl_seconds: int | None = 7 * 86_400, late: str = "10 minutes") -> DataFrame:
     """State changes of each job. ``valid`` rows moved the job; the others say why they were refused. A terminal state
     is never left."""
     rows = changes.select(F.col("job_id").cast("string").alias("job_id"), _seconds(ts).alias("seconds"), "state")
-    return rows.groupBy("job_id").transformWithStateInPandas(_JobState(ttl_seconds), JOB_STATE, "append", _time_mode(ttl_seconds))
+    return _run(rows, "job_id", ts, late, _JobState(ttl_seconds), JOB_STATE)
 
 
-class _Edges(_Keyed):
-    schema = "active boolean, position bigint"
+EDGES = "media_id string, position bigint, value double"
+
+
+class _Edges(_Ordered):
+    state_schema = "active boolean, position bigint"
+    row_schema = "seconds double, position bigint, value double"
+    columns = _names(EDGES)
+    order = 2
 
     def __init__(self, ttl_seconds: int | None, threshold: float):
         super().__init__(ttl_seconds)
         self.threshold = threshold
 
-    def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
-
-        held, out = self.load() or [False, -1], []
-        for r in self.ordered(rows, "position").itertuples(index=False):
-            if r.position <= held[1]:
-                continue
-            active = _plain(r.value) is not None and r.value >= self.threshold
-            if active and not held[0]:
-                out.append((key[0], int(r.position), float(r.value)))
-            held = [bool(active), int(r.position)]
-        self.state.update(tuple(held))
-        yield pd.DataFrame(out, columns=["media_id", "position", "value"])
+    def step(self, key, held, row, out):
+        _, position, value = row
+        was, last = held or [False, -1]
+        if position <= last:
+            return [was, last]
+        active = value is not None and value >= self.threshold
+        if active and not was:
+            out.append((key[0], int(position), float(value)))
+        return [bool(active), int(position)]
 
 
 def stream_edges(
-    signal: DataFrame, threshold: float, position: str = "frame_index", value: str = "mean_luma", ttl_seconds: int | None = 86_400
+    signal: DataFrame,
+    threshold: float,
+    position: str = "frame_index",
+    value: str = "mean_luma",
+    ttl_seconds: int | None = 86_400,
+    late: str = "10 minutes",
+    ts: str | None = None,
+    fps: float = 24.0,
 ) -> DataFrame:
-    """Rising edges of an unbounded signal, per media in order of ``position``; a repeated or older position is ignored."""
+    """Rising edges of an unbounded signal, per media in order of time and ``position``; a repeated position is ignored.
+
+    A frame's time is ``ts``, or its position at ``fps``. The two orders must agree.
+    """
+    when = _seconds(ts) if ts else F.col(position).cast("bigint") / F.lit(float(fps)) + 86_400.0  # the watermark starts at 1970
     rows = signal.select(
         F.col("media_id").cast("string").alias("media_id"),
+        when.alias("seconds"),
         F.col(position).cast("bigint").alias("position"),
         F.col(value).cast("double").alias("value"),
     )
-    return rows.groupBy("media_id").transformWithStateInPandas(
-        _Edges(ttl_seconds, threshold), "media_id string, position bigint, value double", "append", _time_mode(ttl_seconds)
-    )
+    return _run(rows, "media_id", ts or position, late, _Edges(ttl_seconds, threshold), EDGES)

@@ -1,6 +1,8 @@
 """Streams replayed from files, compared with the batch forms."""
 
 import json
+import os
+import random
 
 import pytest
 
@@ -11,27 +13,46 @@ from framelane.streaming import stateful, windows
 
 @pytest.fixture()
 def replay(spark, tmp_path):
-    """Run a stream over files, a few per trigger, and return all the rows it wrote."""
+    """Run a stream over files, a few per trigger, and return all the rows it wrote.
+
+    The file source orders by modification time, so each file gets a later one. With ``ends`` (the time column) a second run of the query sees
+    the end of the stream.
+    """
     counter = iter(range(1000))
 
-    def run(build, files, schema=None, mode="append", per_trigger=2):
-        folder = tmp_path / f"in{next(counter)}"
+    def run(build, files, schema=None, mode="append", per_trigger=2, ends=None):
+        folder, out, state, end = (tmp_path / f"{n}{next(counter)}" for n in ("in", "out", "cp", "end"))
         folder.mkdir()
         for i, rows in enumerate(files):
-            (folder / f"{i:04d}.json").write_text("\n".join(json.dumps(r) for r in rows))
+            file = folder / f"{i:04d}.json"
+            file.write_text("\n".join(json.dumps(r) for r in rows))
+            os.utime(file, (1_700_000_000 + i, 1_700_000_000 + i))
         if schema is None:
             source = readers.stream_progress(spark, str(folder), per_trigger)
         else:
             source = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).json(str(folder))
-        name = f"out{next(counter)}"
-        writer = build(source).writeStream.format("memory").queryName(name).outputMode(mode)
-        query = writer.option("checkpointLocation", str(tmp_path / f"cp{next(counter)}")).trigger(availableNow=True).start()
-        try:
-            query.awaitTermination(60)
-            assert query.exception() is None and not query.isActive
-        finally:
-            query.stop()
-        return spark.table(name).collect()
+        if ends:
+            last = stateful.end_of_stream(source, ends, "")
+            last.limit(0).write.parquet(str(end))
+            source = source.unionByName(spark.readStream.schema(last.schema).parquet(str(end)))
+        rows = build(source)
+        batches = []
+        for final in (False, True) if ends else (True,):
+            writer = rows.writeStream.outputMode(mode).option("checkpointLocation", str(state)).trigger(availableNow=True)
+            if mode == "append":
+                query = writer.format("parquet").option("path", str(out)).start()
+            else:
+                query = writer.foreachBatch(lambda batch, _: batches.extend(batch.collect())).start()
+            try:
+                query.awaitTermination(60)
+                assert query.exception() is None and not query.isActive
+                run.dropped = stateful.dropped_rows(query)
+                run.batches = sum(p["numInputRows"] > 0 for p in query.recentProgress) if not final or not ends else run.batches
+            finally:
+                query.stop()
+            if not final:
+                last.write.mode("append").parquet(str(end))
+        return spark.read.schema(rows.schema).parquet(str(out)).collect() if mode == "append" else batches
 
     stateful.use_rocksdb(spark)
     return run
@@ -46,7 +67,7 @@ def snapshot(second, frames, job="j", phase="upscaling", **more):
 
 def test_throughput(replay):
     files = [[snapshot(0, 0)], [snapshot(10, 50, processRssBytes=9)], [snapshot(10.5, 60)], [snapshot(12, 70, processRssBytes=4)]]
-    got = {r.seconds % 60: r for r in replay(lambda s: stateful.stream_throughput(s, ttl_seconds=None), files, per_trigger=4)}
+    got = {r.seconds % 60: r for r in replay(lambda s: stateful.stream_throughput(s, ttl_seconds=None), files, per_trigger=1, ends="ts")}
     last = got[12]
     assert last.average_fps == pytest.approx(70 / 12)
     assert last.rolling_fps == pytest.approx(10.0)  # since second 10; second 10.5 was too close
@@ -56,7 +77,7 @@ def test_throughput(replay):
 
 def test_dedupe_progress(replay):
     files = [[snapshot(0, 1)], [snapshot(1, 1)], [snapshot(2, 2)], [snapshot(3, 2)], [snapshot(8, 2)], [snapshot(1, 7, job="k")]]
-    got = replay(lambda s: stateful.stream_dedupe_progress(s, ttl_seconds=None), files, per_trigger=6)
+    got = replay(lambda s: stateful.stream_dedupe_progress(s, ttl_seconds=None), files, per_trigger=1, ends="ts")
     assert sorted((r.job_id, r.ts.second) for r in got) == [("j", 0), ("j", 2), ("j", 8), ("k", 1)]
 
 
@@ -69,7 +90,7 @@ def test_job_state(replay):
     schema = "job_id string, ts timestamp, state string"
     moves = ["queued", "running", "paused", "running", "succeeded", "running"]
     files = [[{"job_id": "j", "ts": f"2024-01-01T00:00:0{i}Z", "state": s}] for i, s in enumerate(moves)]
-    got = sorted(replay(lambda s: stateful.stream_job_state(s, ttl_seconds=None), files, schema, per_trigger=6), key=lambda r: r.seconds)
+    got = sorted(replay(lambda s: stateful.stream_job_state(s, ttl_seconds=None), files, schema, per_trigger=2, ends="ts"), key=lambda r: r.seconds)
     assert [(r.state, r.valid) for r in got] == [
         ("queued", True), ("running", True), ("paused", True), ("running", True), ("succeeded", True), ("running", False),
     ]
@@ -94,12 +115,51 @@ def test_gpu_activity_matches_batch(spark, replay):
 def test_edges_match_batch(spark, replay):
     schema = "media_id string, frame_index bigint, mean_luma double"
     rows = [("m", i, 200.0 if i % 7 in (2, 3) else 10.0) for i in range(40)]
-    files = [[dict(media_id=m, frame_index=i, mean_luma=v) for m, i, v in rows[k : k + 10]] for k in range(0, 40, 10)]
-    streamed = {r.position for r in replay(lambda s: stateful.stream_edges(s, 100.0, ttl_seconds=None), files, schema, per_trigger=4)}
+    timed = schema + ", ts timestamp"
+    files = [
+        [dict(media_id=m, frame_index=i, mean_luma=v, ts=f"2024-01-01T00:00:{i:02d}Z") for m, i, v in rows[k : k + 10]] for k in (30, 0, 20, 10)
+    ]
+    streamed = {r.position for r in replay(lambda s: stateful.stream_edges(s, 100.0, ttl_seconds=None, ts="ts"), files, timed, per_trigger=1, ends="ts")}
+    assert run_batches(replay) == 4
     batch = {r.frame_index for r in telemetry.rising_edges(spark.createDataFrame(rows, schema), 100.0).collect()}
     assert streamed == batch == {i for i in range(40) if i % 7 == 2}
 
 
+def run_batches(replay):
+    return replay.batches
+
+
+def test_any_number_of_batches_gives_the_same_rows(replay):
+    """The same rows in one trigger, and shuffled over five files of one trigger each."""
+    rng = random.Random(3)
+    phases = ["queued", "running", "running", "paused", "running", "succeeded"]
+    schema = "job_id string, ts timestamp, phase string, processed_frames bigint, total_frames bigint, process_rss_bytes bigint, gpu_memory_used_bytes bigint"
+    rows = [
+        dict(job_id=f"j{s % 3}", ts=f"2024-01-01T00:{s // 60:02d}:{s % 60:02d}Z", phase=rng.choice(phases), processed_frames=s * 3 % 50, total_frames=100)
+        for s in range(0, 240, 2)
+    ]
+    mixed = rng.sample(rows, len(rows))
+    operators = [
+        lambda s: stateful.stream_throughput(s, ttl_seconds=None),
+        lambda s: stateful.stream_dedupe_progress(s, ("phase",), heartbeat=10.0, ttl_seconds=None),
+        lambda s: stateful.stream_job_state(s.withColumn("state", s["phase"]), ttl_seconds=None),
+        lambda s: stateful.stream_edges(
+            s.selectExpr("job_id AS media_id", "unix_seconds(ts) AS frame_index", "processed_frames AS mean_luma", "ts"), 25.0, ttl_seconds=None, ts="ts"
+        ),
+    ]
+    for build in operators:
+        whole = replay(build, [rows], schema, per_trigger=1, ends="ts")
+        cut = replay(build, [mixed[i::5] for i in range(5)], schema, per_trigger=1, ends="ts")
+        assert replay.batches == 5 and replay.dropped == 0
+        assert len(whole) > 5 and sorted(map(str, whole)) == sorted(map(str, cut))
+
+
+def test_too_late_rows_are_counted(replay):
+    files = [[snapshot(0, 0)], [snapshot(3000, 50)], [snapshot(3001, 51)], [snapshot(1, 1)]]
+    got = replay(lambda s: stateful.stream_throughput(s, ttl_seconds=None, late="1 minute"), files, per_trigger=1)
+    assert replay.dropped == 1 and all(r.processed_frames != 1 for r in got)
+
+
 def test_windows_and_sessions(replay):
     schema = "job_id string, ts timestamp, rolling_fps double, gpu_memory_used_bytes bigint"
 
