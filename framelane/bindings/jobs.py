@@ -71,10 +71,9 @@ def recovered_jobs(spark, sf):
     "job_kind_label",
     f"""WITH {JOB_SQL}, f AS (SELECT *, interpolated_frames > 0 AS m, denoised_frames > 0 AS d, coalesce(colorized_frames, 0) > 0 AS c,
       coalesce(upscaled_frames, 0) > 0 OR model_id IS NOT NULL AS u FROM j)
-    SELECT job_id, CASE WHEN job_kind = 'sourceConversion' THEN 'Conversion' WHEN d AND m AND u AND c THEN 'Denoise + Colorize + Upscale + Motion'
-      WHEN d AND c AND u THEN 'Denoise + Colorize + Upscale' WHEN d AND m AND u THEN 'Denoise + Upscale + Motion' WHEN d AND u THEN 'Denoise + Upscale'
-      WHEN d AND c THEN 'Denoise + Colorize' WHEN d THEN 'Denoise' WHEN m AND u AND c THEN 'Colorize + Upscale + Motion' WHEN c AND u THEN 'Colorize + Upscale'
-      WHEN m AND u THEN 'Upscale + Motion' WHEN c THEN 'Colorize' WHEN m THEN 'Motion' ELSE 'Upscale' END AS kind_label FROM f""",
+    SELECT job_id, CASE WHEN job_kind = 'sourceConversion' THEN 'Conversion' WHEN d OR c OR u OR m THEN
+      array_to_string([x FOR x IN [CASE WHEN d THEN 'Denoise' END, CASE WHEN c THEN 'Colorize' END, CASE WHEN u THEN 'Upscale' END,
+        CASE WHEN m AND (u OR NOT (d OR c)) THEN 'Motion' END] IF x IS NOT NULL], ' + ') ELSE 'Upscale' END AS kind_label FROM f""",
 )
 def job_kind_label(spark, sf):
     return jobs.job_kind_label(job_table(spark, sf)).select("job_id", "kind_label")
@@ -174,7 +173,7 @@ def _register_sort(column: str, direction: str, key_sql: str) -> None:
     )
     def sorted_jobs(spark, sf):
         base = job_table(spark, sf)
-        return jobs.sort_jobs(base, column, direction, rows_per_block=250_000).select("job_id", "position")
+        return jobs.sort_jobs(base, column, direction, rows_per_block=4_000).select("job_id", "position")
 
 
 BASENAME = "lower(regexp_extract(coalesce({c}, ''), '([^/]*)$', 1))"

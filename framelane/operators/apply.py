@@ -337,10 +337,9 @@ def _caption_mask(region, chosen):
     hue = np.where(high == r, (g - b) / safe, np.where(high == g, 2.0 + (b - r) / safe, 4.0 + (r - g) / safe))
     hue = np.where(spread > 0, (hue * 30.0) % 180.0, 0.0)
     step = np.hypot(*np.gradient(gray)) >= chosen["edge_threshold"] if min(gray.shape) > 1 else np.zeros(gray.shape, bool)
-    near = step.copy()
-    for dy in (-1, 0, 1):
-        for dx in (-1, 0, 1):
-            near |= np.roll(np.roll(step, dy, axis=0), dx, axis=1)
+    wide = np.pad(step, 1)  # nothing beyond the borders
+    rows, cols = step.shape
+    near = np.any([wide[y : y + rows, x : x + cols] for y in range(3) for x in range(3)], axis=0)
     colored = (
         (saturation >= chosen["color_saturation_threshold"])
         & (high >= chosen["color_value_threshold"])
@@ -365,15 +364,18 @@ def _components(mask) -> list[tuple]:
 
     for y in range(mask.shape[0]):
         edges = np.flatnonzero(np.diff(np.r_[0, mask[y].astype(np.int8), 0]))
-        here = []
+        here, k = [], 0
         for start, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
             label = len(parent)
             parent.append(label)
             runs.append((y, start, end))
-            for s, e, other in above:
-                if s <= end and e >= start:
-                    a, b = find(label), find(other)
-                    parent[max(a, b)] = min(a, b)
+            while k < len(above) and above[k][1] < start:  # ends before this run and all later ones
+                k += 1
+            at = k
+            while at < len(above) and above[at][0] <= end:
+                a, b = find(label), find(above[at][2])
+                parent[max(a, b)] = min(a, b)
+                at += 1
             here.append((start, end, label))
         above = here
     groups: dict[int, list] = {}

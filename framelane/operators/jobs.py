@@ -11,6 +11,7 @@ from framelane.operators.ordered import global_row_number
 
 ACTIVE_STATES = ("queued", "running", "paused")
 ATTENTION_STATES = ("failed", "interrupted")
+# Messages that job records hold.
 PAUSED_MESSAGE = "Job paused"
 RECOVERED_MESSAGE = "Recovered running worker process detected outside the app state."
 SEARCH_COLUMNS = ("label", "state", "phase", "message", "model_id", "source_path", "scratch_path", "output_path")

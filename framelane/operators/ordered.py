@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 FRAME_BLOCK = 65_536
 TIME_BLOCK_SECONDS = 3_600
+SALTS = 64
 
 
 def index_block(index: Column | str, size: int = FRAME_BLOCK) -> Column:
@@ -163,8 +164,9 @@ def exact_median(
         *[c.alias(f"_x_{n}") for n, c in extra.items()],
     )
     carried = [f"_x_{n}" for n in extra]
-    if keys:
-        bracketed = rows.join(brackets, list(keys))
+    if keys:  # a key's rows spread over the salts, so that no task gets a whole key
+        salted = brackets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        bracketed = rows.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"])
     else:
         whole = rows.withColumn("_all", brackets.select(F.struct("_b", "_n", *carried)).scalar())
         bracketed = whole.select("_v", "_all.*")
@@ -200,44 +202,31 @@ def exact_median(
     )
 
 
-def _bisect(key: Column, edges: Column, count: int) -> Column:
-    """Number of edges below ``key`` in a sorted array of ``count`` edges."""
-    steps = [2**k for k in reversed(range(max(1, count.bit_length())))]
+def _bisect(key: Column, edges: Column, bits: int = 26) -> Column:
+    """Number of edges below ``key`` in a sorted array of less than ``2 ** bits`` edges."""
     return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
+        F.array(*[F.lit(2**k) for k in reversed(range(bits))]),
         F.lit(0),
         lambda low, step: F.when(F.get(edges, low + step - 1) < key, low + step).otherwise(low),
     )
 
 
 def global_row_number(
-    df: DataFrame,
-    order: Sequence[str],
-    name: str = "position",
-    rows_per_block: int = 2_000_000,
-    max_blocks: int = 1_000,
-    reverse: bool = False,
+    df: DataFrame, order: Sequence[str], name: str = "position", rows_per_block: int = 2_000_000, reverse: bool = False
 ) -> DataFrame:
     """1-based position in a total order over the whole table, without a single-task window.
 
-    ``order`` is ascending; ``reverse`` counts from the other end.
+    ``order`` is ascending, nulls first, and must be total; ``reverse`` counts from the other end.
 
-    Above ``rows_per_block`` rows, a bounded sample of sort keys becomes literal block edges, so that a recomputed
-    task always lands in the same block.
+    The sort keys of one row in ``rows_per_block / 4``, chosen by a hash of the key, are the edges of blocks; so the number of blocks
+    follows the number of rows, and a recomputed task puts a row into the same block. All of it is one lazy query.
     """
     key = F.struct(*[F.col(c) for c in order])
-    total = df.count()
-    blocks = min(max_blocks, -(-total // rows_per_block)) if total else 1
-    block = F.lit(0)
-    if blocks > 1:
-        sampled = df.select(key.alias("k")).sample(fraction=min(1.0, 20.0 * blocks / total), seed=7)
-        found = sorted({tuple(row["k"]) for row in sampled.limit(40 * blocks).collect()})
-        edges = [found[(i * len(found)) // blocks] for i in range(1, blocks)] if found else []
-        if edges:
-            types = {f.name: f.dataType for f in df.schema.fields}
-            literal = F.array(
-                *[F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(order, e)]) for e in edges]
-            )
-            block = _bisect(key, literal, len(edges))
-    placed = blocked_row_number(df, [], order, block, name)
-    return placed.withColumn(name, F.lit(total + 1).cast("bigint") - F.col(name)) if reverse else placed
+    chosen = df.where(F.pmod(F.xxhash64(*order), F.lit(max(1, rows_per_block // 4))) == 0)
+    edges = chosen.select(key.alias("_e")).agg(F.array_sort(F.collect_list("_e"))).scalar()
+    cut = df.withColumn("_edges", edges).withColumn("_at", _bisect(key, F.col("_edges"))).drop("_edges")
+    placed = blocked_row_number(cut, [], order, F.col("_at"), name).drop("_at")
+    if not reverse:
+        return placed
+    total = df.select(F.lit(1).alias("_one")).agg(F.count("_one")).scalar()
+    return placed.withColumn(name, (total + 1 - F.col(name)).cast("bigint"))

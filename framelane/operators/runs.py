@@ -97,11 +97,18 @@ def summarize_runs(runs: DataFrame, keys: Sequence[str] = ("execution_path",)) -
     return medians.select(*by, "runs", median.alias("median"), "average")
 
 
-def select_execution_path(runs: DataFrame, path: str | None = None, ordinal: str = "path_ordinal") -> DataFrame:
+def select_execution_path(
+    runs: DataFrame, path: str | None = None, ordinal: str = "path_ordinal", file: str | None = None
+) -> DataFrame:
     """Completed runs of the first result, in file order, that has one (and is named ``path`` if given).
 
-    The choice is a scalar subquery; the query fails when there is no such result.
+    The choice is a scalar subquery; the query fails when there is no such result. With ``file`` (a column) each file has a
+    choice of its own, and files without such a result have no rows.
     """
+    if file is not None:
+        wanted = (F.col("status") == "completed") & (F.lit(True) if path is None else F.col("execution_path") == path)
+        first = runs.where(wanted).groupBy(file).agg(F.min(ordinal).alias("_first")).withColumnRenamed(file, "_file")
+        return runs.where(wanted).join(first, (F.col(file) == F.col("_file")) & (F.col(ordinal) == F.col("_first")), "left_semi")
     eligible = runs.where(F.col("status") == "completed")
     if path is not None:
         eligible = eligible.where(F.col("execution_path") == path)

@@ -12,9 +12,7 @@ from framelane.operators.ordered import blocked_lag, blocked_running, time_block
 MIB = 1024 * 1024
 ACTIVE_PERCENT = 5
 ACTIVE_MEMORY_DELTA = 256 * MIB
-IDLE_WARNING = (
-    "No meaningful GPU activity was observed during this run. The benchmark may not have exercised the GPU as expected."
-)
+IDLE_WARNING = "the GPU stayed idle: neither utilisation nor memory growth reached the threshold"
 LATER_STAGES = ("upscaled_frames", "interpolated_frames", "encoded_frames", "remuxed_frames")
 
 

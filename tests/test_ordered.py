@@ -80,12 +80,26 @@ def test_median_with_a_coarse_sketch(spark):
 
 @pytest.mark.parametrize("reverse", [False, True])
 def test_global_position(hot, reverse):
-    got = global_row_number(hot.withColumn("v", F.coalesce("v", F.lit(-1))), ["v", "k", "i"], "p", rows_per_block=150, reverse=reverse)
+    got = global_row_number(hot, ["v", "k", "i"], "p", rows_per_block=150, reverse=reverse)
     order = Window.orderBy(*[F.col(c).desc() if reverse else F.col(c).asc() for c in ("v", "k", "i")])
     assert differences(got.withColumn("want", F.row_number().over(order)), p="want") == 0
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_sorted_jobs_with_unknown_states(spark):
+    """Null sort keys, over many blocks; without a state a job comes first."""
+    from framelane.operators.jobs import sort_jobs
+
+    jobs = spark.range(3000).select(
+        F.col("id").alias("job_id"), F.when(F.col("id") % 8 > 0, F.concat(F.lit("s"), F.col("id") % 5)).alias("state"),
+        F.when(F.col("id") % 3 > 0, F.lit("L")).alias("label"), (F.col("id") * 7 % 1000).alias("updated_at"),
+    )
+    got = [r.job_id for r in sort_jobs(jobs, "state", "asc", rows_per_block=100).orderBy("position").collect()]
+    rows = [r.asDict() for r in jobs.collect()]
+    low = lambda v: (v is not None, (v or "").lower())
+    assert got == [r["job_id"] for r in sorted(rows, key=lambda r: (low(r["state"]), low(r["label"]), -r["updated_at"], str(r["job_id"])))]
+
+
 def test_block_width(spark):
     df = spark.range(10_000).select(F.lit("a").alias("k"), F.timestamp_seconds(F.col("id")).alias("ts"))
     assert time_block_seconds(df, ["k"], "ts", target_rows=500) in range(495, 506)
