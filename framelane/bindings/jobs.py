@@ -722,3 +722,23 @@ def media_metadata(spark, sf):
     whole = ("width", "height", "source_bitrate_kbps", "audio_sample_rate", "audio_bitrate_kbps")
     rest = [c for c in media.COLUMNS if c not in whole]
     return result(both, "id", "error", *[f"{c}:i" for c in whole], *rest)
+
+
+@query(
+    "selection_checks",
+    """WITH p AS (SELECT l_orderkey AS pick_id, count(DISTINCT l_suppkey) AS n, list(l_suppkey) AS c,
+      CASE WHEN l_orderkey % 5 = 0 THEN -1 ELSE min(l_suppkey) END AS winner, l_orderkey % 7 AS rating FROM lineitem GROUP BY l_orderkey)
+    SELECT pick_id, array_to_string([x FOR x IN [CASE WHEN n < 2 THEN 'fewer than two candidates' END,
+      CASE WHEN NOT list_contains(c, winner) THEN 'winner is not a candidate' END,
+      CASE WHEN rating NOT BETWEEN 1 AND 5 THEN 'rating outside 1 to 5' END] IF x IS NOT NULL], '; ') AS errors FROM p""",
+)
+def selection_checks(spark, sf):
+    order = F.col("l_orderkey")
+    picks = (
+        table(spark, sf, "lineitem")
+        .groupBy(order.alias("pick_id"))
+        .agg(F.collect_set("l_suppkey").alias("candidates"), F.min("l_suppkey").alias("_first"))
+        .withColumn("winner", F.when(F.col("pick_id") % 5 == 0, F.lit(-1)).otherwise(F.col("_first")))
+        .withColumn("rating", F.col("pick_id") % 7)
+    )
+    return requests.validate_selections(picks).select("pick_id", F.array_join("errors", "; ").alias("errors"))

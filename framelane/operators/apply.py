@@ -8,6 +8,7 @@ Frames: ``keys, frame_index, width, height, channels, pixels`` (BINARY, row-majo
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, functions as F
@@ -47,6 +48,32 @@ def _attach(pdf, keys, frames):
     return pd.concat([pdf[list(keys)].reset_index(drop=True), out], axis=1)
 
 
+def _with_model(fn: Callable, loader: Callable | None) -> Callable:
+    """``fn`` itself, or ``fn`` with the loaded model as its first argument.
+
+    A worker loads the model of an operator once and keeps it for its later tasks.
+    """
+    if loader is None:
+        return fn
+    token = uuid.uuid4().hex
+
+    def call(inputs):
+        return fn(_loaded(token, loader), inputs)
+
+    return call
+
+
+def _loaded(token: str, loader: Callable):
+    """The model from the worker's own store; this package travels by value, so its globals do not outlive a task."""
+    import sys
+    from types import SimpleNamespace
+
+    store = sys.modules.setdefault("framelane_worker_models", SimpleNamespace(models={})).models
+    if token not in store:
+        store[token] = loader()
+    return store[token]
+
+
 def apply_framewise(
     frames: DataFrame,
     fn: Callable,
@@ -56,18 +83,16 @@ def apply_framewise(
 ) -> DataFrame:
     """Apply ``fn(frames)`` (or ``fn(model, frames)`` with a ``loader``) to batches of independent frames.
 
-    The model is loaded once per task, when its first batch arrives.
+    The model is loaded once per worker, when its first batch arrives.
     """
+    fn = _with_model(fn, loader)
 
     def run(batches: Iterator):
-        model = None
         for pdf in batches:
             for start in range(0, len(pdf), batch):
                 part = pdf.iloc[start : start + batch]
                 inputs = [_decode(r) for r in part.itertuples(index=False)]
-                if loader is not None and model is None:
-                    model = loader()
-                outputs = fn(model, inputs) if loader is not None else fn(inputs)
+                outputs = fn(inputs)
                 if len(outputs) != len(inputs):
                     raise ValueError(f"model returned {len(outputs)} frames for {len(inputs)}")
                 yield _attach(part, keys, outputs)
@@ -82,12 +107,14 @@ def apply_temporal(
     chunk: int = 32,
     radius: int = TEMPORAL_RADIUS,
     minimum: int = TEMPORAL_MIN_FRAMES,
+    loader: Callable | None = None,
 ) -> DataFrame:
-    """Apply ``fn(frames)`` to chunks of consecutive frames with ``radius`` frames of context on both sides.
+    """Apply ``fn(frames)`` (or ``fn(model, frames)`` with a ``loader``) to chunks of consecutive frames with ``radius`` frames of context on both sides.
 
     Boundary frames are repeated map-side for both chunks; short inputs are padded with the last frame and the result is
     trimmed to the chunk. With ``radius=0`` the chunks are plain blocks.
     """
+    fn = _with_model(fn, loader)
     step = max(1, chunk)
     i = F.col("frame_index").cast("bigint")
     low = F.greatest(F.lit(0).cast("bigint"), F.floor((i - radius) / step).cast("bigint"))
@@ -159,14 +186,16 @@ def apply_tiled(
     keys: Sequence[str] = ("source_id", "frame_index"),
     batch: int = 16,
     spread: bool = False,
+    loader: Callable | None = None,
 ) -> DataFrame:
-    """Cut frames into tiles, apply ``fn(tiles)`` (results ``scale`` times larger) and put the frames together again.
+    """Cut frames into tiles, apply ``fn(tiles)`` (or ``fn(model, tiles)`` with a ``loader``; results ``scale`` times larger) and put the frames together again.
 
     ``crop`` keeps the inner part of each tile, ``average`` divides the sum of overlapping results by their coverage.
     The tile plan is a column of the frame's own row, so planning needs no join. Normally a frame is cut, processed and
     assembled in its own task without a shuffle; ``spread`` sends the tiles of a frame to different tasks, for few but
     large frames.
     """
+    fn = _with_model(fn, loader)
     planned = frames.select(
         *keys, *FRAME_COLUMNS, tile_plan(F.col("width"), F.col("height"), tile, overlap, mode, multiple).alias("plan")
     )

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from framelane.operators.ordered import FRAME_BLOCK, blocked_row_number, index_block
+from framelane.operators.ordered import blocked_row_number, FRAME_BLOCK, index_block, salted_join
 
 
 def ordered_concat(
@@ -83,4 +83,4 @@ def representative_frame(
     counts = frames.groupBy(*keys).agg(F.count(F.lit(1)).alias("_count"))
     placed = blocked_row_number(frames, keys, [order], index_block(order, block), "_n")
     middle = F.least(F.col("_count") - 1, F.floor(F.col("_count") / 2))
-    return placed.join(counts, list(keys)).where(F.col("_n") - 1 == middle).drop("_n", "_count")
+    return salted_join(placed, counts, list(keys)).where(F.col("_n") - 1 == middle).drop("_n", "_count")

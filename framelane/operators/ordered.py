@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 FRAME_BLOCK = 65_536
 TIME_BLOCK_SECONDS = 3_600
@@ -202,6 +202,15 @@ def exact_median(
     )
 
 
+def salted_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join rows with a table of few rows per key, without a whole key in one task: the table is repeated per salt."""
+    spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    large = (T.BinaryType, T.ArrayType, T.MapType, T.StructType)
+    plain = [f.name for f in rows.schema.fields if not isinstance(f.dataType, large)]
+    salt = F.pmod(F.xxhash64(*plain), F.lit(SALTS))
+    return rows.withColumn("_salt", salt.cast("int")).join(spread, [*keys, "_salt"], how).drop("_salt")
+
+
 def _bisect(key: Column, edges: Column, bits: int = 26) -> Column:
     """Number of edges below ``key`` in a sorted array of less than ``2 ** bits`` edges."""
     return F.aggregate(

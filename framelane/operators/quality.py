@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from framelane.operators.ordered import blocked_lag, index_block
+from framelane.operators.ordered import blocked_lag, index_block, salted_join
 
 METRIC_COLUMNS = ("mean_absolute_error", "root_mean_squared_error", "max_absolute_error", "psnr", "ssim")
 SSIM_C1, SSIM_C2 = 0.01**2, 0.03**2
@@ -211,7 +211,7 @@ def triple_with_master(
     clip = [k for k in keys if k != "frame_index"]
     joined = _with_master(pairs, master, keys, value)
     gaps = joined.where(F.col("master").isNull()).select(*clip).distinct()
-    return joined.join(gaps, clip, "left_anti")
+    return salted_join(joined, gaps, clip, "left_anti")
 
 
 def compare_quality(

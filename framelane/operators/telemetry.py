@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from framelane.functions.numeric import as_column, round_half_even, safe_div
-from framelane.operators.ordered import blocked_lag, blocked_running, time_block
+from framelane.operators.ordered import blocked_lag, blocked_running, salted_join, time_block
 
 MIB = 1024 * 1024
 ACTIVE_PERCENT = 5
@@ -122,9 +122,8 @@ def throughput(
     seconds = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
     timed = progress.withColumn("_s", seconds)
     started = timed.groupBy(*keys).agg(F.min("_s").alias("_start"))
-    stepped = blocked_lag(
-        timed, keys, list(order), time_block(ts, block_seconds), {"_before": "_s", "_frames": processed}
-    ).join(started, list(keys), "left")
+    lagged = blocked_lag(timed, keys, list(order), time_block(ts, block_seconds), {"_before": "_s", "_frames": processed})
+    stepped = salted_join(lagged, started, list(keys), "left")
     gap = F.col("_s") - F.col("_before")
     elapsed = F.col("_s") - F.col("_start")
     average = F.when((F.col("elapsed_seconds") > 0) & (F.col(processed) > 0), F.col(processed) / F.col("elapsed_seconds"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from framelane import schemas
@@ -36,15 +38,23 @@ def _image_rows(spark: SparkSession, path, pattern: str, role: str, source_id: C
     source = F.regexp_extract(origin, r"([^/]+)/[^/]+$", 1)
     if source_id is not None:
         source = F.lit(source_id) if isinstance(source_id, str) else source_id
+
+    @F.arrow_udf("binary")
+    def opaque(data: pa.Array, channels: pa.Array) -> pa.Array:
+        def three(raw: bytes, n: int) -> bytes:
+            return np.frombuffer(raw, np.uint8).reshape(-1, 4)[:, :3].tobytes() if n == 4 and raw else raw
+
+        return pa.array([three(d, n) for d, n in zip(data.to_pylist(), channels.to_pylist())], pa.binary())
+
     return images.select(
         source.alias("source_id"),
         F.lit(role).alias("role"),
         F.regexp_extract(origin, r"frame_(\d+)\.[^/.]+$", 1).try_cast("int").alias("frame_index"),
         F.col("image.width").alias("width"),
         F.col("image.height").alias("height"),
-        F.col("image.nChannels").alias("channels"),
+        F.when(F.col("image.nChannels") == 4, 3).otherwise(F.col("image.nChannels")).alias("channels"),
         F.col("image.mode").alias("mode"),
-        F.col("image.data").alias("pixels"),
+        opaque("image.data", "image.nChannels").alias("pixels"),
         origin.alias("origin"),
     )
 
@@ -56,7 +66,7 @@ def read_frames(
     role: str = "source",
     source_id: Column | str | None = None,
 ) -> DataFrame:
-    """Frame images below ``path``: one row per decodable frame, pixels row-major BGR.
+    """Frame images below ``path``: one row per decodable frame, pixels row-major BGR (transparency is left out).
 
     The frame number comes from the file name, so the order never depends on listing order. The source is the
     parent folder unless given.

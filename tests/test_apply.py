@@ -25,6 +25,32 @@ def test_framewise_loads_lazily(spark):
     same(as_arrays(out), [np.clip(f + 5, 0, 255) for f in frames])
 
 
+def test_loader_runs_once_per_worker(spark, tmp_path):
+    """One load per Python worker and operator, over many tasks, chunks and tiles."""
+    frames, df = clip(spark, 24, (16, 16, 1))
+
+    def loader():
+        import os
+
+        with open(tmp_path / "loads", "a") as log:
+            log.write(f"{os.getpid()}\n")
+        return 3
+
+    def add(model, parts):
+        return [np.clip(p.astype(int) + model, 0, 255).astype(np.uint8) for p in parts]
+
+    spread = df.repartition(6)
+    for out in (
+        apply.apply_framewise(spread, add, batch=2, loader=loader),
+        apply.apply_temporal(spread, add, chunk=3, radius=0, minimum=1, loader=loader),
+        apply.apply_tiled(spread, add, 8, loader=loader),
+    ):
+        (tmp_path / "loads").write_text("")
+        same(as_arrays(out), [np.clip(f.astype(int) + 3, 0, 255) for f in frames])
+        loads = (tmp_path / "loads").read_text().split()
+        assert loads and len(loads) == len(set(loads))
+
+
 @pytest.mark.parametrize("chunk, radius, count", [(4, 2, 11), (4, 0, 11), (32, 2, 3), (5, 2, 10), (1, 3, 6)])
 def test_temporal_window(spark, chunk, radius, count):
     frames, df = clip(spark, count, (6, 5, 1))
@@ -125,3 +151,13 @@ def test_components_match_flood_fill():
         got = apply._components(mask)
         assert sorted(g[:5] for g in got) == sorted(f[:5] for f in found)
         assert sorted(g[5] for g in got) == pytest.approx(sorted(f[5] for f in found))
+
+
+def test_edge_at_the_border_marks_no_far_pixels():
+    """Colour near an edge counts; the far border is not near."""
+    region = np.zeros((12, 40, 3), dtype=np.uint8)
+    region[:, :, 0], region[:, :, 1] = 200, 40  # coloured all over
+    region[:, 39] = 0
+    chosen = dict(light_threshold=256, edge_threshold=20, color_saturation_threshold=40, color_value_threshold=60, color_hue_min=0, color_hue_max=180)
+    columns = np.flatnonzero(apply._caption_mask(region, chosen).any(axis=0))
+    assert len(columns) and columns.min() >= 36

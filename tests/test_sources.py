@@ -230,3 +230,19 @@ def test_overlays(spark):
     live = {r.job_id: r for r in jobs.recover_running(df, active).collect()}
     assert (live["3"].state, live["3"].phase, live["3"].percent) == ("running", "encoding", 99)
     assert live["1"].state == "paused" and live["2"].state == "paused"
+
+
+def test_transparency_is_left_out(spark, tmp_path):
+    """A frame with an alpha channel reads as three channels."""
+    import struct
+    import zlib
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    pixels = bytes([10, 20, 30, 255, 40, 50, 60, 128])  # two pixels, RGBA
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 1, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\x00" + pixels)) + chunk(b"IEND", b"")
+    (tmp_path / "clip").mkdir()
+    (tmp_path / "clip" / "frame_00001.png").write_bytes(png)
+    row = readers.read_frames(spark, str(tmp_path)).first()
+    assert (row.width, row.channels, bytes(row.pixels)) == (2, 3, bytes([30, 20, 10, 60, 50, 40]))
