@@ -67,7 +67,8 @@ def rare_postings(files: DataFrame, templates=TEMPLATES, rare: int = 5) -> list[
     """(template, token, place, share of the template's weight) of the ``rare`` highest-IDF words of each template.
 
     Document frequencies cover every row of ``files`` (``_words``); only the templates' own words are counted, so the driver gets one
-    number per such word. An unknown word counts as the rarest.
+    number per such word. Words that no file has come last, as they hit
+    nothing; of equally rare words those of the key phrase come first.
     """
     vocabulary = sorted({w for _, notice, _ in templates for w in notice.split()})
     known = F.array(*[F.lit(w) for w in vocabulary])
@@ -75,8 +76,8 @@ def rare_postings(files: DataFrame, templates=TEMPLATES, rare: int = 5) -> list[
     df = {r.token: r.df for r in seen.collect()}  # at most one row per vocabulary word
     idf = {w: math.log((df.get("", 0) + 1) / (df.get(w, 0) + 1)) + 0.1 for w in vocabulary}
     out = []
-    for t, (_, notice, _) in enumerate(templates):
-        best = sorted(enumerate(notice.split()), key=lambda x: (-idf[x[1]], x[0]))[:rare]
+    for t, (_, notice, key) in enumerate(templates):
+        best = sorted(enumerate(notice.split()), key=lambda x: (x[1] not in df, -idf[x[1]], x[1] not in key.split(), x[0]))[:rare]
         weight = sum(idf[w] for _, w in best)
         out += [(t, w, place, idf[w] / weight) for place, w in best]
     return out
