@@ -42,6 +42,8 @@ HEADLINE = (
     "ordered_sequence",
     "output_completeness",
     "media_metadata",
+    "stream_throughput",
+    "stream_windows",
 )
 
 

@@ -14,11 +14,12 @@ EMB = """e AS (SELECT label AS source_id, vec_id, embedding,
 
 def clip_frames(spark, sf):
     """``source_id, frame_index (0-based), vec_id, pixels``."""
-    base = table(spark, sf, "embeddings").select(
-        F.col("label").alias("source_id"), "vec_id", F.col("embedding").cast("array<double>").alias("pixels")
+    base = table(spark, sf, "embeddings").select(F.col("label").alias("source_id"), "vec_id", "embedding")
+    ids = base.select("source_id", "vec_id")  # numbered without the pixels
+    numbered = blocked_row_number(ids, ["source_id"], ["vec_id"], index_block("vec_id"), "_rn")
+    return base.join(numbered, ["source_id", "vec_id"]).select(
+        "source_id", "vec_id", F.col("embedding").cast("array<double>").alias("pixels"), (F.col("_rn") - 1).alias("frame_index")
     )
-    numbered = blocked_row_number(base, ["source_id"], ["vec_id"], index_block("vec_id"), "_rn")
-    return numbered.withColumn("frame_index", F.col("_rn") - 1).drop("_rn")
 
 
 def following(frames, step: int = 1):
@@ -361,6 +362,49 @@ def tool_scorecard(spark, sf):
     return quality.tool_scorecard(runtimes, frames, TOOLS, "local")
 
 
+# --- byte frames ----------------------------------------------------------------------------------------------------
+
+BYTES = """e AS (SELECT label AS source_id, [CAST(floor((CAST(v AS DOUBLE) + 1) * 100) AS DOUBLE) FOR v IN embedding] AS b,
+  row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i FROM embeddings)"""
+
+
+def read_back(spark, sf):
+    """The frames as the reader gives them: width, height, channels and BINARY pixels."""
+    levels = F.transform("pixels", lambda v: F.lpad(F.hex(F.floor((v + 1) * 100).cast("bigint")), 2, "0"))
+    raw = F.unhex(F.array_join(levels, ""))
+    shape = {"width": F.lit(8), "height": F.lit(8), "channels": F.lit(1)}
+    return clip_frames(spark, sf).withColumns({"pixels": raw, **shape})
+
+
+@query(
+    "byte_frame_metrics",
+    f"""WITH {BYTES}, px AS (SELECT a.source_id, a.i, unnest(a.b) AS x, unnest(n.b) AS y FROM e a JOIN e n ON n.source_id = a.source_id AND n.i = a.i + 1),
+    mm AS (SELECT source_id, i, avg(abs(x - y)) AS mae, avg((x - y) * (x - y)) AS mse, max(abs(x - y)) AS mx, avg(x / 255) AS ax, avg(y / 255) AS ay,
+      var_pop(x / 255) AS vx, var_pop(y / 255) AS vy, covar_pop(x / 255, y / 255) AS cov FROM px GROUP BY ALL)
+    SELECT source_id, CAST(i AS BIGINT) AS frame_index, round(mae, 6) AS mean_absolute_error, round(sqrt(mse), 6) AS root_mean_squared_error, mx AS max_absolute_error,
+      CASE WHEN mse <= 0 THEN 'inf'::DOUBLE ELSE round(20 * log10(255) - 10 * log10(mse), 4) END AS psnr,
+      round(least(1.0, greatest(0.0, ((2 * ax * ay + 0.0001) * (2 * cov + 0.0009)) / ((ax * ax + ay * ay + 0.0001) * (vx + vy + 0.0009)))), 6) AS ssim FROM mm""",
+)
+def byte_frame_metrics(spark, sf):
+    frames = read_back(spark, sf)
+    pairs, _ = quality.pair_frames(frames, following(frames), shape=("width", "height", "channels"))
+    return result(quality.binary_frame_metrics(pairs), "source_id", "frame_index:i", *[f"{m}:d" for m in METRICS])
+
+
+@query(
+    "byte_masked_error",
+    f"""WITH {BYTES}, px AS (SELECT source_id, i, unnest(b) AS v, unnest(list_reverse(b)) AS c FROM e),
+    f AS (SELECT source_id, i, count(*) FILTER (WHERE v > 130) AS m, coalesce(avg(abs(v - c)) FILTER (WHERE v > 130), 0.0) AS mae FROM px GROUP BY 1, 2)
+    SELECT source_id, round(avg(mae), 6) AS masked_mae, CAST(sum(m) AS BIGINT) AS masked_pixels FROM f GROUP BY 1""",
+)
+def byte_masked_error(spark, sf):
+    arrays = quality.pixel_arrays(read_back(spark, sf), "pixels")
+    staged = masked(arrays, 130).withColumn("clean", F.reverse("pixels"))
+    count = F.size(F.filter("mask", lambda m: m > 0))
+    out = quality.masked_mae(staged).groupBy("source_id").agg(F.avg("masked_mae").alias("masked_mae"), F.sum(count).alias("masked_pixels"))
+    return result(out, "source_id", "masked_mae:d", "masked_pixels:i")
+
+
 # --- captions -------------------------------------------------------------------------------------------------------
 
 COMPONENTS = """

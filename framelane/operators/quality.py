@@ -8,7 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from framelane.operators.ordered import blocked_lag, index_block, salted_join
 
@@ -16,6 +19,10 @@ METRIC_COLUMNS = ("mean_absolute_error", "root_mean_squared_error", "max_absolut
 SSIM_C1, SSIM_C2 = 0.01**2, 0.03**2
 
 
+#: Masks that a task sorts together.
+MASK_BLOCK = 256
+
+
 def pair_frames(
     reference: DataFrame,
     candidate: DataFrame,
@@ -318,29 +325,35 @@ def smooth_masks(
 ) -> DataFrame:
     """OR every dense mask (array, above 0 is set) with its neighbours within ``radius`` frames.
 
-    Each mask is sent to the frames it touches and combined there, so a group holds at most ``2 * radius + 1`` masks
-    however long the clip is.
+    A mask goes to the block of its frame, and to the next block only if it is within ``radius`` of the edge, so about one copy of
+    each is shuffled and a task sorts the masks of one block.
     """
     if radius <= 0:
         return masks.select(*keys, frame_index, mask)
-    i = F.col(frame_index).cast("bigint")
-    spread = masks.select(
-        *keys,
-        i.alias("_from"),
-        F.col(mask).alias("_mask"),
-        F.explode(F.sequence(F.greatest(i - radius, F.lit(0).cast("bigint")), i + radius)).alias(frame_index),
-    )
+    i, step = F.col(frame_index).cast("bigint"), max(MASK_BLOCK, 2 * radius)
+    first = F.greatest(F.lit(0).cast("bigint"), F.floor((i - radius) / step))
+    spread = masks.select(*keys, i.alias(frame_index), F.col(mask).alias("_mask"), F.explode(F.sequence(first, F.floor((i + radius) / step))).alias("_block"))
+    near = Window.partitionBy(*keys, "_block").orderBy(frame_index).rangeBetween(-radius, radius)
     merged = F.reduce(
         "_masks",
         F.transform(F.col("_masks")[0], lambda v: F.lit(0)),
         lambda acc, m: F.zip_with(acc, m, lambda a, b: F.when((a > 0) | (b > 0), 1).otherwise(0)),
     )
-    return (
-        spread.groupBy(*keys, frame_index)
-        .agg(F.collect_list("_mask").alias("_masks"), F.bool_or(F.col("_from") == F.col(frame_index)).alias("_real"))
-        .where("_real")
-        .select(*keys, frame_index, merged.alias(mask))
-    )
+    gathered = spread.withColumn("_masks", F.collect_list("_mask").over(near)).where(F.floor(F.col(frame_index) / step) == F.col("_block"))
+    return gathered.select(*keys, frame_index, merged.alias(mask))
+
+
+def pixel_arrays(frames: DataFrame, *columns: str) -> DataFrame:
+    """The frames with BINARY columns of bytes (as the reader gives them) turned into arrays of numbers, for the array operators."""
+
+    @F.arrow_udf("array<int>")
+    def numbers(blobs: pa.Array) -> pa.Array:
+        raw = [b or b"" for b in blobs.to_pylist()]
+        ends = np.cumsum([0, *map(len, raw)], dtype=np.int32)
+        values = pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(raw), np.uint8).astype(np.int32))
+        return pa.compute.if_else(blobs.is_valid(), values, pa.scalar(None, values.type)) if blobs.null_count else values
+
+    return frames.withColumns({c: numbers(c) for c in columns})
 
 
 def neighbour_union(
