@@ -382,7 +382,7 @@ def read_back(spark, sf):
     mm AS (SELECT source_id, i, avg(abs(x - y)) AS mae, avg((x - y) * (x - y)) AS mse, max(abs(x - y)) AS mx, avg(x / 255) AS ax, avg(y / 255) AS ay,
       var_pop(x / 255) AS vx, var_pop(y / 255) AS vy, covar_pop(x / 255, y / 255) AS cov FROM px GROUP BY ALL)
     SELECT source_id, CAST(i AS BIGINT) AS frame_index, round(mae, 6) AS mean_absolute_error, round(sqrt(mse), 6) AS root_mean_squared_error, mx AS max_absolute_error,
-      CASE WHEN mse <= 0 THEN 'inf'::DOUBLE ELSE round(20 * log10(255) - 10 * log10(mse), 4) END AS psnr,
+      CASE WHEN mse <= 0 THEN 'inf'::DOUBLE ELSE round(20 * log10(255) - 10 * log10(mse), 6) END AS psnr,
       round(least(1.0, greatest(0.0, ((2 * ax * ay + 0.0001) * (2 * cov + 0.0009)) / ((ax * ax + ay * ay + 0.0001) * (vx + vy + 0.0009)))), 6) AS ssim FROM mm""",
 )
 def byte_frame_metrics(spark, sf):
