@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from framelane.bindings.registry import query, result, stand_in, table
 from framelane.operators import apply, captions, quality
 from framelane.operators.ordered import blocked_row_number, index_block
+from framelane.session import ensure_checkpoint_dir
 
 EMB = """e AS (SELECT label AS source_id, vec_id, embedding,
   row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i FROM embeddings)"""
@@ -587,21 +590,27 @@ def model_tiled_average(spark, sf):
 
 @query(
     "model_stages",
-    f"""WITH {BYTES_SQL}, c AS (SELECT source_id, count(DISTINCT i) AS n FROM b GROUP BY 1), s AS (SELECT unnest(['denoise', 'upscale']) AS stage)
-    SELECT stage, source_id, CAST(n AS BIGINT) AS input_frames, CAST(n AS BIGINT) AS output_frames, n > 0 AS complete FROM c, s""",
+    f"""WITH {BYTES_SQL}, m AS (SELECT source_id, i, p, CAST(round_even(avg(v) OVER (PARTITION BY source_id, p ORDER BY i
+      RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING), 0) AS BIGINT) AS v FROM b),
+    c AS (SELECT source_id, count(DISTINCT i) AS n, sum(v) AS t FROM m GROUP BY 1)
+    SELECT stage, source_id, CAST(n AS BIGINT) AS input_frames, CAST(n AS BIGINT) AS output_frames, n > 0 AS complete, CAST(t * k AS BIGINT) AS total
+    FROM c, (VALUES ('denoise', 1), ('upscale', 4)) AS s(stage, k)""",
 )
 def model_stages(spark, sf):
+    folder = f"{ensure_checkpoint_dir(spark)}/stages-{uuid.uuid4().hex}"
     _, reports = apply.run_stages(
         byte_frames(spark, sf),
         [
-            ("denoise", lambda df: apply.apply_temporal(df, _mean_of_five, chunk=16)),
+            ("denoise", lambda df: apply.apply_temporal(df, _mean_of_five, chunk=16, minimum=1)),
             ("colorize", None),
             ("upscale", lambda df: apply.apply_framewise(df, _double)),
         ],
+        folder=folder,
     )
     out = None
     for stage, report in reports.items():
-        part = report.select(F.lit(stage).alias("stage"), "source_id", "input_frames", "output_frames", "complete")
+        pixels = _sums(spark.read.parquet(f"{folder}/{stage}"), 7).groupBy("source_id").agg(F.sum("total").alias("total"))
+        part = report.join(pixels, "source_id").select(F.lit(stage).alias("stage"), "source_id", "input_frames", "output_frames", "complete", "total")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -256,10 +256,16 @@ def apply_tiled(
 
 
 def run_stages(
-    frames: DataFrame, stages: Sequence[tuple[str, Callable[[DataFrame], DataFrame] | None]], keys: Sequence[str] = ("source_id",)
+    frames: DataFrame,
+    stages: Sequence[tuple[str, Callable[[DataFrame], DataFrame] | None]],
+    keys: Sequence[str] = ("source_id",),
+    folder: str | None = None,
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Run optional table transforms in order (denoise, colorize, upscale, interpolate).
 
+    With a ``folder`` (shared by all machines) each stage's frames are written there once, as ``folder/stage``, and the next stage and the
+    reports read what was written; without one everything stays lazy, and each action runs the stages anew.
+
     A stage given as None is left out of the plan. Returns the result and, per stage, its completeness table; the
     interpolate stage changes the number of frames, so there only the counts are meaningful.
     """
@@ -269,6 +275,9 @@ def run_stages(
         if transform is None:
             continue
         result = transform(current)
+        if folder is not None:
+            result.write.parquet(f"{folder}/{name}")
+            result = result.sparkSession.read.parquet(f"{folder}/{name}")
         reports[name] = output_completeness(current, result, keys)
         current = result
     return current, reports

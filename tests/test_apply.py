@@ -112,6 +112,22 @@ def test_stages(spark):
     assert all(r.complete for report in reports.values() for r in report.collect())
 
 
+def test_written_stages_run_once(spark, tmp_path):
+    """Reports and result read what was written, so the model sees every frame once."""
+    frames, df = clip(spark, 6, (8, 8, 1))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(fs):
+        seen.add(len(fs))
+        return fs
+
+    out, reports = apply.run_stages(
+        df, [("denoise", lambda d: apply.apply_framewise(d, count)), ("upscale", lambda d: apply.apply_framewise(d, count))], folder=str(tmp_path / "stages")
+    )
+    same(as_arrays(out), frames)
+    assert all(r.complete for report in reports.values() for r in report.collect()) and seen.value == 12
+
+
 def test_caption_components(spark):
     frame = np.full((120, 200, 3), 30)
     frame[100:108, 40:46] = 240
