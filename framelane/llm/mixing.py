@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from framelane.llm.shared import count_words
+from framelane.llm.shared import checkpointed, count_words
 
 BLOCKS = 1024
 WEIGHTS = (5, 2, 1)
@@ -113,6 +113,7 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 7, weights=WEIGHTS, s
     """
     slim = docs.select("doc_id", "source", count_words(F.col("text")).alias("size"))
     slim = slim.withColumn("_block", F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", "doc_id", "size")), 1, 3), 16, 10).cast("int"), F.lit(BLOCKS)))
+    slim = checkpointed(slim)  # sizes are counted once; the texts are left behind
     drawn = draw_blocks(slim, shards, seed, weights, share, repeats)
     drawn = drawn.withColumnsRenamed({"source": "_of", "_block": "_of_block"})
     joined = slim.join(drawn, F.col("source").eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_of_block")))
