@@ -34,7 +34,12 @@ def connected_components(links: DataFrame) -> DataFrame:
     steps, so a lost executor costs one step, and joins read plain tables whose hot keys Spark can split. The driver
     sees one number per round.
     """
-    both = checkpointed(links.select("u", "v").union(links.select(F.col("v"), F.col("u"))).filter("u <> v").distinct())
+    down = checkpointed(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+    lows = checkpointed(down.groupBy("u").agg(F.min("v").alias("low")))
+    # many links of one node become links of its lower neighbours with the lowest, which other nodes share
+    ends = F.explode(F.array(F.col("u"), F.col("v"))).alias("u")
+    short = down.join(lows, "u").select(ends, "low").filter("u <> low").distinct()
+    both = checkpointed(short.select("u", F.col("low").alias("v")).union(short.select("low", "u")))
     labels = checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")))
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), F.col("component").alias("_next")), "v").groupBy(F.col("u").alias("node")).agg(F.min("_next").alias("_next"))
