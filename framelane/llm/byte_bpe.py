@@ -12,7 +12,6 @@ import codecs
 import hashlib
 import os
 from collections.abc import Iterable, Iterator
-from functools import cache, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -21,8 +20,9 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer, models
 
+from framelane.llm.shared import give_back, remembered
+
 
-@cache
 def byte_table() -> tuple[str, ...]:
     """The printable character of each byte: itself where it is one, else the next free character from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -33,7 +33,7 @@ def byte_table() -> tuple[str, ...]:
 class ByteBpe:
     """One vocabulary; ``ranks`` maps a token's bytes to its id, the lower the earlier it is merged."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, known_pieces: int = 100_000):
         chars = byte_table()
         name = lambda raw: "".join([chars[b] for b in raw])
         merges = []
@@ -45,16 +45,16 @@ class ByteBpe:
         self.tokenizer = Tokenizer(self.model)
         self.raw = {i: raw for raw, i in ranks.items()}
         self.pieces: dict[str, tuple[int, ...]] = {}
-        self.remembered = remembered
+        self.known_pieces = known_pieces
         self._hidden = str.maketrans({chr(b): c for b, c in enumerate(chars)})
 
     def _ids_of(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of some pieces. The first ``remembered`` pieces that a worker meets, among them all common ones, stay known."""
+        """The ids of some pieces. The first ``known_pieces`` pieces that a worker meets, among them all common ones, stay known."""
         own = {p: self.pieces[p] for p in pieces if p in self.pieces}
         fresh = [p for p in pieces if p not in own]
         hidden = [p.encode().decode("latin-1").translate(self._hidden) for p in fresh]
         got = {p: tuple(e.ids) for p, e in zip(fresh, self.tokenizer.encode_batch_fast(hidden, add_special_tokens=False))}
-        if len(self.pieces) + len(got) <= self.remembered:
+        if len(self.pieces) + len(got) <= self.known_pieces:
             self.pieces.update(got)
         own.update(got)
         return own
@@ -93,13 +93,16 @@ class ByteBpe:
         return byte_span, char_span
 
 
-@lru_cache(maxsize=2)
 def load(path: str, pattern: str) -> ByteBpe:
     """A rank file (base64 token and rank per line), read once per Python worker, which has one core."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return ByteBpe(ranks, pattern)
+
+    def read() -> ByteBpe:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        return ByteBpe(ranks, pattern)
+
+    return remembered((path, pattern), read)
 
 
 def token_rows(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
@@ -108,16 +111,26 @@ def token_rows(docs: DataFrame, path: str, pattern: str, text_col: str = "text")
     A null text counts as empty and has no ids. Columns of ``docs`` with these names are replaced.
     """
 
-    @F.arrow_udf("struct<ids: array<int>, n_tokens: int, decoded_sha256: string>")
-    def encode(texts: pa.Array) -> pa.Array:
-        bpe = load(path, pattern)
-        ids = list(bpe.encode_all([t or "" for t in texts.to_pylist()]))
-        digests = [hashlib.sha256(bpe.decode_bytes(i)).hexdigest() for i in ids]
-        counts = pa.array([len(i) for i in ids], pa.int32())
-        return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), counts, pa.array(digests, pa.string())], ["ids", "n_tokens", "decoded_sha256"])
+    names = [c for c in docs.columns if c not in (text_col, "ids", "n_tokens", "decoded_sha256")]
+    fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema], "ids array<int>, n_tokens int, decoded_sha256 string"])
 
-    made = docs.select(*[c for c in docs.columns if c not in (text_col, "ids", "n_tokens", "decoded_sha256")], encode(text_col).alias("_made"))
-    return made.select(*[c for c in made.columns if c != "_made"], "_made.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(path, pattern)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):  # so that the ids of few texts exist at once
+                part = batch.slice(at, 256)
+                ids = list(bpe.encode_all([t or "" for t in part.column(len(names)).to_pylist()]))
+                flat = np.fromiter(chain.from_iterable(ids), np.int32)
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                made = [
+                    pa.ListArray.from_arrays(ends, flat),
+                    pa.array(np.diff(ends)),
+                    pa.array([hashlib.sha256(bpe.decode_bytes(i)).hexdigest() for i in ids], pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], [*names, "ids", "n_tokens", "decoded_sha256"])
+            give_back()
+
+    return docs.select(*names, F.col(text_col).alias("_text")).mapInArrow(run, fields)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,10 +146,11 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         digits = {i: str(i) for i in bpe.raw}
         for batch in batches:
             counts, encoded, decoded = [], [], []
-            for ids in bpe.encode_all([t or "" for t in batch.column("text").to_pylist()]):
-                counts.append(len(ids))
-                encoded.append(hashlib.sha256(",".join(map(digits.__getitem__, ids)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(bpe.decode_bytes(ids)).hexdigest())
+            for at in range(0, batch.num_rows, 256):
+                for ids in bpe.encode_all([t or "" for t in batch.column("text").slice(at, 256).to_pylist()]):
+                    counts.append(len(ids))
+                    encoded.append(hashlib.sha256(",".join(map(digits.__getitem__, ids)).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(bpe.decode_bytes(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(encoded), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return given.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -15,6 +15,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from framelane.llm.shared import give_back, remembered
+
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("url", "secret", "iban")
 KINDS = BASE + EXTRA
@@ -161,17 +163,12 @@ def _automaton() -> ahocorasick.Automaton:
     return a
 
 
-AUTOMATON = None
-
-
 def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans of every kind, each kind's in order of start and without overlaps."""
-    global AUTOMATON
-    if AUTOMATON is None:
-        AUTOMATON = _automaton()
+    automaton = remembered("anchors", _automaton)
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     floor = dict.fromkeys((*KINDS, "dotted"), 0)
-    for last, (what, n) in AUTOMATON.iter(text):
+    for last, (what, n) in automaton.iter(text):
         start = last - n + 1
         if what == "digit":
             if start >= floor["dotted"]:
@@ -231,7 +228,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [find_spans(t or "") for t in batch.column("text").to_pylist()]
+            texts = batch.column("text")
+            found = [find_spans(t or "") for at in range(0, len(texts), 256) for t in texts.slice(at, 256).to_pylist()]
             columns = [batch.column("doc_id"), *[[len(f[k]) for f in found] for k in BASE]]
             columns += [[hashlib.sha256(_listed(f, BASE).encode()).hexdigest() for f in found], [_listed(f, KINDS) for f in found]]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, schema[i].type) for i, c in enumerate(columns)], schema=schema)
@@ -242,11 +240,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def mask_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with their columns, spans in ``text_col`` masked; null stays null. A column ``n_chars`` follows the new text."""
 
-    @F.arrow_udf("string")
-    def masked(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else mask(t, find_spans(t)) for t in texts.to_pylist()], pa.string())
+    at_text = docs.columns.index(text_col)
 
-    out = docs.withColumn(text_col, masked(text_col))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):  # so that the strings of few texts exist at once
+                part = batch.slice(at, 256)
+                new = [None if t is None else mask(t, find_spans(t)) for t in part.column(at_text).to_pylist()]
+                columns = [pa.array(new, pa.string()) if i == at_text else c for i, c in enumerate(part.columns)]
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names)
+            give_back()
+
+    out = docs.mapInArrow(run, docs.schema)
     if dict(docs.dtypes).get("n_chars") == "bigint":
         out = out.withColumn("n_chars", F.when(F.col(text_col).isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast("long")))
     return out

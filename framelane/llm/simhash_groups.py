@@ -15,17 +15,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from framelane.llm.components import connected_components, spanning
 from framelane.llm.rp_forest import tile_pairs
-from framelane.llm.shared import checkpointed
-from framelane.llm.simhash_tiles import AT_ONCE
+from framelane.llm.shared import checkpointed, give_back, slices
 
 #: 64-bit words of a fingerprint.
 WORDS = 4
 #: Differing bits up to which texts are compared exactly: texts of Jaccard similarity 0.8 differ in 39 bits on average, with a deviation of 6.
 RADIUS = 60
-#: Least and most fingerprints of a tile (32 bytes each); between them a table has 64 tiles.
-TILES, LEAST_TILE, MOST_TILE = 64, 8192, 1_000_000
+#: A table has some 32 tiles, each of so many fingerprints (32 bytes each) at least and at most; every fingerprint is sent to all tiles in reach.
+TILES, LEAST_TILE, MOST_TILE = 32, 512, 1_000_000
+#: Pairs of fingerprints at a time, so that they stay in the processor's cache.
+BLOCK = 131_072
 #: Texts of a tile of exact comparison, and shingles at a time.
-EXACT_TILE, COLUMNS = 256, 4096
+EXACT_TILE, COLUMNS = 128, 4096
 
 _SALTS = np.random.default_rng(5).integers(0, 2**64, WORDS, dtype=np.uint64)
 
@@ -88,17 +89,26 @@ def wide_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         fps = np.frombuffer(b"".join(group.column("fp").to_pylist()), np.uint64).reshape(len(group), -1)
         left, right = (np.flatnonzero(tile_of == group.column(x)[0].as_py()) for x in "ab")
         us, vs = [node[:0]], [node[:0]]
-        heads = np.ascontiguousarray(fps[right, 0])
-        step = max(1, AT_ONCE // max(1, len(right)))
+        words = [np.ascontiguousarray(fps[right, k]) for k in range(fps.shape[1])]
+        step = max(1, BLOCK // max(1, len(right)))
+        differ, bits = np.empty((step, len(right)), np.uint64), np.empty((2, step, len(right)), np.uint8)
         for at in range(0, len(left) if len(right) else 0, step):
             mine = left[at : at + step]
-            i, j = np.nonzero(np.bitwise_count(fps[mine, 0][:, None] ^ heads[None, :]) <= radius * 2 // WORDS)  # the first word must be near as well
-            a, b = mine[i], right[j]
-            near = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1) <= radius
-            u, v = spanning(node[a[near]], node[b[near]])
-            us.append(u)
-            vs.append(v)
+            n = len(mine)
+            for k, word in enumerate(words):
+                np.bitwise_xor(fps[mine, k][:, None], word[None, :], out=differ[:n])
+                np.bitwise_count(differ[:n], out=bits[min(k, 1), :n])
+                if k:
+                    bits[0, :n] += bits[1, :n]  # may wrap at 256, so what is found is counted again
+            i, j = np.nonzero(bits[0, :n] <= radius)
+            if len(i):
+                a, b = mine[i], right[j]
+                near = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64) <= radius
+                u, v = spanning(node[a[near]], node[b[near]])
+                us.append(u)
+                vs.append(v)
         u, v = spanning(np.concatenate(us), np.concatenate(vs))
+        give_back()
         return pa.table({"u": u, "v": v})
 
     return keyed.groupBy("a", "b").applyInArrow(compare, "u long, v long")
@@ -118,7 +128,7 @@ def similar_links(members: DataFrame, width: int, least: float) -> DataFrame:
 
     @F.arrow_udf("binary")
     def sets(texts: pa.Array) -> pa.Array:
-        return pa.array([np.unique(shingle_hashes(t or b"", width)).tobytes() for t in texts.to_pylist()], pa.binary())
+        return slices(texts, lambda own: [np.unique(shingle_hashes(t or b"", width)).tobytes() for t in own], pa.binary())
 
     def compare(group: pa.Table) -> pa.Table:
         node, own = group.column("node").to_numpy(), group.column("own").to_numpy()
@@ -141,6 +151,7 @@ def similar_links(members: DataFrame, width: int, least: float) -> DataFrame:
         similar &= (own[:, None] == group.column("a")[0].as_py()) & (own[None, :] == group.column("b")[0].as_py())
         i, j = np.nonzero(similar)
         u, v = spanning(node[i[i != j]], node[j[i != j]])
+        give_back()
         return pa.table({"u": u, "v": v})
 
     packed = checkpointed(members.select("group", "node", sets("text").alias("set")))
@@ -156,7 +167,7 @@ def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int =
 
     @F.arrow_udf("binary")
     def print_of(texts: pa.Array) -> pa.Array:
-        return pa.array([wide_fingerprint(t or b"", width) for t in texts.to_pylist()], pa.binary())
+        return slices(texts, lambda own: [wide_fingerprint(t or b"", width) for t in own], pa.binary())
 
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     doc, tie = F.coalesce("doc_id", F.lit(2**63 - 1)).cast("long"), F.xxhash64(text)

@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from framelane.llm.components import connected_components, spanning
+from framelane.llm.shared import checkpointed, slices
 
 #: Fingerprints of a tile: 1 MB.
 TILE = 131_072
@@ -50,7 +51,7 @@ def fingerprint_column(text: Column, width: int = 3) -> Column:
 
     @F.arrow_udf("long")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(t or b"", width) for t in texts.to_pylist()], pa.int64())
+        return slices(texts, lambda own: [fingerprint(t or b"", width) for t in own], pa.int64())
 
     return of(text.cast("binary"))
 
@@ -123,8 +124,6 @@ def dedup(docs: DataFrame, width: int = 3, radius: int = 3, id_col: str = "doc_i
     Null and empty texts have fingerprint 0, linked like others. Null ids take part but are never a component's id, unless it
     has no other. Repeated rows link like other equal texts; other columns are not read. The table of fingerprints, without the texts, is written once.
     """
-    from framelane.llm.shared import checkpointed
-
     prints = checkpointed(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), width).alias("fp")))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     grouped = classes.join(near_classes(classes, radius), "fp", "left").withColumn("group", F.coalesce("group", "fp"))
