@@ -18,6 +18,11 @@ from framelane.llm.shared import shared_folder
 ORACLE_SQL = None
 
 
+def in_small_batches(spark: SparkSession) -> None:
+    """Whole texts are large rows: Arrow batches of 2,000 rows instead of 10,000 keep JVM and Python buffers small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the fixed rules and the risk-controlled cutoffs of their language."""
     return quality_risk.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -25,11 +30,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8), the one with the smallest id."""
+    in_small_batches(spark)
     return simhash_groups.keep_one(docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with the personal data masked; ``n_chars``, if there, follows the new text."""
+    in_small_batches(spark)
     return pii_anchors.mask_rows(docs)
 
 
@@ -42,6 +49,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per row the token ids, and the digest of the bytes that they decode to."""
     import public_tokenizers
 
+    in_small_batches(spark)
     return byte_bpe.token_rows(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
