@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from framelane.llm.components import connected_components, spanning
 from framelane.llm.shared import checkpointed
+from framelane.operators.ordered import salted_join
 
 TREES = 5
 #: Vectors to fit the trees on, chosen by a hash (this many to twice as many): they meet on the driver (10 to 20 MB at 64 dimensions).
@@ -112,10 +113,11 @@ def as_blob(classes: DataFrame) -> DataFrame:
 def tile_pairs(rows: DataFrame, keys: list[str], tile: int) -> DataFrame:
     """Every row to the pairs of tiles of its group that its own tile belongs to: adds ``a``, ``b`` (tiles, a <= b) and ``own`` (its tile).
 
-    Groups up to ``tile`` rows have one pair; larger ones are dealt to tiles by a hash of ``node``. Groups must not split on nulls.
+    Groups up to ``tile`` rows have one pair; larger ones are dealt to tiles by a hash of ``node``. Keys must not be null.
+    No group meets in one task on the way: the number of its tiles is joined under salts.
     """
     sizes = checkpointed(rows.groupBy(*keys).agg(F.ceil(F.count("*") / tile).cast("int").alias("_tiles")))
-    dealt = rows.join(sizes, keys).withColumn("own", F.pmod(F.xxhash64("node"), "_tiles").cast("int"))
+    dealt = salted_join(rows, sizes, keys).withColumn("own", F.pmod(F.xxhash64("node"), "_tiles").cast("int"))
     sent = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
     return sent.withColumn("a", F.least("own", "_other")).withColumn("b", F.greatest("own", "_other")).drop("_other", "_tiles")
 
