@@ -3,11 +3,14 @@
 For a similarity of 0.8 of five-word shingles 64 bits are too few: related and unrelated texts overlap. With 256 bits they are far
 apart. The distinct fingerprints are dealt to tiles by population count and compared tile by tile with exclusive-or and bit
 counts; tile pairs whose population counts differ beyond the radius are skipped. The groups that this links are then
-compared exactly (Jaccard of shingle sets, again in tiles), and what is similar enough stays linked.
+compared exactly (Jaccard of shingle sets, again in tiles), and what is similar enough stays linked. Equal fingerprints
+only make a group as well: texts are one class without a comparison where their shingle sets are equal.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -16,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from framelane.llm.components import connected_components, spanning
 from framelane.llm.rp_forest import tile_pairs
 from framelane.llm.shared import checkpointed, give_back, slices
+from framelane.operators.ordered import salted_join
 
 #: 64-bit words of a fingerprint.
 WORDS = 4
@@ -48,7 +52,10 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
 
 def wide_fingerprint(text: bytes, width: int) -> bytes:
     """``WORDS`` x 64 bits, each set where more than half of the shingle hashes, mixed anew for each word, set it."""
-    hashes = shingle_hashes(text, width)
+    return _majority(shingle_hashes(text, width))
+
+
+def _majority(hashes: np.ndarray) -> bytes:
     out = []
     for salt in _SALTS:
         h = (hashes ^ salt) * np.uint64(0x9E3779B97F4A7C15)
@@ -161,20 +168,28 @@ def similar_links(members: DataFrame, width: int, least: float) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` with their columns, one of each group of near-duplicates: the smallest id.
 
-    Texts with equal fingerprints are one document, null and empty ones among them. Null ids come last; ties of an id go by a hash of
+    Texts with equal shingle sets are one document, null and empty ones among them. Null ids come last; ties of an id go by a hash of
     the text, and rows equal in id and text count once.
     """
 
+    def print_and_digest(text: bytes) -> bytes:
+        hashes = shingle_hashes(text, width)
+        return _majority(hashes) + hashlib.sha256(np.unique(hashes).tobytes()).digest()
+
     @F.arrow_udf("binary")
     def print_of(texts: pa.Array) -> pa.Array:
-        return slices(texts, lambda own: [wide_fingerprint(t or b"", width) for t in own], pa.binary())
+        return slices(texts, lambda own: [print_and_digest(t or b"") for t in own], pa.binary())
 
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     doc, tie = F.coalesce("doc_id", F.lit(2**63 - 1)).cast("long"), F.xxhash64(text)
-    prints = checkpointed(docs.select(doc.alias("doc"), tie.alias("tie"), print_of(text).alias("fp")))
-    classes = checkpointed(prints.groupBy("fp").agg(F.min(F.struct("doc", "tie")).alias("first")).withColumn("node", F.monotonically_increasing_id()))
-    loose = connected_components(wide_links(classes.select("node", "fp"), radius))
-    named = checkpointed(classes.join(loose, "node").select("node", F.col("component").alias("group"), F.col("first.doc").alias("_doc"), F.col("first.tie").alias("_tie")))
+    prints = checkpointed(docs.select(doc.alias("doc"), tie.alias("tie"), print_of(text).alias("print")))
+    firsts = prints.groupBy("print").agg(F.min(F.struct("doc", "tie")).alias("first"))
+    classes = checkpointed(firsts.select(F.substring("print", 1, 8 * WORDS).alias("fp"), "first", F.monotonically_increasing_id().alias("node")))
+    ends = checkpointed(classes.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n")))  # one class per fingerprint
+    loose = connected_components(wide_links(ends.select("node", "fp"), radius))
+    group = F.coalesce("component", "node").alias("group")
+    grouped = checkpointed(ends.join(loose, "node", "left").where(F.col("component").isNotNull() | (F.col("n") > 1)).select("fp", group))
+    named = checkpointed(salted_join(classes, grouped, ["fp"]).select("node", "group", F.col("first.doc").alias("_doc"), F.col("first.tie").alias("_tie")))
     texts = docs.select(doc.alias("_doc"), tie.alias("_tie"), text.alias("text"))
     members = texts.join(named, ["_doc", "_tie"]).select("group", "node", "text").dropDuplicates(["node"])
     groups = connected_components(similar_links(members, width, least))

@@ -177,6 +177,23 @@ def test_near_duplicates_of_five_word_shingles(spark, rng, monkeypatch):
     assert kept == set(groups(range(len(texts)), links).values()) and 30 < len(kept) < len(texts)
 
 
+def kept_and_expected(spark, texts):
+    """What ``keep_one`` keeps of texts numbered from 0, and what brute-force Jaccard of five-word shingle sets keeps."""
+    kept = {r.doc_id for r in simhash_groups.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    return kept, set(groups(range(len(texts)), links).values())
+
+
+def test_unrelated_texts_of_one_template_stay(spark, rng):
+    """Lines of seven fixed words and one of their own share three shingles in all, but these repeat in every line."""
+    fixed = "request done by worker in time status"
+    texts = ["\n".join(f"{fixed} own{rng.random()}" for _ in range(lines)) for lines in (60, 120, 120, 120) for _ in range(5)]
+    texts += [f"{t}\nlast line" for t in texts[:3]] + [texts[0], texts[1].replace("\n", " ")]
+    kept, expected = kept_and_expected(spark, texts)
+    assert kept == expected == set(range(20))
+
+
 def test_mixing(spark, rng):
     rows = [(i, " ".join(["w"] * rng.randrange(0, 30)), rng.choice(["a", "b", "c", "c", "c", "Z", None])) for i in range(3000)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
