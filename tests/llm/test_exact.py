@@ -194,6 +194,21 @@ def test_unrelated_texts_of_one_template_stay(spark, rng):
     assert kept == expected == set(range(20))
 
 
+def test_near_duplicates_with_repeated_lines(spark, rng):
+    """A line or phrase repeated inside one of two near copies adds few shingles to its set."""
+    texts = []
+    for words, line, times in ((600, 10, 15), (760, 12, 20), (600, 10, 15), (500, 7, 18)):
+        lines = [prose(rng, 10) for _ in range(words // 10)]
+        again = prose(rng, line)
+        spread = list(lines)
+        for _ in range(times):
+            spread.insert(rng.randrange(len(spread) + 1), again)
+        together = [*lines[:20], *[again] * times, *lines[20:]]
+        texts += ["\n".join(x) for x in (lines, together, [*lines[:5], again, *lines[5:]], spread)]
+    kept, expected = kept_and_expected(spark, texts)
+    assert kept == expected and {0, 4, 8, 12} <= kept and not {1, 5, 9, 13} & kept
+
+
 def test_mixing(spark, rng):
     rows = [(i, " ".join(["w"] * rng.randrange(0, 30)), rng.choice(["a", "b", "c", "c", "c", "Z", None])) for i in range(3000)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
