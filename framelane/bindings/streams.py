@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from framelane.bindings.registry import query, result, split_columns, table
 from framelane.bindings.runs import GATE, LINES, PROGRESS, PROGRESS_SQL, SAMPLE_SQL
-from framelane.operators import telemetry
+from framelane.operators import ordered, telemetry
 from framelane.session import ensure_checkpoint_dir
 from framelane.streaming import stateful, windows
 
@@ -54,8 +54,52 @@ def replay(spark, sf_dir, name, columns, build, mode="append", ts=None, key=None
     return newest.select("r.*")
 
 
+#: Rows of a range of event time, about: what a key has in state at once, at most.
+RANGE_ROWS = 500_000
+
+
+def replay_in_order(spark, sf_dir, name, columns, build, ts, key):
+    """Stream ``columns`` of a table through ``build`` in order of the time ``ts`` and read back what it wrote.
+
+    The table is cut at quantiles of its times into ranges of some ``RANGE_ROWS`` rows (rows of one instant stay together), staged as one
+    folder each. Each range is one run and one micro-batch of the query, and after it the watermark passes its last row; so the
+    operator, with no lateness, holds a range of a key's rows and not its history. The last run sees the end of the stream. A dropped row is an
+    error, since a replay must be complete. The driver sees one time per range.
+    """
+    stateful.use_rocksdb(spark)
+    folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, name).select(*[F.expr(c) for c in split_columns(columns)])
+    schema, micros = rows.schema, F.unix_micros(F.col(ts).cast("timestamp"))
+    parts = max(1, -(-rows.count() // RANGE_ROWS))
+    edges = []
+    if parts > 1:
+        shares = [k / parts for k in range(1, parts)]
+        found = rows.agg(F.percentile_approx(micros, shares, max(10_000, 10 * parts)).alias("at")).first()["at"]
+        edges = sorted(set(found or []))
+    if edges:
+        place = ordered._bisect(micros, F.array(*[F.lit(e) for e in edges]))
+        rows.withColumn("_range", place).repartitionByRange(ts).write.partitionBy("_range").parquet(f"{folder}/staged")
+        staged = spark.read.schema(T.StructType([*schema.fields, T.StructField("_range", T.IntegerType())])).parquet(f"{folder}/staged")
+        slices = [staged.where(F.col("_range") == k).drop("_range") for k in range(len(edges) + 1)]
+    else:
+        slices = [rows]
+    slices.append(stateful.end_of_stream(rows, ts, key))
+    slices[-1].limit(0).write.parquet(f"{folder}/in")
+    built, target = build(spark.readStream.schema(schema).parquet(f"{folder}/in")), f"{folder}/rows"
+    for part in slices:
+        part.write.mode("append").parquet(f"{folder}/in")
+        writer = built.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).outputMode("append")
+        running = writer.format("parquet").option("path", target).start()
+        running.awaitTermination()
+        if stateful.dropped_rows(running):
+            raise RuntimeError("rows were dropped as too late")
+    return spark.read.schema(built.schema).parquet(target)
+
+
 #: How far the replayed tables may be out of order: all of their span, as files come in any order.
 ANY_ORDER = "3650 days"
+#: Range after range, no row comes late.
+IN_ORDER = "0 seconds"
 STREAM_PROGRESS = PROGRESS.replace("event_id, ts,", "event_id, CAST(ts AS TIMESTAMP) AS ts,")
 
 
@@ -73,9 +117,9 @@ STREAM_PROGRESS = PROGRESS.replace("event_id, ts,", "event_id, CAST(ts AS TIMEST
       CAST(rss AS BIGINT) AS peak_rss_bytes, CAST(gpu AS BIGINT) AS peak_gpu_bytes FROM a JOIN k USING (job_id, n)""",
 )
 def stream_throughput(spark, sf):
-    out = replay(
+    out = replay_in_order(
         spark, sf, "events", STREAM_PROGRESS,
-        lambda s: stateful.stream_throughput(s, ttl_seconds=None, late=ANY_ORDER), ts="ts", key="job_id",
+        lambda s: stateful.stream_throughput(s, ttl_seconds=None, late=IN_ORDER), ts="ts", key="job_id",
     )
     return result(
         out, "job_id", "seconds:d3", "processed_frames:i", "average_fps:d", "rolling_fps:d", "remaining_seconds:d3", "peak_rss_bytes:i", "peak_gpu_bytes:i"
@@ -94,9 +138,9 @@ def stream_throughput(spark, sf):
 )
 def stream_deduped_progress(spark, sf):
     signature = ("phase", "percent", "message")
-    out = replay(
+    out = replay_in_order(
         spark, sf, "events", STREAM_PROGRESS,
-        lambda s: stateful.stream_dedupe_progress(s, signature, heartbeat=21_600.0, ttl_seconds=None, late=ANY_ORDER, tie="event_id"), ts="ts", key="job_id",
+        lambda s: stateful.stream_dedupe_progress(s, signature, heartbeat=21_600.0, ttl_seconds=None, late=IN_ORDER, tie="event_id"), ts="ts", key="job_id",
     )
     return out.select("job_id", "event_id", "phase", "percent")
 
@@ -149,9 +193,9 @@ WHEN 'purchase' THEN 'succeeded' ELSE 'running' END AS state"""
     SELECT job_id, round(epoch_us(ts) / 1000000.0::DOUBLE, 3) AS seconds, state, previous, valid FROM r WHERE previous IS NULL OR previous <> state""",
 )
 def stream_job_state(spark, sf):
-    out = replay(
+    out = replay_in_order(
         spark, sf, "events", STATES.format(ts="CAST(ts AS TIMESTAMP)"),
-        lambda s: stateful.stream_job_state(s, ttl_seconds=None, late=ANY_ORDER), ts="ts", key="job_id",
+        lambda s: stateful.stream_job_state(s, ttl_seconds=None, late=IN_ORDER), ts="ts", key="job_id",
     )
     return result(out, "job_id", "seconds:d3", "state", "previous", "valid")
 
@@ -162,9 +206,9 @@ def stream_job_state(spark, sf):
     SELECT CAST(user_id AS VARCHAR) AS media_id, event_id AS position, round(value, 6) AS value FROM l WHERE value >= 30 AND coalesce(p < 30, TRUE)""",
 )
 def stream_edges(spark, sf):
-    out = replay(
+    out = replay_in_order(
         spark, sf, "events", "user_id AS media_id, event_id AS frame_index, value AS mean_luma, timestamp_seconds(1700000000 + event_id) AS ts",
-        lambda s: stateful.stream_edges(s, 30.0, ttl_seconds=None, late=ANY_ORDER, ts="ts"), ts="ts", key="media_id",
+        lambda s: stateful.stream_edges(s, 30.0, ttl_seconds=None, late=IN_ORDER, ts="ts"), ts="ts", key="media_id",
     )
     return result(out, "media_id", "position:i", "value:d")
 

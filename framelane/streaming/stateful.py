@@ -2,8 +2,8 @@
 
 Rows are held in state until the watermark has passed them and are then handled in order of time, so the result is the same
 however the rows are cut into micro-batches and files. ``late`` says how far behind the newest row a row may arrive; Spark
-drops rows later than that and counts them (``numRowsDroppedByWatermark``, see ``dropped_rows``). What is held is
-bounded by the rows of ``late``. A key's state goes ``ttl_seconds`` of event time after its last row.
+drops rows later than that and counts them (``numRowsDroppedByWatermark``, see ``dropped_rows``). What is held, and sorted at once, is
+bounded by the rows of ``late`` and of one micro-batch. A key's state goes ``ttl_seconds`` of event time after its last row.
 
 A stream that ends leaves the rows after its last watermark in state. ``end_of_stream`` gives a row that moves the watermark
 past everything; no operator passes it on.
@@ -62,6 +62,11 @@ def _plain(value, kind: str):
     return {"bigint": int, "double": float}.get(kind, str)(value)
 
 
+def _after(seconds: float) -> int:
+    """The first whole millisecond after a time, so that a watermark there has passed its microseconds."""
+    return max(0, int(seconds * 1000)) + 1
+
+
 class _Ordered(StatefulProcessor):
     """Holds a key's rows until the watermark passes them, then hands them to ``step`` in order."""
 
@@ -103,7 +108,7 @@ class _Ordered(StatefulProcessor):
                 low = float(kept[self.names[0]].min())
                 first = low if first is None else min(first, low)
         if first is not None:
-            self._wake(max(1, int(first * 1000)))
+            self._wake(_after(first))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -119,7 +124,8 @@ class _Ordered(StatefulProcessor):
             held = self.step(key, held, row, out)
         if wait:
             self.held.put(wait)
-            self.handle.registerTimer(max(1, int(min(r[0] for r in wait) * 1000)))
+            # not the timer that has just expired: Spark deletes that one after this call
+            self.handle.registerTimer(max(timerValues.getCurrentWatermarkInMs() + 1, _after(min(r[0] for r in wait))))
         else:
             self.held.clear()
             if self.ttl_ms is not None and ready:
