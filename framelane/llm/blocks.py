@@ -25,12 +25,12 @@ from framelane.llm.shared import shared_folder
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of whole numbers from 0, each in the narrowest width that holds it, compressed."""
+    """Arrays of whole numbers from 0, each in the narrowest width that holds it, lowest bytes first, compressed."""
     parts = []
     for values in arrays:
         most = int(values.max()) if len(values) else 0
         width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w))
-        parts += [np.array([len(values), width], np.int64).tobytes(), values.astype(f"u{width}").tobytes()]
+        parts += [np.array([len(values), width], np.int64).tobytes(), values.astype(f"<u{width}").view("u1").reshape(-1, width).T.tobytes()]
     return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
@@ -38,7 +38,8 @@ def unpack(body: bytes) -> list[np.ndarray]:
     raw, at, out = zstandard.ZstdDecompressor().decompress(body), 0, []
     while at < len(raw):
         n, width = np.frombuffer(raw, np.int64, 2, at).tolist()
-        out.append(np.frombuffer(raw, f"u{width}", n, at + 16).astype(np.int64))
+        planes = np.frombuffer(raw, "u1", n * width, at + 16).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64))
         at += 16 + n * width
     return out
 
