@@ -25,6 +25,8 @@ ALNUM = DIGITS | frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz
 LOCAL = ALNUM | frozenset("._%+-")
 LABEL = ALNUM | frozenset("-")
 DIAL = DIGITS | frozenset(" ().-")
+VALUE = ALNUM | frozenset("_-+/=")
+BLANK, QUOTE = frozenset(" "), frozenset(" \"'")
 #: Words that announce a secret or an account; their value follows. Fixed values.
 CUES = ("password", "passwd", "token", "secret", "api_key", "apikey", "access_key")
 
@@ -106,29 +108,38 @@ def parse_url(text: str, colon: int):
     start = colon
     while start > 0 and text[start - 1] in ALNUM:
         start -= 1
+    if start == colon:
+        return None
     end = colon + 3
     while end < len(text) and not text[end].isspace() and text[end] not in "\"'<>()[]{}":
         end += 1
     while end > colon + 3 and text[end - 1] in ".,;:!?":
         end -= 1
-    return (start, end) if start < colon and end > colon + 3 else None
+    return (start, end) if end > colon + 3 else None
+
 
+def parse_secret(text: str, after: int, walked: dict):
+    """The value after a cue: a ``=`` or ``:``, perhaps quoted, of eight letters, digits or marks at least, a digit among them.
 
-def parse_secret(text: str, after: int):
-    """The value after a cue: a ``=`` or ``:``, perhaps quoted, of eight letters, digits or marks at least, a digit among them."""
-    i = _run(text, after, frozenset(" "))
+    ``walked`` keeps the end and the last digit of the run of such characters that was walked last, as many cues may lie in one run.
+    """
+    i = _run(text, after, BLANK)
     if i >= len(text) or text[i] not in "=:":
         return None
-    i = _run(text, i + 1, frozenset(" \"'"))
-    end = _run(text, i, ALNUM | frozenset("_-+/="))
-    return (i, end) if end - i >= 8 and any(c in DIGITS for c in text[i:end]) else None
+    i = _run(text, i + 1, QUOTE)
+    if i >= walked.get("end", 0):
+        end = _run(text, i, VALUE)
+        walked |= {"end": end, "digit": next((k for k in range(end - 1, i - 1, -1) if text[k] in DIGITS), -1)}
+    return (i, walked["end"]) if walked["end"] - i >= 8 and walked["digit"] >= i else None
 
 
 def parse_access_key(text: str, start: int):
     """AKIA and sixteen capitals or digits, standing alone."""
+    if start > 0 and text[start - 1] in ALNUM:
+        return None
     end = _run(text, start, ALNUM)
     own = text[start:end]
-    return (start, end) if len(own) == 20 and own.upper() == own and (start == 0 or text[start - 1] not in ALNUM) else None
+    return (start, end) if len(own) == 20 and own.upper() == own else None
 
 
 def parse_iban(text: str, cue_end: int):
@@ -164,10 +175,11 @@ def _automaton() -> ahocorasick.Automaton:
 
 
 def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
-    """Spans of every kind, each kind's in order of start and without overlaps."""
+    """Spans of every kind, each kind's in order of start and without overlaps; takes time in proportion to the text."""
     automaton = remembered("anchors", _automaton)
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     floor = dict.fromkeys((*KINDS, "dotted"), 0)
+    walked: dict[str, int] = {}
     for last, (what, n) in automaton.iter(text):
         start = last - n + 1
         if what == "digit":
@@ -185,8 +197,8 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
         else:
             kind, span = {
                 "at": lambda: ("email", parse_email(text, start, floor["email"])),
-                "scheme": lambda: ("url", parse_url(text, start)),
-                "cue": lambda: ("secret", parse_secret(text, last + 1)),
+                "scheme": lambda: ("url", parse_url(text, start) if start >= floor["url"] else None),
+                "cue": lambda: ("secret", parse_secret(text, last + 1, walked)),
                 "key": lambda: ("secret", parse_access_key(text, start)),
                 "iban": lambda: ("iban", parse_iban(text, last + 1)),
             }[what]()
@@ -221,7 +233,8 @@ FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string,
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, the counts of the base kinds, the digest of the base spans and all spans, for every row of ``docs``.
 
-    Null and empty texts have no spans; repeated rows are scanned alike; other columns are not read. One pass, no shuffle.
+    Null and empty texts have no spans; texts of any length are scanned whole, in linear time; repeated rows are scanned alike; an empty
+    table gives an empty table; other columns are not read. One pass, no shuffle.
     """
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in BASE], ("base_sha256", pa.string()), ("spans", pa.string())])

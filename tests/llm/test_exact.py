@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -105,6 +106,17 @@ def test_added_spans():
     assert pii_anchors.mask("a@b.cc 1.2.3.4", pii_anchors.find_spans("a@b.cc 1.2.3.4")) == "<EMAIL> <IP>"
 
 
+@pytest.mark.parametrize("anchor", ["token=", "token ", "a://", "://", "AKIA", "IBAN ", "1.", "1 ", "+1", "a@", "password='", "token=a://", "a@b.", "://,"])
+def test_anchors_in_one_run_take_linear_time(anchor):
+    """A megabyte of anchors, and spans that do not depend on where a run was first walked."""
+    start = time.perf_counter()
+    pii_anchors.find_spans(anchor * (1_000_000 // len(anchor)))
+    assert time.perf_counter() - start < 10
+    assert pii_anchors.find_spans("token=" * 3 + "abc1")["secret"] == [(6, 22)]
+    assert pii_anchors.find_spans("token=ab1-token=cdefghij")["secret"] == [(6, 24)]
+    assert pii_anchors.find_spans("token=1 token=token=cdefghij 9")["secret"] == []
+
+
 @pytest.fixture(scope="module")
 def reference_bpe():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
