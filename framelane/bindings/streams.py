@@ -10,6 +10,7 @@ from framelane.bindings.registry import query, result, split_columns, table
 from framelane.bindings.runs import GATE, LINES, PROGRESS, PROGRESS_SQL, SAMPLE_SQL
 from framelane.operators import ordered, telemetry
 from framelane.session import ensure_checkpoint_dir
+from framelane.sources import snapshots
 from framelane.streaming import stateful, windows
 
 
@@ -236,3 +237,24 @@ def stream_dedupe_import(spark, sf):
         lambda s: windows.stream_dedupe_import(s, late="3650 days").select("library_id", "content_hash"),
     )
     return out
+
+
+@query(
+    "stream_snapshots",
+    "SELECT event_id, CAST(user_id AS VARCHAR) AS job_id, event_type AS phase, round(value, 6) AS value, CAST(1 AS BIGINT) AS times_read FROM events",
+)
+def stream_snapshots(spark, sf):
+    """The events as snapshot files that arrive in two lots; the stream is started anew from its offsets after each, and once more."""
+    folder = f"{ensure_checkpoint_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    events = table(spark, sf, "events").selectExpr("event_id", "CAST(user_id AS STRING) AS job_id", "event_type AS phase", "value")
+    early = F.pmod(F.xxhash64("event_id"), F.lit(2)) == 0
+    fields, rows = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema), None
+    for lot in (events.where(early), events.where(~early), None):
+        if lot is not None:
+            lot.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(f"{folder}/in")
+        rows = snapshots.stream_snapshots(spark, f"{folder}/in", fields, lines="true", settle_seconds="0")
+        running = rows.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).format("parquet").start(f"{folder}/rows")
+        running.awaitTermination()
+    read = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+    counted = read.groupBy("event_id", "job_id", "phase", "value").agg(F.count(F.lit(1)).alias("times_read"))
+    return result(counted, "event_id:i", "job_id", "phase", "value:d", "times_read:i")
