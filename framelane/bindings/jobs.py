@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from framelane.bindings.registry import query, result, split_columns, stand_in, table
 from framelane.operators import catalog, completeness, jobs, library, requests
-from framelane.sources import media
+from framelane.session import ensure_checkpoint_dir
+from framelane.sources import media, segments
 
 JOBS = """
 o_orderkey AS job_id, CASE WHEN o_custkey % 9 = 0 THEN 'sourceConversion' ELSE 'pipeline' END AS job_kind,
@@ -669,6 +672,39 @@ def remaining_segments(spark, sf):
     return completeness.remaining_segments(lines.select("source_id", "segment_index").distinct(), done)
 
 
+STORED = """CAST(l_suppkey AS {text}) AS source_id, CAST(l_linenumber AS BIGINT) AS segment_index, l_orderkey * 100000 + l_partkey AS frame_index,
+l_suppkey % 4 <> 0 OR l_tax < 0.08 AS seams_ok"""
+
+
+@query(
+    "segment_ledger",
+    f"""WITH f AS (SELECT source_id, segment_index, frame_index, bool_and(seams_ok) AS ok FROM (SELECT {STORED.format(text='VARCHAR')} FROM lineitem) GROUP BY ALL),
+    s AS (SELECT source_id, segment_index, count(*) AS n, bool_and(ok) AS ok, CAST(source_id AS BIGINT) AS k FROM f GROUP BY ALL),
+    a AS (SELECT *, CASE WHEN (k + segment_index) % 5 = 0 THEN 'frame count' WHEN NOT ok THEN 'seams' END AS early FROM s),
+    b AS (SELECT *, early IS NOT NULL AND k % 2 = 0 AS again, CASE WHEN NOT ok THEN 'seams' END AS late FROM a),
+    c AS (SELECT *, early IS NULL OR (again AND late IS NULL) AS present FROM b)
+    SELECT source_id, segment_index, CAST(1 + again::INT AS BIGINT) AS versions, present, CASE WHEN again THEN late ELSE early END AS refused,
+      CASE WHEN present THEN n END AS frames, NOT present AS remaining FROM c""",
+)
+def segment_ledger(spark, sf):
+    """Segments with a planned count and a seam check per frame; what is refused is planned anew for even sources and written again."""
+    store = f"{ensure_checkpoint_dir(spark)}/segments-{uuid.uuid4().hex}"
+    keys = ("source_id", "segment_index")
+    lines = stand_in(spark, sf, "lineitem", STORED.format(text="STRING"))
+    frames = lines.groupBy(*keys, "frame_index").agg(F.bool_and("seams_ok").alias("seams_ok"))
+    plans = frames.groupBy(*keys).agg(F.count(F.lit(1)).alias("planned_frames"))
+    source = F.col("source_id").cast("bigint")
+    wrong = F.when((source + F.col("segment_index")) % 5 == 0, 1).otherwise(0)
+    first = plans.withColumn("planned_frames", F.col("planned_frames") + wrong)
+    segments.commit_segments(frames.join(first, list(keys)), store)
+    left = completeness.remaining_segments(plans, segments.current_segments(segments.read_ledger(spark, store)))
+    segments.commit_segments(frames.join(left.where(source % 2 == 0), list(keys)), store)
+    ledger = segments.read_ledger(spark, store)
+    left = completeness.remaining_segments(plans, segments.current_segments(ledger)).select(*keys, F.lit(True).alias("remaining"))
+    out = segments.segment_states(ledger).join(left, list(keys), "left").withColumn("remaining", F.coalesce("remaining", F.lit(False)))
+    return result(out, "source_id", "segment_index:i", "versions:i", "present", "refused", "frames:i", "remaining")
+
+
 @query(
     "limited_frames",
     """SELECT source_id, frame_index FROM (SELECT l_suppkey AS source_id, l_orderkey AS frame_index, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_partkey, l_linenumber) AS n FROM lineitem) WHERE n <= 25""",

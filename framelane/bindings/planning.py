@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from framelane.bindings.registry import query, result, stand_in
+from framelane.bindings.registry import ORACLES, query, result, stand_in
 from framelane.functions.numeric import round_dimension
-from framelane.plans import framing, segments, tiles
+from framelane.plans import framing, segments, table_functions, tiles
 
 SIZES = """
 p_partkey AS source_id,
@@ -587,3 +587,30 @@ def resampled_timeline(spark, sf):
         "first_pixel:d",
         "last_pixel:d",
     )
+
+
+# --- the planners as SQL table functions ----------------------------------------------------------------------------------------------
+
+
+def _call(spark, rows, function: str, options: str):
+    table_functions.register(spark)
+    return spark.sql(f"SELECT * FROM {function}(TABLE({{rows}}){options})", rows=rows)
+
+
+@query("sql_segment_plan", ORACLES["segment_plan"])
+def sql_segment_plan(spark, sf):
+    clips = _clips(spark, sf).select("source_id", F.col("frame_count").alias("n_frames"), "frame_rate")
+    rows = _call(spark, clips, "plan_segments", ", frames => 'n_frames', seconds => 10")
+    return result(rows, "source_id", "segment_index:i", "start_frame:i", "frame_count:i", "start_seconds:d", "duration_seconds:d")
+
+
+@query("sql_temporal_chunks", ORACLES["temporal_chunks"])
+def sql_temporal_chunks(spark, sf):
+    rows = _call(spark, _clips(spark, sf).select("source_id", "frame_count"), "plan_temporal_chunks", " PARTITION BY source_id, chunk => 32")
+    return result(rows, "source_id", "chunk_index:i", *[f"{c}:i" for c in CHUNK_COLUMNS])
+
+
+@query("sql_tile_plan", ORACLES["tile_plan_average"])
+def sql_tile_plan(spark, sf):
+    options = ", tile => 200, overlap => 24, mode => 'average', multiple => 8"
+    return _tile_result(_call(spark, stand_in(spark, sf, "part", TILE_SRC), "plan_tiles", options))
