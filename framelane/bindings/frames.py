@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from framelane.bindings.registry import query, result, stand_in, table
-from framelane.operators import apply, captions, quality
+from framelane.bindings.registry import ORACLES, query, result, stand_in, table
+from framelane.operators import apply, captions, quality, tiled_metrics
 from framelane.operators.ordered import blocked_row_number, index_block
 from framelane.session import ensure_checkpoint_dir
 
@@ -87,6 +87,17 @@ def frame_metrics(spark, sf):
     )
 
 
+@query("tiled_frame_metrics", ORACLES["frame_metrics"])
+def tiled_frame_metrics(spark, sf):
+    """Frames in tiles of 24 values that are scored apart and merged."""
+    pairs, _ = consecutive(spark, sf)
+    tile = lambda name, at: F.slice(name, at, F.lit(24)).alias(name)
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("reference")), F.lit(24))
+    tiles = pairs.select("source_id", "frame_index", F.explode(F.transform(starts, lambda at: F.struct(tile("reference", at), tile("candidate", at)))).alias("_t"))
+    moments = tiled_metrics.tile_moments(tiles.select("source_id", "frame_index", "_t.*"))
+    return result(tiled_metrics.merge_metrics(moments, peak=1.0), "source_id", "frame_index:i", *[f"{m}:d" for m in METRICS])
+
+
 SUMMARY_SQL = """CAST(count(*) AS BIGINT) AS frame_count,
   round(avg(mean_absolute_error), 6) AS average_mean_absolute_error,
   round(avg(root_mean_squared_error), 6) AS average_root_mean_squared_error,

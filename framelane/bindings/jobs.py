@@ -176,7 +176,7 @@ def _register_sort(column: str, direction: str, key_sql: str) -> None:
     )
     def sorted_jobs(spark, sf):
         base = job_table(spark, sf)
-        return jobs.sort_jobs(base, column, direction, rows_per_block=4_000).select("job_id", "position")
+        return jobs.sort_jobs(base, column, direction).select("job_id", "position")
 
 
 BASENAME = "lower(regexp_extract(coalesce({c}, ''), '([^/]*)$', 1))"
@@ -216,6 +216,23 @@ def storage_summary(spark, sf):
     return jobs.storage_summary(files, roots)
 
 
+TREE = """'/' || lang || '/' || source || '/' || CAST(doc_id % 7 AS {text}) || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '/' || CAST(doc_id % 11 AS {text}) END
+|| '/' || CAST(doc_id AS {text}) || '.txt' AS path, n_chars AS length"""
+
+
+@query(
+    "storage_tree",
+    f"""WITH f AS (SELECT string_split(regexp_replace(path, '/[^/]*$', ''), '/')[2:] AS d, length FROM (SELECT {TREE.format(text='VARCHAR')} FROM documents) WHERE path IS NOT NULL),
+    l AS (SELECT *, unnest(range(0, len(d) + 1)) AS level FROM f)
+    SELECT '/' || array_to_string(d[:level], '/') AS directory, level, CAST(count(*) FILTER (WHERE level = len(d)) AS BIGINT) AS own_files,
+      CAST(coalesce(sum(length) FILTER (WHERE level = len(d)), 0) AS BIGINT) AS own_bytes, CAST(count(*) AS BIGINT) AS files, CAST(sum(length) AS BIGINT) AS size_bytes
+    FROM l GROUP BY 1, 2""",
+)
+def storage_tree(spark, sf):
+    tree = jobs.storage_tree(stand_in(spark, sf, "documents", TREE.format(text="STRING")))
+    return result(tree, "directory", "level:i", "own_files:i", "own_bytes:i", "files:i", "size_bytes:i")
+
+
 @query(
     "cleanup_targets",
     f"""WITH {JOB_SQL}, e AS (SELECT scratch_path AS p, scratch_size_bytes AS b FROM j UNION ALL SELECT output_path, output_size_bytes FROM j)
@@ -722,7 +739,8 @@ def limited_frames(spark, sf):
 )
 def representative_frames(spark, sf):
     frames = outputs(spark, sf).select("source_id", "frame_index").distinct()
-    return completeness.representative_frame(frames, block=1 << 28)
+    # an order takes 100,000 numbers, so a block has the frames of 4,096 order keys
+    return completeness.representative_frame(frames, block=4_096 * 100_000)
 
 
 PROBES = """page_id AS id, url || CASE page_id % 3 WHEN 0 THEN '.MKV' WHEN 1 THEN '.mp4' ELSE '' END AS path,

@@ -258,3 +258,42 @@ def stream_snapshots(spark, sf):
     read = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
     counted = read.groupBy("event_id", "job_id", "phase", "value").agg(F.count(F.lit(1)).alias("times_read"))
     return result(counted, "event_id:i", "job_id", "phase", "value:d", "times_read:i")
+
+
+@query(
+    "stream_gpu_runs",
+    f"""WITH {SAMPLE_SQL}, ses AS (SELECT *, sum(CASE WHEN gap >= 20 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY sample_seq) AS k FROM (
+      SELECT *, sample_seq - lag(sample_seq) OVER (PARTITION BY run_id ORDER BY sample_seq) AS gap FROM gs)),
+    g AS (SELECT run_id, k, min(sample_seq) AS first_sample, count(utilization_percent) AS n, count(*) FILTER (WHERE utilization_percent >= 5) AS a,
+      max(utilization_percent) AS mu, arg_min(memory_used_bytes, sample_seq) FILTER (WHERE utilization_percent IS NOT NULL AND memory_used_bytes IS NOT NULL) AS f,
+      max(memory_used_bytes) FILTER (WHERE utilization_percent IS NOT NULL) AS pk FROM ses GROUP BY 1, 2),
+    d AS (SELECT *, greatest(0, pk - f) AS delta FROM g)
+    SELECT run_id, CAST(first_sample AS BIGINT) AS first_sample, CAST(n AS BIGINT) AS sample_count, CAST(a AS BIGINT) AS active_sample_count,
+      CAST(mu AS BIGINT) AS max_utilization_percent, CAST(f AS BIGINT) AS first_memory_bytes, CAST(pk AS BIGINT) AS peak_memory_bytes,
+      CAST(delta AS BIGINT) AS memory_delta_bytes, coalesce(mu >= 5, FALSE) OR coalesce(delta >= 268435456, FALSE) AS activity_detected FROM d""",
+)
+def stream_gpu_runs(spark, sf):
+    """The lines of a sample are its devices; a run ends when it has had no sample for 20 seconds. Sample n has the time n."""
+    lines = LINES + ", timestamp_seconds(1700000000 + floor(event_id / 300)) AS ts"
+    out = replay_in_order(spark, sf, "events", lines, lambda s: windows.stream_gpu_runs(s, gap="20 seconds", late=IN_ORDER), ts="ts", key="run_id")
+    out = out.where("run_id IS NOT NULL").withColumn("first_sample", F.unix_seconds("started") - 1_700_000_000)
+    counts = ("first_sample", "sample_count", "active_sample_count", "max_utilization_percent", "first_memory_bytes", "peak_memory_bytes", "memory_delta_bytes")
+    return result(out, "run_id", *[f"{c}:i" for c in counts], "activity_detected")
+
+
+AV_EVENTS = """CAST(user_id AS STRING) AS media_id, CAST(ts AS TIMESTAMP) AS ts,
+CASE event_type WHEN 'view' THEN 'expected' WHEN 'click' THEN 'video' WHEN 'purchase' THEN 'audio' END AS stream"""
+
+
+@query(
+    "stream_aligned_events",
+    """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS media_id, epoch_us(ts) AS t, event_type FROM events),
+    x AS (SELECT media_id, t FROM e WHERE event_type = 'view'), v AS (SELECT media_id, t FROM e WHERE event_type = 'click'), a AS (SELECT media_id, t FROM e WHERE event_type = 'purchase')
+    SELECT x.media_id, round(x.t / 1000000.0::DOUBLE, 3) AS expected_seconds, round((v.t - x.t) / 1000.0::DOUBLE, 3) AS video_offset_ms,
+      round((a.t - x.t) / 1000.0::DOUBLE, 3) AS audio_offset_ms, round((a.t - v.t) / 1000.0::DOUBLE, 3) AS av_offset_ms
+    FROM x LEFT JOIN v ON v.media_id = x.media_id AND abs(v.t - x.t) <= 7200000000 LEFT JOIN a ON a.media_id = x.media_id AND abs(a.t - x.t) <= 7200000000""",
+)
+def stream_aligned_events(spark, sf):
+    out = replay_in_order(spark, sf, "events", AV_EVENTS, lambda s: windows.stream_align_events(s, reach="2 hours", late=IN_ORDER), ts="ts", key="media_id")
+    out = out.where("media_id IS NOT NULL")
+    return result(out, "media_id", "expected_seconds:d3", "video_offset_ms:d3", "audio_offset_ms:d3", "av_offset_ms:d3")

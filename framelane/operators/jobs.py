@@ -190,6 +190,32 @@ def storage_summary(files: DataFrame, roots: DataFrame, root: str = "root", size
     )
 
 
+def storage_tree(files: DataFrame, path: str = "path", size: str = "length", depth: int | None = None) -> DataFrame:
+    """Bytes and files below every directory that has files somewhere below it, the topmost included.
+
+    ``directory`` (without a slash at its end; the topmost is ``/``), ``level`` (0 for the topmost), ``own_files`` and ``own_bytes`` of files
+    right in it, ``files`` and ``size_bytes`` of its whole tree; down to ``depth`` levels, below which files count for their ancestors only.
+    Files are summed per directory before directories are repeated for their ancestors, so rows grow with directories times their depth, and
+    both sums start in the tasks. A path without a slash lies in the topmost directory; null paths are left out; a null size counts as 0.
+    """
+    names = F.filter(F.split(F.regexp_replace(F.col(path), "[^/]*$", ""), "/"), lambda n: n != "")
+    per_directory = (
+        files.where(F.col(path).isNotNull())
+        .select(names.alias("_names"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("_b"))
+        .groupBy("_names")
+        .agg(F.count(F.lit(1)).alias("_n"), F.sum("_b").alias("_b"))
+    )
+    deepest = F.size("_names") if depth is None else F.least(F.size("_names"), F.lit(depth))
+    level = F.explode(F.sequence(F.lit(0), deepest)).alias("level")
+    own = F.col("level") == F.size("_names")
+    spread = per_directory.select("*", level).withColumn("directory", F.concat(F.lit("/"), F.array_join(F.slice("_names", F.lit(1), F.col("level")), "/")))
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return spread.groupBy("directory", "level").agg(
+        whole(F.when(own, F.col("_n"))).alias("own_files"), whole(F.when(own, F.col("_b"))).alias("own_bytes"),
+        whole("_n").alias("files"), whole("_b").alias("size_bytes"),
+    )
+
+
 def cleanup_targets(jobs: DataFrame, kind: str = "all") -> DataFrame:
     """How many artifacts a bulk clean-up would remove and their bytes; ``scratch``, ``output`` or ``all``."""
     kinds = {"scratch": ("scratch",), "output": ("output",), "all": ("scratch", "output")}[kind]

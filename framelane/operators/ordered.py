@@ -221,21 +221,23 @@ def _bisect(key: Column, edges: Column, bits: int = 26) -> Column:
 
 
 def global_row_number(
-    df: DataFrame, order: Sequence[str], name: str = "position", rows_per_block: int = 2_000_000, reverse: bool = False
+    df: DataFrame, order: Sequence[str], name: str = "position", rows_per_block: int = 2_000_000, reverse: bool = False, most_blocks: int = 4_096
 ) -> DataFrame:
     """1-based position in a total order over the whole table, without a single-task window.
 
     ``order`` is ascending, nulls first, and must be total; ``reverse`` counts from the other end.
 
     The sort keys of one row in ``rows_per_block / 4``, chosen by a hash of the key, are the edges of blocks; so the number of blocks
-    follows the number of rows, and a recomputed task puts a row into the same block. All of it is one lazy query.
+    follows the number of rows, and a recomputed task puts a row into the same block. Beyond some ``most_blocks`` blocks they grow instead, so
+    the list of edges does not. All of it is one lazy query.
     """
     key = F.struct(*[F.col(c) for c in order])
-    chosen = df.where(F.pmod(F.xxhash64(*order), F.lit(max(1, rows_per_block // 4))) == 0)
+    total = df.select(F.lit(1).alias("_one")).agg(F.count("_one")).scalar()
+    share = F.greatest(F.lit(max(1, rows_per_block // 4)), F.ceil(total / most_blocks)).cast("bigint")
+    chosen = df.where(F.pmod(F.xxhash64(*order), share) == 0)
     edges = chosen.select(key.alias("_e")).agg(F.array_sort(F.collect_list("_e"))).scalar()
-    cut = df.withColumn("_edges", edges).withColumn("_at", _bisect(key, F.col("_edges"))).drop("_edges")
+    cut = df.withColumn("_edges", edges).withColumn("_at", _bisect(key, F.col("_edges"), (4 * most_blocks).bit_length())).drop("_edges")
     placed = blocked_row_number(cut, [], order, F.col("_at"), name).drop("_at")
     if not reverse:
         return placed
-    total = df.select(F.lit(1).alias("_one")).agg(F.count("_one")).scalar()
     return placed.withColumn(name, (total + 1 - F.col(name)).cast("bigint"))

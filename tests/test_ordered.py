@@ -105,3 +105,40 @@ def test_block_width(spark):
     assert time_block_seconds(df, ["k"], "ts", target_rows=500) in range(495, 506)
     blocks = df.groupBy(time_block("ts", 500)).count().agg(F.max("count")).first()[0]
     assert blocks <= 500
+
+
+def test_edges_stay_few(spark):
+    """More blocks than wanted make the blocks larger, not the list of edges longer."""
+    rng = random.Random(8)
+    rows = [(rng.choice([None, *range(40)]), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a int, b long").repartition(5)
+    want = {r: i for i, r in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])), 1)}
+    for blocks in (1, 8, 4096):
+        for reverse in (False, True):
+            got = {(r.a, r.b): r.position for r in global_row_number(df, ["a", "b"], rows_per_block=4, reverse=reverse, most_blocks=blocks).collect()}
+            assert got == ({r: len(rows) + 1 - i for r, i in want.items()} if reverse else want)
+
+
+def test_storage_tree(spark):
+    from collections import defaultdict
+
+    from framelane.operators import jobs
+
+    rng = random.Random(9)
+    files = [("/".join(["", *[rng.choice("abc") for _ in range(rng.randrange(5))], f"f{i}"]), rng.choice([None, 0, 5, i])) for i in range(300)]
+    files += [("x.txt", 7), ("/", 1), ("//a//b/c", 2), (None, 9)]
+    want = defaultdict(lambda: [0, 0, 0, 0])
+    for path, size in files:
+        if path is None:
+            continue
+        names = [n for n in path.split("/")[:-1] if n]
+        for level in range(len(names) + 1):
+            own = level == len(names)
+            row = want[("/" + "/".join(names[:level]), level)]
+            for i, v in enumerate((own, own * (size or 0), 1, size or 0)):
+                row[i] += v
+    df = spark.createDataFrame(files, "path string, length long").repartition(3)
+    got = {(r.directory, r.level): [r.own_files, r.own_bytes, r.files, r.size_bytes] for r in jobs.storage_tree(df).collect()}
+    assert got == want
+    assert {k: v for k, v in want.items() if k[1] <= 2} == {(r.directory, r.level): [r.own_files, r.own_bytes, r.files, r.size_bytes] for r in jobs.storage_tree(df, depth=2).collect()}
+    assert jobs.storage_tree(df.limit(0)).collect() == []

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelane.bindings import streams
-from framelane.operators import telemetry
+from framelane.operators import avsync, telemetry
 from framelane.sources import readers
 from framelane.streaming import stateful, windows
 
@@ -49,6 +49,8 @@ def replay(spark, tmp_path):
                 query.awaitTermination(60)
                 assert query.exception() is None and not query.isActive
                 run.dropped = stateful.dropped_rows(query)
+                held = [sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in query.recentProgress]
+                run.most_state = max([0, *held]) if not final or not ends else run.most_state
                 run.batches = sum(p["numInputRows"] > 0 for p in query.recentProgress) if not final or not ends else run.batches
             finally:
                 query.stop()
@@ -218,3 +220,60 @@ def test_a_replayed_table_drains_in_ranges(spark, tmp_path, monkeypatch, rows_of
             held[user] = state if valid else before
     assert sorted(map(str, ((r.job_id, r.state, r.previous, r.valid) for r in got.collect()))) == sorted(map(str, want))
     assert (len(written) > 3 and max(r["count"] for r in written) < 80) if rows_of_range == 120 else len(written) == 1
+
+
+DEVICE_LINES = "run_id STRING, sample_seq BIGINT, ts TIMESTAMP, line STRING"
+
+
+def device_lines(rng, gap_after=None):
+    """Lines of three devices per sample; run r2 pauses after a sample, if told so."""
+    rows = []
+    for run in ("r1", "r2", "r3"):
+        for seq in range(30):
+            at = seq + (600 if run == "r2" and gap_after is not None and seq > gap_after else 0)
+            for device in range(3):
+                line = rng.choice([f"{rng.randrange(0, 9)}, {rng.randrange(500, 900)}, 8000", "bad, 1, 2", f"{rng.randrange(99)}, none, 8000"])
+                rows.append({"run_id": run, "sample_seq": seq, "ts": f"2024-01-01T01:{at // 60:02d}:{at % 60:02d}.000Z", "line": line})
+    return rows
+
+
+@pytest.mark.parametrize("per_file", [7, 1000])
+def test_gpu_runs_sum_devices_and_end(spark, replay, per_file):
+    """Two stateful operators in one stream, with finite lateness, against the batch form; however the lines are cut into batches."""
+    lines = device_lines(random.Random(per_file))
+    lines.sort(key=lambda r: (r["ts"], r["line"]))
+    for i in range(0, len(lines) - 6, 6):  # out of order within a few samples
+        lines[i : i + 6] = reversed(lines[i : i + 6])
+    files = [lines[i : i + per_file] for i in range(0, len(lines), per_file)]
+    got = {r.run_id: r for r in replay(lambda s: windows.stream_gpu_runs(s, gap="1 minute", late="10 seconds"), files, DEVICE_LINES, per_trigger=4, ends="ts") if r.run_id}
+    assert replay.dropped == 0
+    batch = spark.createDataFrame([(r["run_id"], r["sample_seq"], r["line"]) for r in lines], "run_id string, sample_seq long, line string")
+    want = telemetry.assess_gpu_activity(telemetry.parse_gpu_samples(batch)).collect()
+    assert len(want) == 3 and {r.run_id: r.asDict() for r in want} == {k: {c: r[c] for c in want[0].asDict()} for k, r in got.items()}
+
+
+def test_gpu_runs_part_at_a_gap(replay):
+    lines = sorted(device_lines(random.Random(5), gap_after=11), key=lambda r: r["ts"])
+    rows = [r for r in replay(lambda s: windows.stream_gpu_runs(s, gap="1 minute", late="10 seconds"), [lines], DEVICE_LINES, ends="ts") if r.run_id]
+    assert sorted((r.run_id, (r.ended - r.started).total_seconds()) for r in rows) == [("r1", 30.0), ("r2", 12.0), ("r2", 18.0), ("r3", 30.0)]
+
+
+def test_aligned_events_stream(spark, replay):
+    """Sparse events: the rows of the batch alignment, and expected events without partners; state goes with the watermark."""
+    rows, files = [], []
+    for media in ("a", "b"):
+        for k in range(40):
+            at = 100 + 10 * k
+            for stream, shift in (("expected", 0), ("video", 12 * k % 90), ("audio", 30 - k)):
+                rows.append((media, stream, at + shift / 1000))
+    stamp = lambda s: f"2024-01-01T00:{int(s) // 60:02d}:{s % 60:06.3f}Z"
+    feed = sorted(rows + [("c", "expected", 150.0), ("c", "video", 152.5), ("c", "expected", 160.0), ("c", "audio", 160.5)], key=lambda r: r[2])
+    files = [[{"media_id": m, "stream": s, "ts": stamp(t)} for m, s, t in feed[i : i + 20]] for i in range(0, len(feed), 20)]
+    schema = "media_id STRING, stream STRING, ts TIMESTAMP"
+    got = [r for r in replay(lambda s: windows.stream_align_events(s, reach="1 second", late="5 seconds"), files, schema, per_trigger=1, ends="ts") if r.media_id]
+    lonely = {(r.expected_seconds % 3600, r.video_offset_ms, r.audio_offset_ms) for r in got if r.media_id == "c"}
+    assert lonely == {(150.0, None, None), (160.0, None, 500.0)}
+    batch = avsync.align_events(spark.createDataFrame(rows, "media_id string, stream string, seconds double")).collect()
+    offsets = lambda rs: sorted((r.media_id, *(round(v, 2) for v in (r.video_offset_ms, r.audio_offset_ms, r.av_offset_ms))) for r in rs)
+    assert offsets(r for r in got if r.media_id != "c") == offsets(batch)
+    assert 0 < replay.most_state < len(feed) / 2
