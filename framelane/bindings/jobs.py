@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from framelane.bindings.registry import query, result, split_columns, stand_in, table
 from framelane.operators import catalog, completeness, jobs, library, requests
 from framelane.session import ensure_checkpoint_dir
-from framelane.sources import media, segments
+from framelane.sources import media, segments, versions
 
 JOBS = """
 o_orderkey AS job_id, CASE WHEN o_custkey % 9 = 0 THEN 'sourceConversion' ELSE 'pipeline' END AS job_kind,
@@ -216,6 +216,23 @@ def storage_summary(spark, sf):
     return jobs.storage_summary(files, roots)
 
 
+CHANGES = """CAST(user_id AS {text}) AS model_id, event_id AS changed_at, CAST(event_id % 6 AS INT) AS rating, event_type = 'signup' AS deleted"""
+
+
+@query(
+    "incremental_ratings",
+    f"""SELECT model_id, CAST(arg_max(changed_at, changed_at) AS BIGINT) AS changed_at, CAST(arg_max(rating, changed_at) AS BIGINT) AS rating
+    FROM (SELECT {CHANGES.format(text='VARCHAR')} FROM events) GROUP BY 1 HAVING NOT arg_max(deleted, changed_at)""",
+)
+def incremental_ratings(spark, sf):
+    """Ratings and their removals in three batches, each with changes of all times."""
+    path = f"{ensure_checkpoint_dir(spark)}/ratings-{uuid.uuid4().hex}"
+    changes = stand_in(spark, sf, "events", CHANGES.format(text="STRING"))
+    for lot in range(3):
+        versions.apply_changes(changes.where(F.pmod(F.xxhash64("changed_at"), F.lit(3)) == lot), path, ["model_id"], ["changed_at"], buckets=16)
+    return result(versions.read_table(spark, path), "model_id", "changed_at:i", "rating:i")
+
+
 TREE = """'/' || lang || '/' || source || '/' || CAST(doc_id % 7 AS {text}) || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '/' || CAST(doc_id % 11 AS {text}) END
 || '/' || CAST(doc_id AS {text}) || '.txt' AS path, n_chars AS length"""
 
