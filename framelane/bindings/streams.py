@@ -55,15 +55,15 @@ def replay(spark, sf_dir, name, columns, build, mode="append", ts=None, key=None
     return newest.select("r.*")
 
 
-#: Rows of a range of event time, about: what a key has in state at once, at most.
-RANGE_ROWS = 500_000
+#: Rows of a range of event time for each core of the cluster, about. A key has at most a range in state at once.
+RANGE_ROWS_PER_CORE = 62_500
 
 
 def replay_in_order(spark, sf_dir, name, columns, build, ts, key):
     """Stream ``columns`` of a table through ``build`` in order of the time ``ts`` and read back what it wrote.
 
-    The table is cut at quantiles of its times into ranges of some ``RANGE_ROWS`` rows (rows of one instant stay together), staged as one
-    folder each. Each range is one run and one micro-batch of the query, and after it the watermark passes its last row; so the
+    The table is cut at quantiles of its times into ranges of some ``RANGE_ROWS_PER_CORE`` rows a core (rows of one instant stay together),
+    staged as one folder each, so a run has as much work for each core however large the cluster is. Each range is one run and one micro-batch of the query, and after it the watermark passes its last row; so the
     operator, with no lateness, holds a range of a key's rows and not its history. The last run sees the end of the stream. A dropped row is an
     error, since a replay must be complete. The driver sees one time per range.
     """
@@ -71,19 +71,16 @@ def replay_in_order(spark, sf_dir, name, columns, build, ts, key):
     folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows = table(spark, sf_dir, name).select(*[F.expr(c) for c in split_columns(columns)])
     schema, micros = rows.schema, F.unix_micros(F.col(ts).cast("timestamp"))
-    parts = max(1, -(-rows.count() // RANGE_ROWS))
+    parts = max(1, -(-rows.count() // (RANGE_ROWS_PER_CORE * spark.sparkContext.defaultParallelism)))
+    shares = [k / parts for k in range(1, parts)]
     edges = []
-    if parts > 1:
-        shares = [k / parts for k in range(1, parts)]
+    if shares:
         found = rows.agg(F.percentile_approx(micros, shares, max(10_000, 10 * parts)).alias("at")).first()["at"]
         edges = sorted(set(found or []))
-    if edges:
-        place = ordered._bisect(micros, F.array(*[F.lit(e) for e in edges]))
-        rows.withColumn("_range", place).repartitionByRange(ts).write.partitionBy("_range").parquet(f"{folder}/staged")
-        staged = spark.read.schema(T.StructType([*schema.fields, T.StructField("_range", T.IntegerType())])).parquet(f"{folder}/staged")
-        slices = [staged.where(F.col("_range") == k).drop("_range") for k in range(len(edges) + 1)]
-    else:
-        slices = [rows]
+    place = ordered._bisect(micros, F.array(*[F.lit(e) for e in edges]), len(edges).bit_length()) if edges else F.lit(0)
+    rows.withColumn("_range", place).repartitionByRange(ts).write.partitionBy("_range").parquet(f"{folder}/staged")
+    staged = spark.read.schema(T.StructType([*schema.fields, T.StructField("_range", T.IntegerType())])).parquet(f"{folder}/staged")
+    slices = [staged.where(F.col("_range") == k).drop("_range") for k in range(len(edges) + 1)]
     slices.append(stateful.end_of_stream(rows, ts, key))
     slices[-1].limit(0).write.parquet(f"{folder}/in")
     built, target = build(spark.readStream.schema(schema).parquet(f"{folder}/in")), f"{folder}/rows"
@@ -97,8 +94,6 @@ def replay_in_order(spark, sf_dir, name, columns, build, ts, key):
     return spark.read.schema(built.schema).parquet(target)
 
 
-#: How far the replayed tables may be out of order: all of their span, as files come in any order.
-ANY_ORDER = "3650 days"
 #: Range after range, no row comes late.
 IN_ORDER = "0 seconds"
 STREAM_PROGRESS = PROGRESS.replace("event_id, ts,", "event_id, CAST(ts AS TIMESTAMP) AS ts,")
@@ -220,9 +215,9 @@ def stream_edges(spark, sf):
     round(avg(processed_frames), 6) AS average_fps, CAST(max(gpu_memory_used_bytes) AS BIGINT) AS peak_memory FROM pr GROUP BY ALL""",
 )
 def stream_windows(spark, sf):
-    out = replay(
+    out = replay_in_order(
         spark, sf, "events", STREAM_PROGRESS,
-        lambda s: windows.stream_windows(s, "6 hours", late=ANY_ORDER, fps="processed_frames"), ts="ts", key="job_id",
+        lambda s: windows.stream_windows(s, "6 hours", late=IN_ORDER, fps="processed_frames"), ts="ts", key="job_id",
     ).where("job_id IS NOT NULL")  # the end of the stream
     return result(out, "job_id", "window_start:i", "samples:i", "average_fps:d", "peak_memory:i")
 

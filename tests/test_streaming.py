@@ -198,10 +198,10 @@ def test_gpu_lines_from_stream(spark, tmp_path):
     assert (got.utilization_percent, got.memory_used_bytes, got.memory_total_bytes) == (81, 10240 * 2**20, 98304 * 2**20)
 
 
-@pytest.mark.parametrize("rows_of_range", [120, 10**6])
+@pytest.mark.parametrize("rows_of_range", [15, 10**6])
 def test_a_replayed_table_drains_in_ranges(spark, tmp_path, monkeypatch, rows_of_range):
     """A key with a third of the rows, in files of any order and with equal times: each write of a key stays within a range."""
-    monkeypatch.setattr(streams, "RANGE_ROWS", rows_of_range, raising=False)
+    monkeypatch.setattr(streams, "RANGE_ROWS_PER_CORE", rows_of_range)
     rng = random.Random(8)
     states = ("signup", "click", "purchase", "view")
     rows = [(0 if i % 3 == 0 else i % 40, f"2024-01-{1 + i // 40:02d} 00:{i % 40:02d}:00.{i % 7:06d}", rng.choice(states)) for i in range(900)]
@@ -219,7 +219,7 @@ def test_a_replayed_table_drains_in_ranges(spark, tmp_path, monkeypatch, rows_of
             want.append((user, state, before, valid))
             held[user] = state if valid else before
     assert sorted(map(str, ((r.job_id, r.state, r.previous, r.valid) for r in got.collect()))) == sorted(map(str, want))
-    assert (len(written) > 3 and max(r["count"] for r in written) < 80) if rows_of_range == 120 else len(written) == 1
+    assert (len(written) > 3 and max(r["count"] for r in written) < 80) if rows_of_range == 15 else len(written) == 1
 
 
 DEVICE_LINES = "run_id STRING, sample_seq BIGINT, ts TIMESTAMP, line STRING"
