@@ -150,8 +150,10 @@ def parse_iban(text: str, cue_end: int):
         if text[end] != " ":
             kept.append(text[end].upper())
         end += 1
-        own = "".join(kept)
-        if len(own) >= 15 and own[:2].isalpha() and own[2:4].isdigit() and (end == len(text) or text[end] not in ALNUM):
+        if len(kept) == 4 and not ("".join(kept[:2]).isalpha() and "".join(kept[2:]).isdigit()):
+            return None
+        if len(kept) >= 15 and (end == len(text) or text[end] not in ALNUM):
+            own = "".join(kept)
             if int("".join(str(int(c, 36)) for c in own[4:] + own[:4])) % 97 == 1:
                 return i, end
     return None
