@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from framelane.bindings.registry import ORACLES, query, result, stand_in, table
-from framelane.operators import apply, captions, quality, tiled_metrics
+from framelane.operators import apply, captions, quality, tiled_components, tiled_metrics
 from framelane.operators.ordered import blocked_row_number, index_block
 from framelane.session import ensure_checkpoint_dir
 
@@ -664,3 +664,39 @@ def caption_components(spark, sf):
     found = apply.detect_caption_components(frames, ("source_id", "frame_index"), light_threshold=150)
     whole = ("frame_index", "component_id", "x", "y", "width", "height", "area")
     return result(found, "source_id", *[f"{c}:i" for c in whole], "center_y:d")
+
+
+MOSAIC = 128  # images in a row of the large picture
+
+
+@query(
+    "tiled_caption_components",
+    f"""WITH RECURSIVE {BYTES_SQL}, s AS (SELECT source_id, CAST(ceil(count(DISTINCT i) / {MOSAIC}) AS BIGINT) * 8 AS h FROM b GROUP BY 1),
+    g AS (SELECT source_id, CAST(round_even(h * (1.0::DOUBLE - 0.42::DOUBLE), 0) AS BIGINT) AS top FROM s),
+    m AS (SELECT source_id, i % {MOSAIC} * 8 + p % 8 AS x, i // {MOSAIC} * 8 + p // 8 - top AS y FROM b JOIN g USING (source_id) WHERE v >= 135 AND i // {MOSAIC} * 8 + p // 8 >= top),
+    c AS (SELECT source_id, a.x, a.y FROM m a JOIN m r USING (source_id) JOIN m d USING (source_id) JOIN m e USING (source_id)
+      WHERE r.x = a.x + 1 AND r.y = a.y AND d.x = a.x AND d.y = a.y + 1 AND e.x = a.x + 1 AND e.y = a.y + 1),
+    l AS (SELECT DISTINCT source_id, c.x + dx AS x, c.y + dy AS y, (c.y + dy) * {MOSAIC * 8} + c.x + dx AS p FROM c, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS o(dx, dy)),
+    n AS (SELECT f.source_id, f.p, t.p AS q FROM l f, (VALUES (-1), (0), (1)) AS a(dx), (VALUES (-1), (0), (1)) AS o(dy), l t
+      WHERE t.source_id = f.source_id AND t.x = f.x + dx AND t.y = f.y + dy),
+    re AS (SELECT source_id, p, p AS q FROM l UNION SELECT re.source_id, re.p, n.q FROM re JOIN n ON n.source_id = re.source_id AND n.p = re.q),
+    ro AS (SELECT source_id, p, min(q) AS root FROM re GROUP BY 1, 2),
+    co AS (SELECT source_id, root, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) AS n, avg(y) AS cy FROM ro JOIN l USING (source_id, p) GROUP BY 1, 2)
+    SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY root) AS component_id, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y,
+      CAST(w AS BIGINT) AS width, CAST(h AS BIGINT) AS height, n AS area, round(cy, 6) AS center_y FROM co""",
+)
+def tiled_caption_components(spark, sf):
+    """Every clip as one large picture, whose tiles are the clip's images."""
+    images = byte_frames(spark, sf).withColumnRenamed("frame_index", "_i")
+    high = images.groupBy("source_id").agg((F.ceil((F.max("_i") + 1) / MOSAIC) * 8).alias("frame_height"))
+    tiles = images.join(high, "source_id").select(
+        "source_id",
+        F.lit(0).alias("frame_index"),
+        F.lit(MOSAIC * 8).alias("frame_width"),
+        "frame_height",
+        (F.col("_i") % MOSAIC * 8).alias("x"),
+        (F.floor(F.col("_i") / MOSAIC) * 8).alias("y"),
+        *apply.FRAME_COLUMNS,
+    )
+    found = tiled_components.detect_tiled_components(tiles, light_threshold=135)
+    return result(found, "source_id", *[f"{c}:i" for c in ("component_id", "x", "y", "width", "height", "area")], "center_y:d")

@@ -367,6 +367,17 @@ def _caption_mask(region, chosen):
     light = np.rint(gray) >= chosen["light_threshold"]
     if region.shape[2] == 1:
         return light
+    step = np.hypot(*np.gradient(gray)) >= chosen["edge_threshold"] if min(gray.shape) > 1 else np.zeros(gray.shape, bool)
+    wide = np.pad(step, 1)  # nothing beyond the borders
+    rows, cols = step.shape
+    near = np.any([wide[y : y + rows, x : x + cols] for y in range(3) for x in range(3)], axis=0)
+    return light | (_colored(region, chosen) & near)
+
+
+def _colored(region, chosen):
+    """Pixels of the caption colours in a BGR region."""
+    import numpy as np
+
     b, g, r = (region[:, :, k].astype(float) for k in range(3))
     high, low = np.maximum(np.maximum(b, g), r), np.minimum(np.minimum(b, g), r)
     spread = high - low
@@ -374,18 +385,12 @@ def _caption_mask(region, chosen):
     saturation = np.where(high > 0, 255.0 * spread / np.where(high > 0, high, 1.0), 0.0)
     hue = np.where(high == r, (g - b) / safe, np.where(high == g, 2.0 + (b - r) / safe, 4.0 + (r - g) / safe))
     hue = np.where(spread > 0, (hue * 30.0) % 180.0, 0.0)
-    step = np.hypot(*np.gradient(gray)) >= chosen["edge_threshold"] if min(gray.shape) > 1 else np.zeros(gray.shape, bool)
-    wide = np.pad(step, 1)  # nothing beyond the borders
-    rows, cols = step.shape
-    near = np.any([wide[y : y + rows, x : x + cols] for y in range(3) for x in range(3)], axis=0)
-    colored = (
+    return (
         (saturation >= chosen["color_saturation_threshold"])
         & (high >= chosen["color_value_threshold"])
         & (hue >= chosen["color_hue_min"])
         & (hue <= chosen["color_hue_max"])
-        & near
     )
-    return light | colored
 
 
 def _components(mask) -> list[tuple]:
