@@ -1,17 +1,19 @@
 """Quality rules with risk-controlled thresholds.
 
 Fixed rules reject the clearly broken texts. On top, each measure (share of symbols, of shouting, ...) may get a cutoff per
-stratum. Cutoffs come from a grid laid down beforehand; one is admissible if the labelled good documents show, by the exact
-binomial (Clopper-Pearson) bound, that it rejects at most ``alpha`` of the stratum's good documents. The bound of every test holds at
-confidence ``delta`` divided by the number of tests (Bonferroni), so all guarantees hold together at ``delta``. Of the
-admissible cutoffs the one is taken that rejects most labelled bad documents, the loosest of equal ones.
+stratum (a language). A hash of the id deals the labelled documents to two halves. The first half chooses: of each measure's grid, laid down
+beforehand, the cutoff that rejects most labelled bad documents while next to no good ones, the loosest of equal ones; measures that reject
+more bad documents come first. The second half certifies: the joint rule of the first measure, of the first two, and so on, is tested by the
+exact binomial (Clopper-Pearson) bound for rejecting at most ``alpha`` of the stratum's good documents, until one fails. Such a fixed sequence needs
+no division among its tests; over the strata ``delta`` is divided (Bonferroni). So with probability 1 - ``delta`` the verdict of every
+stratum, all its cutoffs taken together, rejects at most ``alpha`` of the good documents that pass the fixed rules.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from framelane.llm.shared import SPACES, checkpointed, words_of
 
@@ -23,6 +25,7 @@ MEASURES = {
     "repeats": "n_repeat_words / n_words",
     "long_words": "word_chars / n_words / 100",
 }
+USED = ("n_words", "word_chars", "n_symbols", "n_shouted", "n_dup_lines", "n_repeat_words")
 GRID = (0.02, 0.03, 0.05, 0.08, 0.12, 0.16, 0.2, 0.3, 0.4, 0.5, 0.7, 0.9)
 
 
@@ -100,33 +103,56 @@ def binomial_passes(k: Column, n: Column, alpha: float, delta: Column) -> Column
     return F.when((n > 0) & (k <= n * alpha), tail <= F.log(delta)).otherwise(F.lit(False))
 
 
-def select_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str, alpha: float = 0.004, delta: float = 0.05, grid=GRID) -> DataFrame:
-    """One row per stratum: ``stratum`` and ``cut_<measure>`` (null: no admissible cutoff).
+def choosing_half(doc_id: Column) -> Column:
+    """Is a labelled document in the half that chooses the cutoffs? The other half certifies them."""
+    return F.pmod(F.xxhash64(F.lit("half"), doc_id), F.lit(2)) == 0
 
-    ``labels``: ``doc_id``, ``quality`` (1 good, 0 bad; null left out; of repeated labels of a document the worst counts).
-    Documents that fail the fixed rules take no part: they go anyway. ``alpha`` holds for each measure by itself.
+
+def choose_cutoffs(held: DataFrame, alpha: float, grid) -> DataFrame:
+    """Per ``stratum`` the array ``_chain`` of (bad, m, cut): at most one cutoff per measure, best first; ``held`` has the choosing half.
+
+    A measure's cutoff may reject its share of half of ``alpha`` among the good documents of this half, so that the joint rule can be certified.
     """
-    quality = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
-    held = stats.filter(~F.col("base_failed")).join(quality, "doc_id")
-    good = F.col("_quality") == 1
+    good = F.col("_good")
     counts = [F.sum(good.cast("long")).alias("n_good")]
     for name in MEASURES:
         for i, cut in enumerate(grid):
             over = measure(name) >= cut
             counts += [F.sum((over & good).cast("long")).alias(f"{name}_{i}_good"), F.sum((over & ~good).cast("long")).alias(f"{name}_{i}_bad")]
-    by_stratum = held.groupBy(F.col(stratum).alias("stratum")).agg(*counts)
-    tests = F.array(
-        *[
-            F.struct(F.lit(name).alias("measure"), F.lit(float(cut)).alias("cut"), F.col(f"{name}_{i}_good").alias("k"), F.col(f"{name}_{i}_bad").alias("bad"))
-            for name in MEASURES
-            for i, cut in enumerate(grid)
-        ]
-    )
-    rows = by_stratum.withColumn("_tests", F.count("*").over(Window.partitionBy()) * len(MEASURES) * len(grid))
-    rows = rows.select("stratum", "n_good", "_tests", F.explode(tests).alias("t"))
-    passing = rows.filter((F.col("t.bad") > 0) & binomial_passes(F.col("t.k"), F.col("n_good"), alpha, delta / F.col("_tests")))
-    best = F.max_by("t.cut", F.struct(F.col("t.bad"), F.col("t.cut")))
-    return passing.groupBy("stratum").pivot("t.measure", list(MEASURES)).agg(best).withColumnsRenamed({m: f"cut_{m}" for m in MEASURES})
+    tests = [
+        F.struct(F.lit(m).alias("m"), F.lit(float(cut)).alias("cut"), F.col(f"{name}_{i}_good").alias("k"), F.col(f"{name}_{i}_bad").alias("bad"))
+        for m, name in enumerate(MEASURES)
+        for i, cut in enumerate(grid)
+    ]
+    rows = held.groupBy("stratum").agg(*counts).select("stratum", "n_good", F.explode(F.array(*tests)).alias("t"))
+    open_ = rows.filter((F.col("t.bad") > 0) & (F.col("t.k") <= F.col("n_good") * (alpha / 2 / len(MEASURES))))
+    best = open_.groupBy("stratum", F.col("t.m").alias("m")).agg(F.max(F.struct("t.bad", "t.cut")).alias("_best"))
+    chain = F.array_sort(F.collect_list(F.struct((-F.col("_best.bad")).alias("less"), "m", F.col("_best.cut").alias("cut"))))
+    return best.groupBy("stratum").agg(chain.alias("_chain"))
+
+
+def select_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str, alpha: float = 0.02, delta: float = 0.05, grid=GRID) -> DataFrame:
+    """One row per stratum with cutoffs: ``stratum`` and ``cut_<measure>`` (null: none certified).
+
+    ``labels``: ``doc_id``, ``quality`` (1 good, 0 bad; null left out; of repeated labels of a document the worst counts).
+    Documents that fail the fixed rules take no part: they go anyway. With the default bounds and four strata a stratum needs 217 good
+    documents in the certifying half if none of them is rejected. Tables of strata have one row each, with five cutoffs at most.
+    """
+    quality = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
+    joined = stats.filter(~F.col("base_failed")).join(quality, "doc_id")
+    held = joined.select(F.col(stratum).alias("stratum"), (F.col("_quality") == 1).alias("_good"), choosing_half(F.col("doc_id")).alias("_chooses"), *USED)
+    chains = choose_cutoffs(held.filter("_chooses"), alpha, grid)
+    values = F.array(*[measure(m) for m in MEASURES])
+    hit = F.array_position(F.transform("_chain", lambda t: F.get(F.col("_values"), t["m"]) >= t["cut"]), True)
+    tried = held.filter("_good AND NOT _chooses").withColumn("_values", values).join(chains.withColumnRenamed("stratum", "_of"), F.col("stratum").eqNullSafe(F.col("_of")))
+    rejected = [F.sum(((F.col("_hit") > 0) & (F.col("_hit") <= i + 1)).cast("long")).alias(f"_k{i}") for i in range(len(MEASURES))]
+    counts = tried.withColumn("_hit", hit).groupBy("stratum").agg(F.count("*").alias("n_good"), F.first("_chain").alias("_chain"), *rejected)
+    strata = counts.withColumn("_strata", chains.groupBy().agg(F.count("*")).scalar())
+    passes = F.array(*[binomial_passes(F.col(f"_k{i}"), F.col("n_good"), alpha, delta / F.col("_strata")) for i in range(len(MEASURES))])
+    proved = F.coalesce(F.nullif(F.array_position(passes, False), F.lit(0)) - 1, F.lit(len(MEASURES)))
+    kept = strata.withColumn("_chain", F.slice("_chain", F.lit(1), proved.cast("int"))).filter(F.size("_chain") > 0)
+    cut = lambda i: F.get(F.filter("_chain", lambda t: t["m"] == i), F.lit(0))["cut"]
+    return kept.select("stratum", *[cut(i).alias(f"cut_{m}") for i, m in enumerate(MEASURES)])
 
 
 def verdicts(stats: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:

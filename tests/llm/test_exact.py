@@ -318,6 +318,65 @@ def test_cutoffs_reject_few_good_documents(spark):
     assert not any(r.kept for r in kept if r.lang == "many" and r.quality == 0)
 
 
+def test_cutoffs_against_brute_force(spark):
+    """Choice, order and certification of the cutoffs, and ``kept`` itself, over strata that pass in full, in part and not at all."""
+    from math import comb
+
+    from pyspark.sql import functions as F
+
+    rng, alpha, delta = random.Random(8), 0.02, 0.05
+    rows, names = [], "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_shouted long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality int"
+    for i in range(5000):
+        lang = rng.choice(["full", "part", "part", "small", None, None])
+        if lang == "small" and rng.random() < 0.8:
+            continue
+        bad = rng.random() < 0.2
+        noise = lambda odds: rng.random() < odds
+        symbols = rng.randrange(90, 250) if bad and noise(0.6) else rng.randrange(0, 12)
+        shouted = rng.randrange(60, 300) if noise(0.5 if bad else {"part": 0.0024}.get(lang, 0)) else rng.randrange(0, 10)
+        rows.append((i, lang, 100, 500, symbols, shouted, 40 if bad and noise(0.1) else 0, 0, noise(0.05), None if noise(0.02) else int(not bad)))
+    stats = spark.createDataFrame(rows, names)
+    labels = stats.select("doc_id", "quality").union(stats.filter("doc_id % 100 = 3").select("doc_id", F.lit(0)))
+    first = {r.doc_id for r in stats.filter(quality_risk.choosing_half(F.col("doc_id"))).collect()}
+    sample = [(r[0], r[1], (r[4] / 500, r[5] / 500, r[6] / 100, 0.0, 0.05), r[9] == 1 and r[0] % 100 != 3) for r in rows if not r[8] and (r[9] is not None or r[0] % 100 == 3)]
+    chains = {}
+    for lang in {r[1] for r in sample}:
+        half = [r for r in sample if r[1] == lang and r[0] in first]
+        goods = sum(r[3] for r in half)
+        for m in range(5):
+            counts = [(sum(r[2][m] >= c and not r[3] for r in half), c, sum(r[2][m] >= c and r[3] for r in half)) for c in quality_risk.GRID]
+            able = [(bad, c) for bad, c, k in counts if bad > 0 and k <= goods * alpha / 10]
+            if able:
+                chains.setdefault(lang, []).append((-max(able)[0], m, max(able)[1]))
+    want = {}
+    for lang, chain in chains.items():
+        goods = [r for r in sample if r[1] == lang and r[3] and r[0] not in first]
+        for end in range(1, len(chain) + 1):
+            k = sum(any(r[2][m] >= c for _, m, c in sorted(chain)[:end]) for r in goods)
+            tail = sum(comb(len(goods), i) * alpha**i * (1 - alpha) ** (len(goods) - i) for i in range(k + 1))
+            if tail > delta / len(chains):
+                break
+            want[lang] = {m: c for _, m, c in sorted(chain)[:end]}
+    cuts = quality_risk.select_cutoffs(stats.drop("quality"), labels, "lang")
+    assert {r.stratum: {i: c for i, c in enumerate(r[1:]) if c is not None} for r in cuts.collect()} == want
+    assert "small" in chains and "small" not in want and None in want and len(want["full"]) > 1
+    for r in quality_risk.verdicts(stats, cuts, "lang").collect():
+        values = (r.n_symbols / 500, r.n_shouted / 500, r.n_dup_lines / 100, 0.0, 0.05)
+        assert r.kept == (not r.base_failed and not any(values[m] >= c for m, c in want.get(r.lang, {}).items()))
+
+
+def test_certified_rules_hold_on_new_documents(spark):
+    """The bound holds for good documents that took no part; measures that also mark good documents get no tight cutoff."""
+    rng = random.Random(2)
+    make = lambda i, bad: (i, "en", 100, 500, 0, rng.randrange(10, 200) if bad else int(rng.expovariate(0.08)), 0, 0, False, int(not bad))
+    names = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_shouted long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality int"
+    stats = spark.createDataFrame([make(i, i % 6 == 0) for i in range(4000)], names)
+    new = spark.createDataFrame([make(i, False) for i in range(4000, 10000)], names)
+    cuts = quality_risk.select_cutoffs(stats.drop("quality"), stats.select("doc_id", "quality"), "lang")
+    assert cuts.count() == 1 and quality_risk.verdicts(stats.filter("quality = 0"), cuts, "lang").filter("NOT kept").count() > 300
+    assert quality_risk.verdicts(new, cuts, "lang").filter("NOT kept").count() <= 0.02 * 6000
+
+
 def test_licences(spark, rng):
     lines = ["Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "licensed UNDER cc-by-nc 4.0", "Under the GNU General Public License, version 3", "the mit library under the license", ""]
     texts = [prose(rng, 20) + "\n" + line + " " + prose(rng, 5) for line in lines] + [(lines[1] + " ") * 3, "under the mit \u212aicense"]
