@@ -252,6 +252,25 @@ def test_splitting_tree():
     assert (out == mixing.split_quotas(quotas, 16, 3)).all() and (out != mixing.split_quotas(quotas, 16, 4)).any()
 
 
+def test_shards_of_a_mix_come_from_the_tree(spark):
+    """Every shard draws exactly its quota of each source, loads are even, and the draws are disjoint ranges of the permuted blocks."""
+    rng, shards, seed = random.Random(6), 16, 7
+    rows = [(s, b, rng.randrange(1, 90)) for s, n in (("a", 900), ("b", 200), (None, 37)) for b in rng.sample(range(1024), n)]
+    df = spark.createDataFrame(rows, "source string, _block int, size long")
+    drawn = mixing.draw_blocks(df, shards, seed, mixing.WEIGHTS, mixing.SHARE, mixing.REPEATS).collect()
+    sources = ["a", "b", None]
+    per_shard = np.zeros((shards, 3), int)
+    for r in drawn:
+        for shard in r.shards:
+            per_shard[shard, sources.index(r.source)] += 1
+    assert (per_shard == mixing.split_quotas(per_shard.sum(axis=0), shards, seed)).all()
+    assert per_shard.sum(axis=1).max() - per_shard.sum(axis=1).min() <= 4 and len(drawn) == len(rows)
+    for k, source in enumerate(sources):
+        order = sorted((r for r in drawn if r.source == source), key=lambda r: (hashlib.md5(f"{seed}:{r._block}".encode()).hexdigest(), r._block))
+        dealt = [r.shards[d] for d in range(max(len(r.shards) for r in order)) for r in order if len(r.shards) > d]
+        assert dealt == [shard for shard in range(shards) for _ in range(per_shard[shard, k])]
+
+
 def removed(texts, length):
     seen, out = set(), []
     for t in texts:
