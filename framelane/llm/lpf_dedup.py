@@ -1,16 +1,17 @@
-"""Removal of repeated passages by longest previous factors, in suffix order.
+"""Removal of repeated passages by longest-previous-factor arrays.
 
 A byte goes if it lies in a ``length``-byte string that starts earlier in the corpus too (smaller document, or earlier in the
 same one). With LPF(p), the longest match of the suffix at p with a suffix that starts earlier, this is LPF(p) >= ``length`` for
-some p at most ``length - 1`` bytes before. In suffix order the earlier starts with the longest match are the previous
-and the next smaller position; cut at ``length`` bytes, with equal strings in order of position, the previous smaller position
-with a full match is the row just before. So a sort of the windows by (bytes, position) gives the answer.
+some p at most ``length - 1`` bytes before. Among suffixes in order, the earlier one with the longest match is the nearest
+before or the nearest after that starts earlier (the previous and the next smaller position), and the match is the smallest
+common prefix of neighbours on the way. Suffixes are compared over ``length`` bytes, so LPF is cut there.
 
 Spark brings together what can match. Every window has a key: the smallest hash of its ``GRAM``-byte grams. Equal windows have
 equal keys, and neighbouring windows mostly share theirs, so a text is a list of runs of windows with one key. Keys are
 counted over the corpus; runs whose key occurs once are done. The others go, with their bytes, to the bucket of their
-key, where the windows are put in suffix order. Runs with a very common key are sent window by window to the bucket of the
-window's own hash, repeats within a chunk of text first removed, so that no bucket is large whatever repeats.
+key, where their suffixes are put in order and get their LPF. Runs with a very common key go window by window, and in
+rounds: a bucket takes a window's copies from ``fan`` batches only and passes the earliest on to the next round, which takes
+them from ``fan`` times as many. So no bucket grows with the corpus, whatever repeats.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ GRAM = 32
 BATCH, CHUNK = 4_000_000, 400_000
 #: Runs of one key that may meet in a bucket.
 HOT = 2048
+#: Batches (or groups of batches) whose copies of one window may meet in a bucket.
+FAN = 256
+#: Kinds of runs: to be searched; single windows with a very common key, searched in rounds; repeats.
+PLAIN, COMMON, DONE = 0, 1, 2
 #: Windows sorted at a time.
 SORTED = 100_000
 
@@ -141,8 +146,10 @@ def _texts(given: pa.Table, notes: pa.Table) -> tuple[list[bytes], np.ndarray, n
 
 
 KEYS = "bucket long, batch long, keys binary, counts binary"
-NOTES = "batch long, doc long, tie long, first boolean, keys binary, hot binary, starts binary, ends binary, docs binary, ties binary"
-RUNS = "bucket long, batch long, docs binary, ties binary, starts binary, counts binary, bytes binary, done boolean"
+NOTES = "batch long, doc long, tie long, first boolean, keys binary, hot binary, starts binary, counts binary, docs binary, ties binary"
+RUNS = "bucket long, kind long, batches binary, docs binary, ties binary, starts binary, counts binary, bytes binary"
+#: The number columns of runs, as they are packed.
+PACKED = {"batches": "<i8", "docs": "<i8", "ties": "<i8", "starts": "<u4", "counts": "<u4"}
 
 
 def count_keys(length: int, buckets: int):
@@ -180,7 +187,16 @@ def common_keys(hot: int):
     return run
 
 
-def send_runs(length: int, buckets: int):
+def _packed(runs: dict[str, np.ndarray], at) -> list[bytes]:
+    return [runs[n][at].astype(kind).tobytes() for n, kind in PACKED.items()]
+
+
+def common_bucket(hashes: np.ndarray, batches: np.ndarray, step: int, buckets: int) -> np.ndarray:
+    """Where single windows meet: by their hash and by the group of ``step`` batches they come from."""
+    return (_mixed(hashes ^ _mixed((batches // step).astype(np.uint64) + np.uint64(1))) % np.uint64(buckets)).astype(np.int64)
+
+
+def send_runs(length: int, buckets: int, step: int):
     """Batch of texts and its common keys -> runs by bucket; repeats found on the way come as finished runs."""
 
     def run(given: pa.Table, notes: pa.Table) -> pa.Table:
@@ -190,16 +206,16 @@ def send_runs(length: int, buckets: int):
         order = np.argsort(keys)
         keys, hot = keys[order], _cat(_blobs(answered.column("hot"), np.uint8), np.uint8)[order]
         batch = given.column("batch")[0].as_py() if len(given) else 0
-        sent: dict[str, list] = {n: [] for n in ("bucket", "doc", "tie", "start", "count", "bytes")}
-        done: dict[str, list] = {n: [] for n in ("doc", "tie", "start", "count")}
+        parts: dict[int, dict[str, list]] = {k: {n: [] for n in ("bucket", "bytes", *PACKED)} for k in (PLAIN, COMMON, DONE)}
         seen: set[bytes] = set()
 
-        def put(to, base, c, start, count):
-            text = np.searchsorted(c.at, start, side="right") - 1
-            to["doc"].append(docs[base + text])
-            to["tie"].append(ties[base + text])
-            to["start"].append((start - c.at[text]).astype("<u4"))
-            to["count"].append(np.broadcast_to(count, len(start)).astype("<u4"))
+        def put(kind, base, c, start, count, bucket, pieces):
+            to, text = parts[kind], np.searchsorted(c.at, start, side="right") - 1
+            values = (np.full(len(start), batch), docs[base + text], ties[base + text], start - c.at[text], np.broadcast_to(count, len(start)))
+            for name, value in zip(PACKED, values):
+                to[name].append(value)
+            to["bucket"].append(np.broadcast_to(bucket, len(start)).astype(np.int64))
+            to["bytes"] += pieces
 
         for base, c in chunks(texts, length) if len(keys) else ():
             place = np.minimum(np.searchsorted(keys, c.key), len(keys) - 1)
@@ -209,10 +225,8 @@ def send_runs(length: int, buckets: int):
             pieces = [raw[a : a + n + length - 1] for a, n in zip(c.start[plain].tolist(), c.count[plain].tolist())]
             fresh = np.fromiter((not (p in seen or seen.add(p)) for p in pieces), bool, len(pieces))
             again, plain = plain[~fresh], plain[fresh]
-            put(sent, base, c, c.start[plain], c.count[plain])
-            sent["bucket"].append((c.key[plain] % np.uint64(buckets)).astype(np.int64))
-            sent["bytes"] += [p for p, f in zip(pieces, fresh.tolist()) if f]
-            put(done, base, c, c.start[again], c.count[again])
+            put(PLAIN, base, c, c.start[plain], c.count[plain], c.key[plain] % np.uint64(buckets), [p for p, f in zip(pieces, fresh.tolist()) if f])
+            put(DONE, base, c, c.start[again], c.count[again], batch % buckets, [])
             if len(very):
                 n = c.count[very]
                 windows = np.repeat(c.start[very] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -223,88 +237,137 @@ def send_runs(length: int, buckets: int):
                 for low in range(0, len(windows), SORTED):  # another window under the same hash goes on by itself
                     some = slice(low, low + SORTED)
                     kept[some] |= (view[windows[some]] != view[windows[first[of[some]]]]).any(axis=1)
-                put(sent, base, c, windows[kept], 1)
-                sent["bucket"].append((c.whole[windows[kept]] % np.uint64(buckets)).astype(np.int64))
-                sent["bytes"] += [raw[a : a + length] for a in windows[kept].tolist()]
-                put(done, base, c, windows[~kept], 1)
+                own = windows[kept]
+                put(COMMON, base, c, own, 1, common_bucket(c.whole[own], np.full(len(own), batch), step, buckets), [raw[a : a + length] for a in own.tolist()])
+                gone = windows[~kept]
+                first = np.flatnonzero(np.diff(gone, prepend=-2) != 1)  # neighbouring windows of a text are one run
+                put(DONE, base, c, gone[first], np.diff(first, append=len(gone)), batch % buckets, [])
         rows = []
-        kinds = {"doc": "<i8", "tie": "<i8", "start": "<u4", "count": "<u4"}
-        flat = {n: _cat(sent[n], k) for n, k in kinds.items()}
-        for bucket, at in _split(_cat(sent["bucket"], np.int64)):
-            rows.append((bucket, batch, *[flat[n][at].astype(k).tobytes() for n, k in kinds.items()], b"".join([sent["bytes"][i] for i in at.tolist()]), False))
-        flat = {n: _cat(done[n], k) for n, k in kinds.items()}
-        if len(flat["doc"]):
-            rows.append((batch % buckets, batch, *[flat[n].astype(k).tobytes() for n, k in kinds.items()], b"", True))
+        for kind, to in parts.items():
+            flat = {n: _cat(to[n], np.int64) for n in PACKED}
+            for bucket, at in _split(_cat(to["bucket"], np.int64)):
+                rows.append((bucket, kind, *_packed(flat, at), b"".join([to["bytes"][i] for i in at.tolist()]) if to["bytes"] else b""))
         return _table(rows, RUNS)
 
     return run
 
 
-def repeated_windows(windows: np.ndarray, earlier: np.ndarray) -> np.ndarray:
-    """Which windows (rows of bytes) also start earlier; ``earlier`` ranks their positions.
+def _earlier_match(starts: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+    """Per suffix, in suffix order, its match with the nearest one before that starts earlier; 0 if there is none.
 
-    Suffix order cut at the window's length, equal strings by position: a window with LPF >= length follows its match.
+    ``prefix`` holds the bytes in common with the suffix just before. Least starts and prefixes of 1, 2, 4, ... suffixes are
+    tabled, and each suffix steps back over the longest stretches that start later.
     """
+    lows, shared, width = [starts], [prefix], 1
+    while width < len(starts):
+        low, common = lows[-1].copy(), shared[-1].copy()
+        np.minimum(lows[-1][width:], lows[-1][:-width], out=low[width:])
+        np.minimum(shared[-1][width:], shared[-1][:-width], out=common[width:])
+        lows.append(low)
+        shared.append(common)
+        width *= 2
+    at, match = np.arange(len(starts)) - 1, prefix.copy()
+    for level in range(len(lows) - 1, -1, -1):
+        step = np.flatnonzero((at >= 0) & (lows[level][np.maximum(at, 0)] > starts))
+        match[step] = np.minimum(match[step], shared[level][at[step]])
+        at[step] -= 1 << level
+    return np.where(at >= 0, match, 0)
+
+
+def longest_previous_factors(starts: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+    """LPF of suffixes given in suffix order: the longer match with the previous and the next smaller of ``starts`` (all different).
+
+    ``prefix`` as in ``_earlier_match``, its first entry 0.
+    """
+    turned = np.concatenate([prefix[:1] * 0, prefix[:0:-1]])
+    return np.maximum(_earlier_match(starts, prefix), _earlier_match(starts[::-1], turned)[::-1])
+
+
+def repeated_windows(windows: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+    """Which suffixes (rows of ``length`` bytes) have LPF >= ``length``; ``earlier`` ranks their positions."""
     order = np.argsort(earlier, kind="stable")
     text = np.ascontiguousarray(windows[order])
     suffixes = np.argsort(text.view(f"S{text.shape[1]}").reshape(-1), kind="stable")
     ranked = text[suffixes]
+    prefix = np.zeros(len(windows), np.int32)
+    differ = ranked[1:] != ranked[:-1]
+    prefix[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), text.shape[1])
     repeat = np.zeros(len(windows), bool)
-    repeat[order[suffixes[1:]]] = (ranked[1:] == ranked[:-1]).all(axis=1)
+    repeat[order[suffixes]] = longest_previous_factors(suffixes, prefix) >= text.shape[1]
     return repeat
 
 
-def find_repeats(length: int):
-    """Bucket of runs -> per batch the byte ranges to remove."""
+def _search(group: pa.Table, length: int, buckets: int, step: int | None) -> tuple[dict[str, np.ndarray], list[tuple]]:
+    """Bucket of runs -> its repeats as finished runs, and rows with the common windows that stay, for the next round (``step``)."""
+    cut = {n: _blobs(group.column(n), k) for n, k in PACKED.items()}
+    kind = np.repeat(np.array(group.column("kind").to_pylist(), np.int64), [len(d) for d in cut["docs"]])
+    runs = {n: _cat(parts, np.int64).astype(np.int64) for n, parts in cut.items()}
+    done = [{n: v[kind == DONE] for n, v in runs.items()}]
+    runs, kind = {n: v[kind != DONE] for n, v in runs.items()}, kind[kind != DONE]
+    count, passed = runs["counts"], []
+    if len(count):
+        buf = np.frombuffer(b"".join(group.column("bytes").to_pylist()), np.uint8)
+        sizes = count + length - 1
+        at = np.cumsum(sizes) - sizes
+        run_of = np.repeat(np.arange(len(count)), count)
+        inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        place = at[run_of] + inside
+        whole = np.concatenate([window_hashes(buf[a : a + CHUNK + length - 1], length, keys=False)[2][:CHUNK] for a in range(0, max(1, len(buf) - length + 1), CHUNK)])[place]
+        rank = np.empty(len(count), np.int64)
+        rank[np.lexsort((runs["starts"], runs["ties"], runs["docs"]))] = np.arange(len(count))
+        hit = np.zeros(len(place), bool)
+        view = np.lib.stride_tricks.sliding_window_view(buf, length)
+        order = np.argsort(whole, kind="stable")
+        sorted_hash = whole[order]
+        twin = np.zeros(len(order), bool)
+        twin[1:] = sorted_hash[1:] == sorted_hash[:-1]
+        twin[:-1] |= twin[1:]
+        order = order[twin]  # a suffix whose hash is alone has LPF < length
+        ends = np.flatnonzero(np.diff(whole[order])) + 1
+        low = 0
+        while low < len(order):
+            after = ends[np.searchsorted(ends, low + SORTED) :]  # equal hashes stay together
+            high = int(after[0]) if len(after) else len(order)
+            own = order[low:high]
+            hit[own] = repeated_windows(view[place[own]], _position(rank, run_of[own], inside[own]))
+            low = high
+        own = np.flatnonzero(hit)
+        if len(own):
+            new = np.ones(len(own), bool)
+            new[1:] = (own[1:] != own[:-1] + 1) | (run_of[own[1:]] != run_of[own[:-1]])
+            first = own[new]
+            last = own[np.append(np.flatnonzero(new)[1:] - 1, len(own) - 1)]
+            found = {n: v[run_of[first]] for n, v in runs.items()}
+            done.append(found | {"starts": found["starts"] + inside[first], "counts": inside[last] - inside[first] + 1})
+        if step is not None:
+            stay = np.flatnonzero((kind[run_of] == COMMON) & ~hit)
+            r = run_of[stay]
+            for bucket, of in _split(common_bucket(whole[stay], runs["batches"][r], step, buckets)):
+                passed.append((bucket, COMMON, *_packed(runs, r[of]), view[place[stay[of]]].tobytes()))
+    return {n: np.concatenate([d[n] for d in done]) for n in PACKED}, passed
+
+
+def thin_common(length: int, buckets: int, step: int):
+    """Bucket of runs -> its repeats, finished, and for the next round the earliest of every common window."""
 
     def run(group: pa.Table) -> pa.Table:
-        cut = {n: _blobs(group.column(n), k) for n, k in (("docs", "<i8"), ("ties", "<i8"), ("starts", "<u4"), ("counts", "<u4"))}
-        done_row = np.array(group.column("done").to_pylist(), bool)
-        per_row = np.array([len(d) for d in cut["docs"]], np.int64)
-        batch = np.repeat(np.array(group.column("batch").to_pylist(), np.int64), per_row)
-        done = np.repeat(done_row, per_row)
-        doc, tie, start, count = (_cat(cut[n], np.int64).astype(np.int64) for n in ("docs", "ties", "starts", "counts"))
-        out = [(batch[done], doc[done], tie[done], start[done], start[done] + count[done] + length - 1)]
-        buf = np.frombuffer(b"".join(group.column("bytes").to_pylist()), np.uint8)
-        live = ~done
-        batch, doc, tie, start, count = batch[live], doc[live], tie[live], start[live], count[live]
-        if len(doc):
-            sizes = count + length - 1
-            at = np.cumsum(sizes) - sizes
-            run_of = np.repeat(np.arange(len(doc)), count)
-            inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            place = at[run_of] + inside
-            whole = np.concatenate([window_hashes(buf[a : a + CHUNK + length - 1], length, keys=False)[2][:CHUNK] for a in range(0, max(1, len(buf) - length + 1), CHUNK)])[place]
-            rank = np.empty(len(doc), np.int64)
-            rank[np.lexsort((start, tie, doc))] = np.arange(len(doc))
-            hit = np.zeros(len(place), bool)
-            view = np.lib.stride_tricks.sliding_window_view(buf, length)
-            order = np.argsort(whole, kind="stable")
-            sorted_hash = whole[order]
-            twin = np.zeros(len(order), bool)
-            twin[1:] = sorted_hash[1:] == sorted_hash[:-1]
-            twin[:-1] |= twin[1:]
-            order = order[twin]  # windows whose hash is alone have no match
-            ends = np.flatnonzero(np.diff(whole[order])) + 1
-            low = 0
-            while low < len(order):
-                after = ends[np.searchsorted(ends, low + SORTED) :]  # equal hashes stay together
-                high = int(after[0]) if len(after) else len(order)
-                own = order[low:high]
-                hit[own] = repeated_windows(view[place[own]], _position(rank, run_of[own], inside[own]))
-                low = high
-            own = np.flatnonzero(hit)
-            if len(own):
-                new = np.ones(len(own), bool)
-                new[1:] = (own[1:] != own[:-1] + 1) | (run_of[own[1:]] != run_of[own[:-1]])
-                first = own[new]
-                last = own[np.append(np.flatnonzero(new)[1:] - 1, len(own) - 1)]
-                r = run_of[first]
-                out.append((batch[r], doc[r], tie[r], start[r] + inside[first], start[r] + inside[last] + length))
-        batch, doc, tie, low, high = (np.concatenate(x) for x in zip(*out))
-        rows = [
-            (b, None, None, None, None, None, low[at].astype("<u4").tobytes(), high[at].astype("<u4").tobytes(), doc[at].tobytes(), tie[at].tobytes()) for b, at in _split(batch)
-        ]
+        done, rows = _search(group, length, buckets, step)
+        if len(done["docs"]):
+            rows.append((group.column("bucket")[0].as_py(), DONE, *_packed(done, slice(None)), b""))
+        return _table(rows, RUNS)
+
+    return run
+
+
+def find_repeats(length: int, buckets: int):
+    """Bucket of runs in the last round -> per batch the repeats."""
+
+    def run(group: pa.Table) -> pa.Table:
+        done, _ = _search(group, length, buckets, None)
+        rows = []
+        for batch, at in _split(done["batches"]):
+            _, docs, ties, starts, counts = _packed(done, at)
+            rows.append((batch, None, None, None, None, None, starts, counts, docs, ties))
         return _table(rows, NOTES)
 
     return run
@@ -324,9 +387,9 @@ def cut_texts(length: int):
             if note["doc"] is not None:
                 first[note["doc"], note["tie"]] = note["first"]
         found = notes.filter(pa.compute.is_valid(notes.column("starts")))
-        for docs, ties, starts, ends in zip(*[_blobs(found.column(n), k) for n, k in (("docs", "<i8"), ("ties", "<i8"), ("starts", "<u4"), ("ends", "<u4"))]):
-            for d, t, a, b in zip(docs.tolist(), ties.tolist(), starts.tolist(), ends.tolist()):
-                ranges.setdefault((d, t), []).append((a, b))
+        for docs, ties, starts, counts in zip(*[_blobs(found.column(n), PACKED[n]) for n in ("docs", "ties", "starts", "counts")]):
+            for d, t, a, n in zip(docs.tolist(), ties.tolist(), starts.tolist(), counts.tolist()):
+                ranges.setdefault((d, t), []).append((a, a + n + length - 1))
         rows = []
         for doc, tie, doc_id, text in zip(*[given.column(n).to_pylist() for n in ("doc", "tie", "doc_id", "text")]):
             if first.get((doc, tie), True):
@@ -365,12 +428,24 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table({name: pa.array(list(values), _ARROW[kind]) for (name, kind), values in zip(fields, columns)})
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH, hot: int = HOT) -> DataFrame:
+def round_steps(batches: int, fan: int) -> list[int]:
+    """Batches whose copies of a common window meet in a bucket, by round: two rounds or more, the last with all batches."""
+    rounds = 2
+    while fan**rounds < batches:
+        rounds += 1
+    width = 1
+    while width**rounds < batches:
+        width += 1
+    return [width**r for r in range(1, rounds)] + [max(batches, 1)]
+
+
+def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH, hot: int = HOT, fan: int = FAN) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (the remaining bytes) for every row of ``docs``.
 
     Null texts count as empty. Null ids come last in order; different texts of one id come in the order of a hash; rows equal in
     id and text are one document, with equal results. Later copies of a whole text need no search: they go whole if they are
-    long enough. Texts are shuffled once, to batches by id, and read by each of the three rounds from that shuffle.
+    long enough. Texts are shuffled once, to batches by id, and read by each of the three steps from that shuffle. An empty table
+    gives no rows; a very long text is a batch of its own, handled in chunks of whole texts.
     """
     if length < GRAM:
         raise ValueError(f"length must be {GRAM} at least")
@@ -385,13 +460,16 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     total = light.agg(F.sum("_size")).first()[0] or 0
     batches = max(1, -(-total // batch_bytes))
     batch = F.pmod(F.xxhash64("doc", "tie"), F.lit(batches)).alias("batch")
-    empty = [F.lit(None).cast("binary").alias(n) for n in ("keys", "hot", "starts", "ends", "docs", "ties")]
+    empty = [F.lit(None).cast("binary").alias(n) for n in ("keys", "hot", "starts", "counts", "docs", "ties")]
     known = light.join(firsts, "_sha").select(batch, "doc", "tie", (F.col("doc") == F.col("_first")).alias("first"), *empty)
     texts = keyed("doc_id", "text", batch).groupBy("batch")
     keys = texts.cogroup(known.groupBy("batch")).applyInArrow(count_keys(length, batches), KEYS)
     common = keys.groupBy("bucket").applyInArrow(common_keys(hot), NOTES)
-    runs = texts.cogroup(known.unionByName(common).groupBy("batch")).applyInArrow(send_runs(length, batches), RUNS)
-    ranges = runs.groupBy("bucket").applyInArrow(find_repeats(length), NOTES)
+    *steps, last = round_steps(batches, fan)
+    runs = texts.cogroup(known.unionByName(common).groupBy("batch")).applyInArrow(send_runs(length, batches, steps[0]), RUNS)
+    for step in [*steps[1:], last]:
+        runs = runs.groupBy("bucket").applyInArrow(thin_common(length, batches, step), RUNS)
+    ranges = runs.groupBy("bucket").applyInArrow(find_repeats(length, batches), NOTES)
     return texts.cogroup(known.unionByName(ranges).groupBy("batch")).applyInArrow(cut_texts(length), CUT)
 
 

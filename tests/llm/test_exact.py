@@ -285,18 +285,72 @@ def removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot,batch", [(2048, 8_000_000), (3, 3_000), (0, 700)])
-def test_repeats(spark, rng, hot, batch):
+@pytest.mark.parametrize("hot,batch,fan", [(2048, 8_000_000, 256), (3, 3_000, 256), (0, 700, 256), (0, 700, 3)])
+def test_repeats(spark, rng, hot, batch, fan):
     """Passages shared by many texts, near copies, periodic texts, NUL bytes; many small batches, and keys that count as very common."""
     shared = [prose(rng, 30) for _ in range(3)]
     texts = [prose(rng, 10) + rng.choice(shared) + prose(rng, 15) for _ in range(60)]
     texts += [texts[0][:150] + "x" + texts[0][151:], texts[1], texts[1] + " more", "abc" * 90, "z" * 99, "z" * 101, "\x00" * 220, "é" * 120, "", "short"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    cut = lpf_dedup.remove_repeats(df, 100, batch_bytes=batch, hot=hot)
+    cut = lpf_dedup.remove_repeats(df, 100, batch_bytes=batch, hot=hot, fan=fan)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in cut.collect()}
     assert got == dict(enumerate(removed(texts, 100)))
 
 
+@given(st.binary(max_size=40).map(lambda b: bytes(x % 3 for x in b)))
+@settings(max_examples=200, deadline=None)
+def test_longest_previous_factors(text):
+    """Against the longest match with every earlier start."""
+    order = sorted(range(len(text)), key=lambda p: text[p:])
+
+    def common(p, q):
+        n = 0
+        while max(p, q) + n < len(text) and text[p + n] == text[q + n]:
+            n += 1
+        return n
+
+    prefix = np.array([0, *(common(p, q) for p, q in zip(order, order[1:]))][: len(text)], np.int64)
+    got = lpf_dedup.longest_previous_factors(np.array(order, np.int64), prefix)
+    assert got.tolist() == [max((common(p, q) for q in range(p)), default=0) for p in order]
+
+
+@pytest.mark.parametrize("fan,rounds", [(256, 2), (4, 4), (3, 5)])
+def test_rounds_of_common_windows(fan, rounds):
+    steps = lpf_dedup.round_steps(200, fan)
+    assert len(steps) == rounds and steps[-1] == 200 and all(b <= a * fan for a, b in zip([1, *steps], steps))
+
+
+@pytest.mark.parametrize("n", [40, 160])
+def test_a_line_of_all_documents_fills_no_bucket(rng, n):
+    """Copies of one window in a bucket: as many as ``fan`` in every round, whatever the number of batches, and one is left."""
+    fan, line = 4, prose(rng, 40)[:130].encode()
+    own = [line + f" {i:08d} ".encode() * 12 for i in range(n)]
+    steps = lpf_dedup.round_steps(n, fan)
+    *_, whole = lpf_dedup.window_hashes(np.frombuffer(own[0], np.uint8), 100, keys=False)
+    runs = {}
+    for batch, text in enumerate(own):
+        for start in range(len(line) - 99):
+            bucket = int(lpf_dedup.common_bucket(whole[start : start + 1], np.array([batch]), steps[0], n)[0])
+            values = {"batches": batch, "docs": batch, "ties": 0, "starts": start, "counts": 1}
+            packed = [np.array([values[k]]).astype(kind).tobytes() for k, kind in lpf_dedup.PACKED.items()]
+            runs.setdefault(bucket, []).append((bucket, lpf_dedup.COMMON, *packed, text[start : start + 100]))
+    gone = 0
+    for step in [*steps[1:], None]:
+        following = {}
+        for rows in runs.values():
+            copies = {}
+            for row in rows:
+                for at in range(0, len(row[-1]), 100):
+                    copies[row[-1][at : at + 100]] = copies.get(row[-1][at : at + 100], 0) + 1
+            assert max(copies.values()) <= 4 * fan  # some groups of batches share a bucket by chance
+            done, passed = lpf_dedup._search(lpf_dedup._table(rows, lpf_dedup.RUNS), 100, n, step)
+            gone += done["counts"].sum()
+            for row in passed:
+                following.setdefault(row[0], []).append(row)
+        runs = following
+    assert gone == (n - 1) * (len(line) - 99)
+
+
 def test_quality_counts(spark, rng):
     texts = [prose(rng, 50), "a b c d e f g h " * 4 + prose(rng, 30), "x # y\n\nx # y\nz\n \nz", " lead " + prose(rng, 25) + "\n", prose(rng, 300) * 2]
     labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
