@@ -104,20 +104,30 @@ def draw_blocks(docs: DataFrame, shards: int, seed: int, weights, share: float,
     return ready.select("source", "_block", "source_size", "target", shard.alias("shards"))
 
 
+def shard_draws(drawn: DataFrame, shards: int) -> DataFrame:
+    """One row with ``shard_draws``: the draws of every shard, as its blocks have them; counted over the block table."""
+    counts = drawn.select(F.explode("shards").alias("_shard")).groupBy("_shard").agg(F.count("*").alias("_n"))
+    by_shard = counts.agg(F.map_from_entries(F.collect_list(F.struct("_shard", "_n"))).alias("_n"))
+    return by_shard.select(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: F.coalesce(F.try_element_at("_n", i), F.lit(0))).alias("shard_draws"))
+
+
 def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 7, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
-    """One row per document: the columns ``doc_id, source, size, source_size, target, shards, taken``.
+    """One row per document: the columns ``doc_id, source, size, source_size, target, shards, taken, shard_draws``.
 
     ``shards`` lists the output shards that take the document, one entry per copy; ``taken`` is its words times its copies.
+    ``shard_draws`` is the same in all rows: the number of block draws that each shard owns, equal up to the rounding of the tree.
+    An empty table gives no rows; texts are only counted, so their length does not matter.
     A null text has size 0. Ids may be null or repeated: equal rows fall into one block. Null is a source, the last. Other columns
     are not read. A source's taken words miss its target by half of one block (1/1024 of the source, or one document) at most.
     """
     slim = docs.select("doc_id", "source", count_words(F.col("text")).alias("size"))
     slim = slim.withColumn("_block", F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", "doc_id", "size")), 1, 3), 16, 10).cast("int"), F.lit(BLOCKS)))
     slim = checkpointed(slim)  # sizes are counted once; the texts are left behind
-    drawn = draw_blocks(slim, shards, seed, weights, share, repeats)
+    drawn = checkpointed(draw_blocks(slim, shards, seed, weights, share, repeats))
+    draws = shard_draws(drawn, shards).scalar()
     drawn = drawn.withColumnsRenamed({"source": "_of", "_block": "_of_block"})
     joined = slim.join(drawn, F.col("source").eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_of_block")))
-    return joined.select("doc_id", "source", "size", "source_size", "target", "shards", (F.col("size") * F.size("shards")).alias("taken"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", "shards", (F.col("size") * F.size("shards")).alias("taken"), draws.alias("shard_draws"))
 
 
 def mixed_rows(docs: DataFrame, shards: int = SHARDS, seed: int = 7, **kw) -> DataFrame:

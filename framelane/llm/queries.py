@@ -52,11 +52,12 @@ def op5_simhash_tiles(spark, sf_dir):
 @query
 def op6_mixing_tree(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    draws = F.array_join(F.col("shard_draws").cast("array<string>"), ",").alias("shard_draws")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", F.size("shards").cast("long").alias("n_copies"), draws)
 
 
 ORACLES["op6_mixing_tree"] = """
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents
 ), b AS (
   SELECT *, ('0x' || substr(md5(concat_ws(':', doc_id, size)), 1, 3))::BIGINT % 1024 AS block FROM d
@@ -85,7 +86,16 @@ WITH d AS (
       + bl.words::DOUBLE / 2 <= p.target - p.whole * p.source_size AS part
   FROM blocks bl JOIN passes p ON bl.source IS NOT DISTINCT FROM p.source
 )
-SELECT b.doc_id, b.size, c.source_size, c.target, (b.size * (c.whole + c.part::BIGINT))::BIGINT AS taken
+, nodes AS (
+  SELECT 0 AS low, 16 AS high, sum(whole + part::BIGINT)::BIGINT AS draws FROM cut
+  UNION ALL
+  SELECT CASE WHEN side = 0 THEN low ELSE (low + high) // 2 END, CASE WHEN side = 0 THEN (low + high) // 2 ELSE high END,
+    CASE WHEN side = 0 THEN draws // 2 ELSE draws - draws // 2 END
+  FROM nodes, (VALUES (0), (1)) AS s(side) WHERE high - low > 1
+)
+SELECT b.doc_id, b.size, c.source_size, c.target, (b.size * (c.whole + c.part::BIGINT))::BIGINT AS taken,
+  (c.whole + c.part::BIGINT)::BIGINT AS n_copies,
+  (SELECT string_agg(draws::VARCHAR, ',' ORDER BY low) FROM nodes WHERE high - low = 1) AS shard_draws
 FROM b JOIN cut c ON b.source IS NOT DISTINCT FROM c.source AND b.block = c.block
 """
 
