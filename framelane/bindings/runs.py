@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framelane.bindings.registry import query, result, stand_in, table
 from framelane.functions.numeric import STAGES
-from framelane.operators import avsync, runs, telemetry
+from framelane.operators import avsync, runs, sampled_rate, telemetry
 from framelane.operators.ordered import time_block
 
 STAGE_EVENTS = """l_orderkey AS run_id, l_quantity - 5 AS seconds,
@@ -344,6 +344,21 @@ def progress_throughput(spark, sf):
     )
 
 
+@query(
+    "sampled_throughput",
+    f"""WITH RECURSIVE {PROGRESS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS n FROM pr),
+    k AS (SELECT job_id, n, s AS t, processed_frames AS f, NULL::DOUBLE AS rate FROM o WHERE n = 1
+      UNION ALL SELECT k.job_id, o.n, CASE WHEN o.s - k.t >= 14400 THEN o.s ELSE k.t END, CASE WHEN o.s - k.t >= 14400 THEN o.processed_frames ELSE k.f END,
+        CASE WHEN o.s - k.t >= 14400 THEN greatest(0, o.processed_frames - k.f) / (o.s - k.t) ELSE k.rate END FROM k JOIN o ON o.job_id = k.job_id AND o.n = k.n + 1),
+    a AS (SELECT o.*, rate, s - min(s) OVER (PARTITION BY job_id) AS el FROM o JOIN k USING (job_id, n))
+    SELECT job_id, event_id, round(el, 3) AS elapsed_seconds, round(CASE WHEN el > 0 AND processed_frames > 0 THEN processed_frames / el END, 6) AS average_fps,
+      round(rate, 9) AS rolling_fps FROM a""",
+)
+def sampled_throughput(spark, sf):
+    out = sampled_rate.sampled_throughput(progress(spark, sf), order=ORDER, min_gap=14_400, block_seconds=DAY)
+    return result(out, "job_id", "event_id", "elapsed_seconds:d3", "average_fps:d", "rolling_fps:d9")
+
+
 @query(
     "deduped_progress",
     f"""WITH {PROGRESS_SQL}, l AS (SELECT *, lag((phase, percent, message)) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS b FROM pr)
